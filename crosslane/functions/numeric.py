@@ -14,6 +14,16 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, bottom)
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows where both are set; null where one side is constant.
+
+    The built-in raises on a constant side in ANSI mode.
+    """
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def leg_size(n: Column, fraction: float) -> Column:
     """Names per leg: n * fraction rounded half to even, one at least."""
     return F.greatest(F.lit(1), F.bround(n * F.lit(float(fraction)), 0).cast("int"))

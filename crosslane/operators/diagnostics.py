@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosslane.functions.numeric import correlation
 from crosslane.operators.gram import Gram, collect_grams, gram, solve_ols
 from crosslane.operators.metrics import daily_ic
 from crosslane.operators.ranking import add_average_rank, quantiles
@@ -70,7 +71,7 @@ def feature_correlations(
                 F.struct(
                     F.lit(features[i]).alias("feature_a"),
                     F.lit(features[j]).alias("feature_b"),
-                    F.corr(names[i], names[j]).alias("corr"),
+                    correlation(names[i], names[j]).alias("corr"),
                 )
                 for i, j in pairs
             ]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosslane.functions.numeric import leg_size, normal_cdf
+from crosslane.functions.numeric import correlation, leg_size, normal_cdf
 from crosslane.operators.ranking import add_average_rank, add_position
 
 MODEL = ("model_id",)
@@ -37,8 +37,8 @@ def daily_ic(
     df = scored(df).select(*by, "prediction", "realized")
     df = add_average_rank(df, by, "prediction", "_rp", rows=rows)
     df = add_average_rank(df, by, "realized", "_rr", rows=rows)
-    out = df.groupBy(*by).agg(F.corr("_rp", "_rr").alias("ic"), F.count(F.lit(1)).alias("n"))
-    return out.where((F.col("n") >= min_rows) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    out = df.groupBy(*by).agg(correlation("_rp", "_rr").alias("ic"), F.count(F.lit(1)).alias("n"))
+    return out.where((F.col("n") >= min_rows) & F.col("ic").isNotNull())
 
 
 def ic_stats(ic: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosslane.functions.numeric import md5_number
+from crosslane.functions.numeric import correlation, md5_number
 from crosslane.operators.folds import date_index
 from crosslane.operators.metrics import MIN_IC_ROWS, MODEL, daily_ic, scored, summarize, time_split
 from crosslane.operators.ranking import add_average_rank, add_position
@@ -52,8 +52,8 @@ def shuffle_null(
     paired = placed.select(*by, "iteration", "_rr", "_place").join(
         ranked.select(*by, "_place", "_rp"), [*by, "_place"]
     )
-    per_date = paired.groupBy(*by, "iteration").agg(F.corr("_rp", "_rr").alias("_ic"))
-    clean = F.when(F.col("_ic").isNull() | F.isnan("_ic"), 0.0).otherwise(F.col("_ic"))
+    per_date = paired.groupBy(*by, "iteration").agg(correlation("_rp", "_rr").alias("_ic"))
+    clean = F.coalesce("_ic", F.lit(0.0))
     means = per_date.groupBy(*keys, "iteration").agg(F.avg(clean).alias("_mean"))
     joined = means.join(observed, list(keys))
     out = joined.groupBy(*keys).agg(

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosslane.functions.numeric import correlation
 from crosslane.operators.features import demean_by_date
 from crosslane.operators.gram import gram, gram_columns, ols_by_group
 from crosslane.operators.metrics import TRADING_DAYS
@@ -146,8 +147,8 @@ class MomentVolForecaster(_PerTicker):
             squares.groupBy("ticker")
             .agg(
                 F.avg("_q").alias("target_var"),
-                F.corr("_q", "_q_l1").alias("_a1"),
-                F.corr("_q", "_q_l2").alias("_a2"),
+                correlation("_q", "_q_l1").alias("_a1"),
+                correlation("_q", "_q_l2").alias("_a2"),
                 F.max_by("_recent", "date").alias("last_var"),
                 F.count("_q").alias("n"),
             )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from crosslane.functions.numeric import correlation
 from crosslane.operators.folds import date_index, expanding_time_folds
 from crosslane.operators.ranking import add_average_rank, quantiles, value_at
 from crosslane.operators.trees import as_vectors
@@ -155,11 +156,11 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], method: str = "iqr",
 def target_correlations(df: DataFrame, features: Sequence[str], target: str = "y_target", rows=None) -> DataFrame:
     """(feature, spearman, pearson): rank correlation over full pairs, Pearson with nulls as 0."""
     long = df.unpivot([target], list(features), "feature", "value").where(F.col(target).isNotNull())
-    pearson = long.groupBy("feature").agg(F.corr(F.coalesce("value", F.lit(0.0)), F.col(target)).alias("pearson"))
+    pearson = long.groupBy("feature").agg(correlation(F.coalesce("value", F.lit(0.0)), F.col(target)).alias("pearson"))
     pairs = long.where(F.col("value").isNotNull())
     pairs = add_average_rank(pairs, ["feature"], "value", "_rv", rows=rows)
     pairs = add_average_rank(pairs, ["feature"], target, "_rt", rows=rows)
-    spearman = pairs.groupBy("feature").agg(F.corr("_rv", "_rt").alias("spearman"))
+    spearman = pairs.groupBy("feature").agg(correlation("_rv", "_rt").alias("spearman"))
     return spearman.join(pearson, "feature", "full").select("feature", "spearman", "pearson")
 
 
@@ -171,8 +172,8 @@ def weight_profile(df: DataFrame, target: str = "y_target", weight: str = "weigh
         F.stddev_samp(weight).alias("std"),
         F.min(weight).alias("min"),
         F.max(weight).alias("max"),
-        F.corr(weight, target).alias("corr_target"),
-        F.corr(F.col(weight), size).alias("corr_abs_target"),
+        correlation(weight, target).alias("corr_target"),
+        correlation(F.col(weight), size).alias("corr_abs_target"),
     ).withColumn("_k", F.lit(0))
     spots = quantiles(df, [], weight, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}, rows)
     return base.join(spots.withColumn("_k", F.lit(0)), "_k").drop("_k")

@@ -25,10 +25,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded and without negative zero, so that sums in another order compare equal."""
+def shortened(column: str | Column, digits: int) -> Column:
+    """Rounded to ``digits`` decimals by one floor, the same arithmetic in every engine.
+
+    The 0.51 keeps values that end in an exact 5 away from the edge, where sums in another order
+    would fall on both sides.
+    """
+    scale = F.lit(float(10**digits))
+    value = F.col(column) if isinstance(column, str) else column
+    return F.floor(value * scale + F.lit(0.51)) / scale
 
-    def one(name: str, kind: str) -> Column:
-        return (F.round(name, digits) + F.lit(0.0)).alias(name) if kind == "double" else F.col(name)
 
-    return df.select(*[one(n, k) for n, k in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All doubles shortened, so that sums in another order compare equal."""
+    return df.select(*[shortened(n, digits).alias(n) if k == "double" else F.col(n) for n, k in df.dtypes])

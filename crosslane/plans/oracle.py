@@ -21,8 +21,8 @@ def lag(x: str, n: int) -> str:
 
 
 def r(x: str, digits: int = 6) -> str:
-    """Rounded, without negative zero."""
-    return f"(round(CAST({x} AS DOUBLE), {digits}) + 0.0)"
+    """Rounded the way ``catalog.rounded`` does."""
+    return f"(floor(CAST({x} AS DOUBLE) * 1e{digits} + 0.51) / 1e{digits})"
 
 
 def rank_share(x: str, by: str = "date") -> str:

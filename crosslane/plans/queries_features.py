@@ -25,7 +25,7 @@ from crosslane.operators.registry import get_feature, list_features
 from crosslane.operators.rolling import add_ewm_mean, add_rolling, full
 from crosslane.operators.smoothing import smooth_predictions
 from crosslane.plans import binding as b
-from crosslane.plans.catalog import query, rounded
+from crosslane.plans.catalog import query, rounded, shortened
 from crosslane.plans.oracle import BLOCKS, average_rank, lag, r, rank_share, rolling, win, with_blocks
 from crosslane.sources.factors import FACTORS
 
@@ -204,8 +204,8 @@ def flagship(spark, sf):
     return out.select(
         "model_id",
         "n_ic_dates",
-        (F.round("information_coefficient", 6) + 0.0).alias("information_coefficient"),
-        (F.round("ic_t_stat", 4) + 0.0).alias("ic_t_stat"),
+        shortened("information_coefficient", 6).alias("information_coefficient"),
+        shortened("ic_t_stat", 4).alias("ic_t_stat"),
     )
 
 
@@ -318,7 +318,7 @@ def return_skew_20(spark, sf):
     with_blocks(
         ("predictions",),
         f"""SELECT model_id, date, ticker, {r('s')} AS prediction FROM (
-SELECT a.model_id, a.date, a.ticker, sum(b.prediction * CASE WHEN b.i = 1 THEN 1.0 ELSE al END * pow(1.0 - al, a.i - b.i)) AS s
+SELECT a.model_id, a.date, a.ticker, sum(b.prediction * CASE WHEN b.i = 1 THEN 1.0 ELSE a.al END * pow(1.0 - a.al, a.i - b.i)) AS s
 FROM n a JOIN n b ON a.model_id = b.model_id AND a.ticker = b.ticker AND b.i <= a.i GROUP BY 1, 2, 3)""",
         {
             "n": """SELECT *, 1.0 - pow(0.5, 1.0 / 5.0) AS al,
