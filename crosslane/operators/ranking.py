@@ -82,6 +82,7 @@ def add_average_rank(
     rows: int | None = None,
 ) -> DataFrame:
     """Average rank (1-based) of the non-null ``value`` inside ``by``; null stays null."""
+    kept = df.columns
     df, keys = _grouped(df, by)
     temp_count = count_as or "_count"
     if fits(df, keys, rows):
@@ -111,8 +112,7 @@ def add_average_rank(
             .join(totals, keys, "left")
             .withColumn(temp_count, F.coalesce(temp_count, F.lit(0)))
         )
-    drop = [c for c in ("_all", "_count") if c not in (rank_as, count_as)]
-    return out.drop(*drop)
+    return out.select(*kept, rank_as, *([count_as] if count_as else []))
 
 
 def add_position(
@@ -124,6 +124,7 @@ def add_position(
     rows: int | None = None,
 ) -> DataFrame:
     """1-based place of each row by a unique ``order`` inside ``by`` (all ascending, non-null)."""
+    kept = df.columns
     df, keys = _grouped(df, by)
     temp_count = count_as or "_count"
     if fits(df, keys, rows):
@@ -140,8 +141,7 @@ def add_position(
             *keys, "_key", (F.col("_less") + 1).alias(position_as), F.col("_n").alias(temp_count)
         )
         out = df.join(positions, [*keys, "_key"])
-    drop = [c for c in ("_all", "_count", "_key") if c not in (position_as, count_as)]
-    return out.drop(*drop)
+    return out.select(*kept, position_as, *([count_as] if count_as else []))
 
 
 def quantiles(
@@ -159,7 +159,7 @@ def quantiles(
         return (
             present.groupBy(*keys)
             .agg(*[F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()])
-            .drop("_all")
+            .drop(*([] if by else keys))
         )
     if fits(present, keys, rows):
         whole = Window.partitionBy(*keys)
@@ -183,7 +183,7 @@ def quantiles(
             low, high = at(F.floor(spot)), at(F.ceil(spot))
             part = F.max(spot - F.floor(spot))
             aggs.append((low + (high - low) * part).alias(name))
-    return positions.groupBy(*keys).agg(*aggs).drop("_all")
+    return positions.groupBy(*keys).agg(*aggs).drop(*([] if by else keys))
 
 
 def add_group_stats(
@@ -197,8 +197,10 @@ def add_group_stats(
     if fits(df, by, rows):
         whole = Window.partitionBy(*by)
         return df.withColumns({name: agg.over(whole) for name, agg in stats.items()})
+    kept = df.columns
     df = cut(df, "stats")
-    return df.join(df.groupBy(*by).agg(*[agg.alias(name) for name, agg in stats.items()]), list(by), "left")
+    table = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in stats.items()])
+    return df.join(table, list(by), "left").select(*kept, *stats)
 
 
 def add_group_median(
@@ -206,8 +208,9 @@ def add_group_median(
 ) -> DataFrame:
     if fits(df, by, rows):
         return df.withColumn(median_as, F.median(value).over(Window.partitionBy(*by)))
+    kept = df.columns
     df = cut(df, "median")
-    return df.join(quantiles(df, by, value, {median_as: 0.5}, rows=rows), list(by), "left")
+    return df.join(quantiles(df, by, value, {median_as: 0.5}, rows=rows), list(by), "left").select(*kept, median_as)
 
 
 def value_at(df: DataFrame, value: str, place: int, rows: int | None = None):

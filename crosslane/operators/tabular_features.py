@@ -239,20 +239,18 @@ def add_one_hot(df: DataFrame, column: str, values: Sequence | None = None, pref
 
 
 def label_codes(frames: Sequence[DataFrame], column: str, rows: int | None = None) -> DataFrame:
-    """(column, code): values of all frames in sorted order, numbered from 0."""
+    """(value, label): values of all frames in sorted order, numbered from 0."""
     both = None
     for frame in frames:
-        part = frame.select(F.col(column).cast("string").alias(column))
+        part = frame.select(F.col(column).cast("string").alias("value"))
         both = part if both is None else both.unionByName(part)
-    values = both.where(F.col(column).isNotNull()).distinct()
-    return add_position(values, [], [column], "_p", rows=rows).select(column, (F.col("_p") - 1).alias("code"))
+    values = both.where(F.col("value").isNotNull()).distinct()
+    return add_position(values, [], ["value"], "_p", rows=rows).select("value", (F.col("_p") - 1).alias("label"))
 
 
 def add_label_codes(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
-    renamed = codes.withColumnRenamed("code", f"{column}_code")
-    return df.withColumn("_text", F.col(column).cast("string")).join(
-        renamed.withColumnRenamed(column, "_text"), "_text", "left"
-    ).drop("_text")
+    table = codes.select(F.col("value").alias("_text"), F.col("label").alias(f"{column}_code"))
+    return df.withColumn("_text", F.col(column).cast("string")).join(table, "_text", "left").drop("_text")
 
 
 # ---- weights and targets --------------------------------------------------------

@@ -515,7 +515,7 @@ FROM (SELECT count(*) AS n, avg(residual) AS m, sum(residual * residual) AS s2,
     ),
 )
 def residual_report(spark, sf):
-    out = dg.residual_report(_scored(spark, sf), rows=b.names_bound(spark, sf) * 40000)
+    out = dg.residual_report(_scored(spark, sf))
     digits = {"r2": 6, "skewness": 5, "kurtosis": 5, "durbin_watson": 6}
     return out.withColumns({c: shortened(c, d) for c, d in digits.items()})
 

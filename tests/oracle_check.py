@@ -74,6 +74,7 @@ def compare(spark, con, name, fn, sql, sf):
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--conf", action="append", default=[], help="key=value for the session")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     import __spark_entry__ as entry
@@ -82,6 +83,7 @@ def main() -> int:
     spark = build_session(
         "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"},
+        **dict(c.split("=", 1) for c in args.conf),
     )
     spark.sparkContext.setLogLevel("OFF")
     con = duck(args.sf)
