@@ -13,6 +13,7 @@ from crosslane.operators.gram import Gram, collect_grams, gram, solve_ols
 from crosslane.operators.metrics import daily_ic
 from crosslane.operators.ranking import add_average_rank, quantiles
 from crosslane.operators.rolling import add_rolling
+from crosslane.session import broadcast_dates, broadcast_if
 from crosslane.sources.bars import log_return
 
 # ---- features ---------------------------------------------------------------
@@ -39,7 +40,7 @@ def ic_versus_beta(df: DataFrame, features: Sequence[str], target: str = "y", ro
     betas = df.sparkSession.createDataFrame(
         [(f, float(c)) for f, c in zip(features, coef, strict=True)], "feature string, partial_beta double"
     )
-    return univariate_ic(df, features, target, rows).join(F.broadcast(betas), "feature").withColumn(
+    return univariate_ic(df, features, target, rows).join(broadcast_if(betas, len(features)), "feature").withColumn(
         "agree", F.signum("univariate_ic") == F.signum("partial_beta")
     )
 
@@ -290,7 +291,7 @@ def ic_by_volatility(ic: DataFrame, panel: DataFrame, keys: Sequence[str] = ("mo
     volatility = returns.groupBy("date").agg(F.stddev_samp("_r").alias("xs_vol")).where(F.col("xs_vol").isNotNull())
     middle = quantiles(volatility, [], "xs_vol", {"m": 0.5}).first()["m"]
     # One row per calendar day.
-    marked = ic.join(F.broadcast(volatility), "date").withColumn("high_vol", F.col("xs_vol") > F.lit(middle))
+    marked = ic.join(broadcast_dates(volatility), "date").withColumn("high_vol", F.col("xs_vol") > F.lit(middle))
     return marked.groupBy(*keys, "high_vol").agg(
         F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count("ic").alias("n_dates")
     )

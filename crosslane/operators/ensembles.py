@@ -16,6 +16,7 @@ from crosslane.operators.folds import date_index
 from crosslane.operators.gram import Gram, collect_grams, gram, solve_nnls, solve_ridge
 from crosslane.operators.metrics import daily_ic, full_coverage, on_common_dates
 from crosslane.operators.ranking import add_average_rank, add_group_stats
+from crosslane.session import broadcast_dates, broadcast_if
 from crosslane.sources.store import mean_predictions
 
 BY_MODEL_DATE = ("model_id", "date")
@@ -83,7 +84,7 @@ def _fold_grams(train: DataFrame, models: Sequence[str], bucket) -> dict[tuple[i
     n = index.count()
     fold = index.withColumn("_fold", F.floor(F.col("idx") * STACK_FOLDS / n).cast("int")).drop("idx")
     # One row per calendar day.
-    marked = train.join(F.broadcast(fold), "date").withColumn("_bucket", bucket)
+    marked = train.join(broadcast_dates(fold), "date").withColumn("_bucket", bucket)
     return {
         (r["_bucket"], r["_fold"]): Gram.from_row(r)
         for r in gram(marked, models, "realized", ["_bucket", "_fold"]).collect()
@@ -204,18 +205,18 @@ def regime_softmax(
     scores = mean_predictions(on_common_dates(eval_df))
     realized = eval_df.groupBy("date", "ticker").agg(F.max("realized").alias("realized"))
     frame = zscore_predictions(
-        scores.join(realized, ["date", "ticker"]).join(F.broadcast(dispersion), "date"), rows
+        scores.join(realized, ["date", "ticker"]).join(broadcast_dates(dispersion), "date"), rows
     )
     half = F.lit(midpoint(frame))
     train, test = frame.where(F.col("date") < half), frame.where(F.col("date") >= half)
     days = train.select("date", "dispersion").distinct()
     edges = thresholds_of(days, "dispersion", n_buckets, nearest=True)
     bucket = bucket_by("dispersion", edges)
-    ic = daily_ic(train, ["model_id"], rows=rows).join(F.broadcast(days), "date").withColumn("bucket", bucket)
+    ic = daily_ic(train, ["model_id"], rows=rows).join(broadcast_dates(days), "date").withColumn("bucket", bucket)
     mean_ic = ic.groupBy("bucket", "model_id").agg(F.avg("ic").alias("mean_ic"))
     weights = softmax_weights(mean_ic, models, n_buckets, temperature)
     # buckets x models rows.
-    weighted = test.withColumn("bucket", bucket).join(F.broadcast(weights), ["bucket", "model_id"])
+    weighted = test.withColumn("bucket", bucket).join(broadcast_if(weights, n_buckets * len(models)), ["bucket", "model_id"])
     return combine(weighted, len(models)), weights
 
 
@@ -272,8 +273,8 @@ def walk_forward_softmax(
     eval_df = df.where(F.col("model_id").isin(list(models)))
     scores = mean_predictions(on_common_dates(eval_df))
     realized = eval_df.groupBy("date", "ticker").agg(F.max("realized").alias("realized"))
-    frame = zscore_predictions(scores.join(realized, ["date", "ticker"]).join(F.broadcast(dispersion), "date"), rows)
-    days = date_index(frame).join(F.broadcast(dispersion), "date")
+    frame = zscore_predictions(scores.join(realized, ["date", "ticker"]).join(broadcast_dates(dispersion), "date"), rows)
+    days = date_index(frame).join(broadcast_dates(dispersion), "date")
     edges = thresholds_of(days.where(F.col("idx") < train_window), "dispersion", n_buckets, nearest=True)
     days = days.withColumn("bucket", bucket_by("dispersion", edges)).select("date", "idx", "bucket")
     weights = walk_forward_weights(

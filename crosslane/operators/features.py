@@ -26,6 +26,7 @@ from crosslane.operators.registry import (
     series_frame_feature,
 )
 from crosslane.operators.rolling import add_ewm_std, full
+from crosslane.session import broadcast_dates
 from crosslane.sources.bars import log_return
 from crosslane.sources.factors import FACTORS, attach_factors
 
@@ -311,7 +312,7 @@ def add_features(
     df = panel
     if date_columns:
         # One row per calendar day.
-        df = df.join(F.broadcast(market_table(panel)), "date", "left")
+        df = df.join(broadcast_dates(market_table(panel)), "date", "left")
     if factor_columns:
         if factors is None:
             raise ValueError("these features need a factor table")

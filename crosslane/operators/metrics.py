@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from crosslane.functions.numeric import correlation, leg_size, normal_cdf
 from crosslane.operators.ranking import add_average_rank, add_position
+from crosslane.session import broadcast_dates
 
 MODEL = ("model_id",)
 TRADING_DAYS = 252
@@ -212,7 +213,7 @@ def common_dates(df: DataFrame, model: str = "model_id") -> DataFrame:
 
 def on_common_dates(df: DataFrame, model: str = "model_id") -> DataFrame:
     # One row per calendar day.
-    return df.join(F.broadcast(common_dates(df, model)), "date", "left_semi")
+    return df.join(broadcast_dates(common_dates(df, model)), "date", "left_semi")
 
 
 def full_coverage(df: DataFrame, n_models: int | None = None, model: str = "model_id") -> DataFrame:

@@ -20,6 +20,7 @@ from crosslane.functions.numeric import dot
 from crosslane.operators.folds import Fold, chain_folds, date_index
 from crosslane.operators.gram import Gram, collect_grams, gram, solve_l1, solve_ols, solve_ridge
 from crosslane.operators.metrics import daily_ic
+from crosslane.session import broadcast_dates, broadcast_if
 
 
 @dataclass(frozen=True)
@@ -188,7 +189,7 @@ class DateGrams:
         cuts = F.array(*[F.lit(e) for e in self.edges])
         segment = F.size(F.filter(cuts, lambda e: e <= F.col("idx"))) - 1
         # One row per calendar day.
-        marked = train.join(F.broadcast(index.select("date", segment.alias("_segment"))), "date")
+        marked = train.join(broadcast_dates(index.select("date", segment.alias("_segment"))), "date")
         self.parts = collect_grams(gram(marked, features, target, ["_segment"]), "_segment")
 
     def span(self, low: int, high: int) -> Gram:
@@ -242,8 +243,8 @@ def score_candidates(
     value = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = (
         train.select("date", "ticker", x.alias("_x"), F.col(target).alias("realized"))
-        .join(F.broadcast(days), "date")
-        .join(F.broadcast(coef_table), "unit")
+        .join(broadcast_if(days, sum(t.fold.val_to - t.fold.val_from for t in trials)), "date")
+        .join(broadcast_if(coef_table, len(coefs)), "unit")
         .select("unit", "candidate", "date", "ticker", value.alias("prediction"), "realized")
     )
     ic = daily_ic(scored, ["unit", "candidate"], rows=rows)

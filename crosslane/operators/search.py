@@ -25,6 +25,7 @@ from crosslane.operators.models import (
     ridge_alpha_grid,
     select_by_error,
 )
+from crosslane.session import broadcast_dates, broadcast_if
 
 # The search space of the boosted trees; (low, high, scale).
 TREE_SPACE = {
@@ -78,7 +79,7 @@ def sweep(
     data = matrix.dropna(subset=[target, *features])
     index = date_index(data)
     folds = block_folds(index.count(), n_blocks, embargo)
-    numbered = data.join(F.broadcast(index), "date")
+    numbered = data.join(broadcast_dates(index), "date")
     rows_out = []
     for number, params in enumerate(trials):
         scores = []
@@ -144,10 +145,10 @@ def ablation(
     days = index.where(F.col("idx") >= start).select("date")
     value = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = (
-        train.join(F.broadcast(days), "date", "left_semi")
+        train.join(broadcast_dates(days), "date", "left_semi")
         .select("date", "ticker", F.array(*union).alias("_x"), F.col(target).alias("realized"))
         .withColumn("_v", F.explode(F.array(*[F.lit(i) for i in range(len(coefs))])))
-        .join(F.broadcast(_numbered(table, coefs)), "_v")
+        .join(broadcast_if(_numbered(table, coefs), len(coefs)), "_v")
         .select("variant", "kind", "date", "ticker", value.alias("prediction"), "realized")
     )
     ic = daily_ic(scored, ["variant", "kind"], rows=rows)
@@ -188,7 +189,7 @@ def grader_comparison(
     data = matrix.dropna(subset=[target, *features])
     index = date_index(data)
     start = int(index.count() * (1.0 - test_share))
-    numbered = data.join(F.broadcast(index), "date")
+    numbered = data.join(broadcast_dates(index), "date")
     train, test = numbered.where(F.col("idx") < start), numbered.where(F.col("idx") >= start)
     arms, frames = [], None
     for name, cls in (("lasso", LassoCrossSectional), ("ridge", RidgeCrossSectional)):

@@ -20,7 +20,7 @@ from crosslane.operators.features import demean_by_date
 from crosslane.operators.gram import gram, gram_columns, ols_by_group
 from crosslane.operators.metrics import TRADING_DAYS
 from crosslane.operators.models import Model, _keys, register_alias, register_model
-from crosslane.session import fresh_path
+from crosslane.session import broadcast_dates, fresh_path
 from crosslane.sources.bars import add_log_return
 from crosslane.sources.factors import FACTORS, attach_factors
 
@@ -202,7 +202,7 @@ class FamaFrenchFactorModel(_PerTicker):
         loadings = ols_by_group(grams, "ticker string", betas).select("ticker", *betas)
         fitted = excess.join(loadings, "ticker").select("date", "ticker", "excess", *betas)
         days = fitted.select("date").distinct().orderBy(F.desc("date")).limit(int(self.params["lambda_window"]))
-        recent = fitted.join(F.broadcast(days), "date", "left_semi")
+        recent = fitted.join(broadcast_dates(days), "date", "left_semi")
         premia = ols_by_group(
             gram(recent, betas, "excess", ["date"]).where(F.col("n") >= max(2, len(names))),
             "date date",
@@ -273,7 +273,7 @@ def realized_attribution(
     returns = add_log_return(panel).where(F.col("log_return").isNotNull())
     days = returns.select("date").distinct().orderBy(F.desc("date")).limit(window)
     daily = (
-        returns.join(F.broadcast(days), "date", "left_semi")
+        returns.join(broadcast_dates(days), "date", "left_semi")
         .join(weights, "ticker")
         .groupBy("date")
         .agg(F.sum(F.col("log_return") * F.col("weight")).alias("portfolio"), F.count(F.lit(1)).alias("_have"))

@@ -14,7 +14,7 @@ from crosslane.functions.numeric import correlation
 from crosslane.operators.folds import date_index, expanding_time_folds
 from crosslane.operators.ranking import add_average_rank, quantiles, value_at
 from crosslane.operators.trees import as_vectors
-from crosslane.session import cut
+from crosslane.session import broadcast_if, cut
 
 # ---- scores ---------------------------------------------------------------------
 
@@ -240,7 +240,7 @@ def category_ranges(df: DataFrame, category: str, target: str, top_k: int = 10,
     if method not in ("iqr", "minmax"):
         raise ValueError("method must be 'iqr' or 'minmax'")
     top = df.groupBy(category).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), category).limit(top_k)
-    part = df.join(F.broadcast(top.select(category)), category, "left_semi")
+    part = df.join(broadcast_if(top.select(category), top_k), category, "left_semi")
     if method == "iqr":
         spots = quantiles(part, [category], target, {"lo": 0.25, "hi": 0.75}, rows)
     else:
@@ -282,9 +282,10 @@ def train_by_horizon(
     for horizon in sorted(r[0] for r in df.select("horizon").distinct().collect()):
         part = df.where(F.col("horizon") == F.lit(horizon))
         index = date_index(part, time)
-        numbered = as_vectors(part.join(F.broadcast(index), time), list(features)).persist()
+        steps = index.count()
+        numbered = as_vectors(part.join(broadcast_if(index, steps), time), list(features)).persist()
         try:
-            for fold in expanding_time_folds(index.count(), n_folds):
+            for fold in expanding_time_folds(steps, n_folds):
                 train = numbered.where(F.col("idx") < fold.train_to)
                 held = numbered.where((F.col("idx") >= fold.val_from) & (F.col("idx") < fold.val_to))
                 names = []

@@ -8,6 +8,7 @@ the given Parquet files, so their size follows the files.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +46,18 @@ def once(name: str, sources: tuple[str, ...], build: Callable[[SparkSession, str
 def build_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per brand. All aggregates combine before the shuffle, so a hot brand or date is no hot task;
     the join with the parts is left to Catalyst (broadcast by size, else skew-aware)."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    # (order, line, price to 1e-6) in one wide decimal: a fixed-width buffer keeps this a hash
+    # aggregate, where a struct would make it sort every input row.
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
+    place = line * F.lit(Decimal(10**15)) + F.floor(price * 1e6).cast("decimal(15,0)")
     lines = table(spark, sf, "lineitem").select(
         "l_partkey",
         F.to_date("l_shipdate").alias("date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        price.alias("price"),
         "l_quantity",
         "l_discount",
-        F.struct(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-        ).alias("place"),
+        place.cast("decimal(38,0)").alias("place"),
     )
     brands = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
     return (

@@ -16,7 +16,7 @@ from crosslane.operators.features import build_feature_matrix, drop_warmup_rows
 from crosslane.operators.folds import Split, date_index, slice_test, slice_train, splits_table, walk_forward_splits
 from crosslane.operators.metrics import compare_models, join_realized
 from crosslane.operators.models import Model, ModelConfig, _Linear, build_model
-from crosslane.session import cut
+from crosslane.session import broadcast_dates, broadcast_if, cut
 from crosslane.sources.bars import attach_sector, between
 from crosslane.sources.membership import filter_to_members
 from crosslane.sources.store import PredictionStore, common_columns_union
@@ -114,8 +114,8 @@ def linear_walk_forward(
     predictions = (
         matrix.dropna(subset=features)
         .select("date", "ticker", *features)
-        .join(F.broadcast(schedule), "date")
-        .join(F.broadcast(coefs), "split")
+        .join(broadcast_dates(schedule), "date")
+        .join(broadcast_if(coefs, len(fitted)), "split")
         .select("date", "ticker", value.alias("prediction"), "split")
     )
     table = spark.createDataFrame(
@@ -167,7 +167,7 @@ def write_splits(store: PredictionStore, run: WalkForward, model_id: str, experi
     if run.predictions.isEmpty():
         return 0
     refit = splits_table(run.predictions.sparkSession, run.splits).select("split", "refit_date")
-    rows = run.predictions.join(F.broadcast(refit), "split")
+    rows = run.predictions.join(broadcast_if(refit, len(run.splits)), "split")
     return store.write(rows, experiment_id, horizon, model_id=model_id, generated_at=F.col("refit_date"))
 
 

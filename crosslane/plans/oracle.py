@@ -40,7 +40,7 @@ def average_rank(x: str, by: str) -> str:
     )
 
 
-_PLACE = "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
+_PLACE = "(l_orderkey, l_linenumber, l_extendedprice / l_quantity)"
 
 
 def _factor(priority: str) -> str:

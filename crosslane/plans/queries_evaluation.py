@@ -15,7 +15,7 @@ from crosslane.operators.neutralize import neutralized_ic
 from crosslane.plans import binding as b
 from crosslane.plans.catalog import query, rounded, shortened
 from crosslane.plans.oracle import BLOCKS, average_rank, r, rank_share, with_blocks
-from crosslane.session import cut
+from crosslane.session import broadcast_dates, cut
 from crosslane.sources.membership import filter_to_members, survivors
 
 
@@ -688,7 +688,7 @@ def rank_average_comparison(spark, sf):
 
 def _wide(spark, sf):
     days = dg.dispersion_by_date(b.bars(spark, sf))
-    frame = b.evaluation(spark, sf).join(F.broadcast(days), "date")
+    frame = b.evaluation(spark, sf).join(broadcast_dates(days), "date")
     return en.prediction_matrix(frame, b.MODELS, ["realized", "dispersion"], b.names_bound(spark, sf))
 
 

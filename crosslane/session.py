@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_TASK_ROWS = 1_000_000
 
@@ -18,6 +19,8 @@ def build_session(master: str | None = None, app: str = "crosslane", **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call sites of every column cost more than planning does on wide matrices.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -55,6 +58,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# Rows that a table may have to be sent to every executor without a further check.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table known to have ``rows`` rows if they are few, else leave the join to Catalyst."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def broadcast_dates(df: DataFrame, column: str = "date") -> DataFrame:
+    """Broadcast a table with one row per day: the calendar bounds it.
+
+    Only the date type gives that bound; with any other time type the join is left to Catalyst.
+    """
+    return F.broadcast(df) if dict(df.dtypes)[column] == "date" else df
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
@@ -71,6 +91,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where the folder is not there."""
+    if not path_exists(spark, path):
+        return []
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(jvm_path)]
+
+
 def source_stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     """(bytes, modification time) of a file or folder, to notice changed sources."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslane.session import fresh_path, path_exists
+from crosslane.session import cut, list_names, path_exists
 
 BAR_SCHEMA = T.StructType(
     [
@@ -63,18 +63,39 @@ def normalize_bars(raw: DataFrame, ticker: str | Column | None = None) -> DataFr
     return raw.select(*typed).withColumn("adj_close", F.coalesce("adj_close", "close")).where(F.col("close").isNotNull())
 
 
-def merge_bars(stored: DataFrame, landed: DataFrame, tickers: Sequence[str] | None = None) -> DataFrame:
-    """Stored rows plus landed rows from each ticker's last stored date on, newest source first.
+def one_per_key(bars: DataFrame) -> DataFrame:
+    """One row per (date, ticker): of several, the largest by close, adjusted close and volume."""
+    row = F.max_by(F.struct(*[f.name for f in BAR_SCHEMA]), F.struct("close", "adj_close", "volume"))
+    return bars.groupBy("date", "ticker").agg(row.alias("_row")).select("_row.*")
+
+
+def last_dates(stored: DataFrame) -> DataFrame:
+    """(ticker, last_date): one row per ticker."""
+    return stored.groupBy("ticker").agg(F.max("date").alias("last_date"))
+
+
+def fresh_rows(landed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Landed rows from each ticker's last stored date on, one per (date, ticker)."""
+    known = landed.join(marks, "ticker", "left")
+    return one_per_key(known.where(F.col("last_date").isNull() | (F.col("date") >= F.col("last_date"))).drop("last_date"))
+
 
-    One row per (date, ticker): a landed row replaces the stored one.
+def replace_rows(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``fresh`` rows and the stored rows of all other keys.
+
+    The anti join leaves the stored side where it is when the fresh keys are small enough for
+    Catalyst to broadcast.
     """
-    marks = stored.groupBy("ticker").agg(F.max("date").alias("_from"))
-    fresh = landed.join(marks, "ticker", "left").where(F.col("_from").isNull() | (F.col("date") >= F.col("_from")))
-    both = stored.withColumn("_landed", F.lit(0)).unionByName(fresh.drop("_from").withColumn("_landed", F.lit(1)))
+    kept = stored.join(fresh.select("date", "ticker"), ["date", "ticker"], "left_anti")
+    return kept.select(*[f.name for f in BAR_SCHEMA]).unionByName(fresh)
+
+
+def merge_bars(stored: DataFrame, landed: DataFrame, tickers: Sequence[str] | None = None) -> DataFrame:
+    """Stored rows plus landed rows from each ticker's last stored date on; a landed row replaces the stored one."""
     if tickers is not None:
-        both = both.where(F.col("ticker").isin(list(tickers)))
-    newest = F.max_by(F.struct(*[f.name for f in BAR_SCHEMA]), F.struct("_landed", "close", "adj_close", "volume"))
-    return both.groupBy("date", "ticker").agg(newest.alias("_row")).select("_row.*")
+        wanted = F.col("ticker").isin(list(tickers))
+        stored, landed = stored.where(wanted), landed.where(wanted)
+    return replace_rows(stored, fresh_rows(landed, last_dates(stored)))
 
 
 def between(df: DataFrame, start: date | str | None, end: date | str | None) -> DataFrame:
@@ -87,43 +108,72 @@ def between(df: DataFrame, start: date | str | None, end: date | str | None) ->
 
 
 class BarStore:
-    """The panel as a Parquet table, one folder per year of dates.
+    """The panel as Parquet, one folder per version and year of dates.
 
-    The folders follow the date, so a date range prunes folders and a hot ticker has no folder
-    of its own. Every merge writes a new version and then moves the pointer, so a job that
-    dies half way leaves the old version readable.
+    A version writes only the years that changed; its manifest names, for every year, the version
+    that holds it. The manifest is written last, so a job that dies leaves the old version
+    readable, and old files are never changed. Each version also keeps every ticker's last date
+    (one row per ticker), so that an extension reads no older years. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _current(self) -> str | None:
-        pointer = f"{self.path}/current"
-        if not path_exists(self.spark, pointer):
-            return None
-        return self.spark.read.text(pointer).agg(F.max("value")).first()[0]
+    def _version(self) -> int:
+        """The newest version whose manifest is complete; 0 before the first write."""
+        names = list_names(self.spark, f"{self.path}/manifest")
+        done = [int(n) for n in names if path_exists(self.spark, f"{self.path}/manifest/{n}/_SUCCESS")]
+        return max(done, default=0)
+
+    def _years(self) -> dict[int, int]:
+        version = self._version()
+        if version == 0:
+            return {}
+        rows = self.spark.read.text(f"{self.path}/manifest/{version}").collect()
+        return {int(y): int(v) for y, v in (r["value"].split() for r in rows)}
+
+    def last_dates(self) -> DataFrame:
+        version = self._version()
+        if version == 0:
+            return self.spark.createDataFrame([], "ticker string, last_date date")
+        return self.spark.read.parquet(f"{self.path}/marks/{version}")
 
     def read(self, start: date | str | None = None, end: date | str | None = None) -> DataFrame:
-        version = self._current()
-        if version is None:
+        low = int(str(start)[:4]) if start is not None else 0
+        high = int(str(end)[:4]) if end is not None else 9999
+        return between(self._read_years([y for y in self._years() if low <= y <= high]), start, end)
+
+    def _read_years(self, years: Sequence[int]) -> DataFrame:
+        held = self._years()
+        paths = [f"{self.path}/data/{held[y]}/year={y}" for y in years if y in held]
+        if not paths:
             return self.spark.createDataFrame([], BAR_SCHEMA)
-        df = self.spark.read.parquet(f"{self.path}/{version}")
-        if start is not None:
-            df = df.where(F.col("year") >= int(str(start)[:4]))
-        if end is not None:
-            df = df.where(F.col("year") <= int(str(end)[:4]))
-        return between(df.drop("year"), start, end).select(*[f.name for f in BAR_SCHEMA])
+        return self.spark.read.schema(BAR_SCHEMA).parquet(*paths)
+
+    def _commit(self, rows: DataFrame, marks: DataFrame, kept: dict[int, int]) -> None:
+        version = self._version() + 1
+        spread = F.pmod(F.xxhash64("ticker"), F.lit(64))
+        rows.withColumn("year", F.year("date")).repartition("year", spread).write.mode("overwrite").partitionBy(
+            "year"
+        ).parquet(f"{self.path}/data/{version}")
+        marks.write.mode("overwrite").parquet(f"{self.path}/marks/{version}")
+        names = list_names(self.spark, f"{self.path}/data/{version}")
+        held = {**kept, **{int(n.split("=")[1]): version for n in names if n.startswith("year=")}}
+        lines = self.spark.createDataFrame([(f"{y} {v}",) for y, v in sorted(held.items())], "value string")
+        lines.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{version}")
 
     def write(self, panel: DataFrame) -> None:
-        version = self._current()
-        name = f"v{int(version[1:]) + 1 if version else 1:09d}"
-        panel.withColumn("year", F.year("date")).repartition("year", F.pmod(F.xxhash64("ticker"), F.lit(64))).write.mode(
-            "overwrite"
-        ).partitionBy("year").parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+        self._commit(panel.select(*[f.name for f in BAR_SCHEMA]), last_dates(panel), {})
 
     def extend(self, landed: DataFrame) -> None:
-        self.write(merge_bars(self.read(), landed))
+        """Merge landed bars; only the years they fall into are written again."""
+        marks = self.last_dates()
+        fresh = cut(fresh_rows(landed.select(*[f.name for f in BAR_SCHEMA]), marks), "fresh")
+        years = [r[0] for r in fresh.select(F.year("date")).distinct().collect()]
+        if not years:
+            return
+        moved = last_dates(fresh).unionByName(marks).groupBy("ticker").agg(F.max("last_date").alias("last_date"))
+        self._commit(replace_rows(self._read_years(years), fresh), moved, self._years())
 
 
 def log_return(price: str = "adj_close", steps: int = 1) -> Column:
@@ -149,7 +199,3 @@ def read_bar_files(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     """Landed vendor files; a CSV is read by its header with every column as text."""
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
     return reader.format(fmt).load(path)
-
-
-def scratch_store(spark: SparkSession) -> BarStore:
-    return BarStore(spark, fresh_path(spark, "bars"))

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosslane.session import broadcast_dates
 from crosslane.sources.bars import between
 
 # Factor columns in file order; RF is the risk-free rate.
@@ -59,6 +60,6 @@ def factor_range(factors: DataFrame, start: date | str | None, end: date | str |
 
 def attach_factors(panel: DataFrame, factors: DataFrame, names=FACTORS) -> DataFrame:
     """Left join by date. The factor table has one row per calendar day, which bounds the broadcast."""
-    return panel.join(F.broadcast(factors.select("date", *names)), "date", "left")
+    return panel.join(broadcast_dates(factors.select("date", *names)), "date", "left")
 
 

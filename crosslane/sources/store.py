@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosslane.session import list_names
+
 STORE_SCHEMA = T.StructType(
     [
         T.StructField("generated_at", T.TimestampNTZType()),
@@ -60,10 +62,6 @@ class PredictionStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def write(self, predictions: DataFrame, experiment_id: str, horizon_days: int, **stamp) -> int:
         """Append and return the number of rows; an empty frame changes nothing."""
         if predictions.isEmpty():
@@ -82,8 +80,7 @@ class PredictionStore:
         return int(count.get["n"])
 
     def table(self) -> DataFrame:
-        folder, fs = self._fs()
-        if not fs.exists(folder) or not fs.listStatus(folder):
+        if not list_names(self.spark, self.path):
             return self.spark.createDataFrame([], STORE_SCHEMA)
         return self.spark.read.schema(STORE_SCHEMA).parquet(self.path).select(*STORE_SCHEMA.fieldNames())
 
@@ -94,9 +91,8 @@ class PredictionStore:
 
     def clear_experiment(self, experiment_id: str) -> None:
         """Drop the folder of one experiment; the rest of the table is not touched."""
-        _, fs = self._fs()
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/experiment_id={experiment_id}")
-        fs.delete(folder, True)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def latest(self, model_ids: Sequence[str] | None = None, as_of: date | str | None = None) -> DataFrame:
         return latest_predictions(self.table(), model_ids, as_of)

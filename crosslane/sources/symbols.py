@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosslane.session import list_names
+
 # Class-share symbols written with a dash.
 PUNCTUATION = {"BRK.B": "BRK-B", "BF.B": "BF-B"}
 
@@ -66,9 +68,4 @@ def load_universe(spark: SparkSession, folder: str, name: str, rules: SymbolRule
 
 
 def list_universes(spark: SparkSession, folder: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(n[: -len(".txt")] for n in names if n.endswith(".txt"))
+    return sorted(n[: -len(".txt")] for n in list_names(spark, folder) if n.endswith(".txt"))
