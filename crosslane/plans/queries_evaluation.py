@@ -368,15 +368,7 @@ def dollar_pnl(spark, sf):
     return rounded(tn.dollar_pnl(books.withColumn("ret", F.col("ret") * 0.05), 10))
 
 
-@query(
-    "long_only_book",
-    with_blocks(
-        ("predictions", "bars"),
-        f"""SELECT model_id, date, {r('avg(raw) FILTER (WHERE top)')} AS book, {r('avg(raw)')} AS bench,
-  {r('sum(CASE WHEN top AND pj IS NULL THEN 1 ELSE 0 END) * 1.0 / max(k)')} AS turnover
-FROM (SELECT p.*, q.j AS pj FROM tp p LEFT JOIN (SELECT model_id, j + 1 AS j, ticker FROM tp WHERE top) q
-  ON p.model_id = q.model_id AND p.j = q.j AND p.ticker = q.ticker) GROUP BY 1, 2""",
-        {
+_LONG_ONLY = {
             "fw": "SELECT date, ticker, lead(adj_close, 21) OVER (PARTITION BY ticker ORDER BY date) / adj_close - 1 AS raw FROM bars",
             "v": "SELECT p.*, raw FROM predictions p JOIN fw USING (date, ticker) WHERE raw IS NOT NULL",
             "rd": """SELECT v.* FROM v JOIN (SELECT model_id, date, row_number() OVER (PARTITION BY model_id ORDER BY date) - 1 AS i
@@ -385,7 +377,19 @@ FROM (SELECT p.*, q.j AS pj FROM tp p LEFT JOIN (SELECT model_id, j + 1 AS j, ti
   count(*) OVER (PARTITION BY model_id, date) AS n FROM rd""",
             "tp": """SELECT *, greatest(1, CAST(round_even(n * 0.2, 0) AS INT)) AS k, pos > n - greatest(1, CAST(round_even(n * 0.2, 0) AS INT)) AS top,
   dense_rank() OVER (PARTITION BY model_id ORDER BY date) AS j FROM pl WHERE n >= 10""",
-        },
+    "lo": """SELECT model_id, date, avg(raw) FILTER (WHERE top) AS book, avg(raw) AS bench,
+  sum(CASE WHEN top AND pj IS NULL THEN 1 ELSE 0 END) * 1.0 / max(k) AS turnover
+  FROM (SELECT p.*, q.j AS pj FROM tp p LEFT JOIN (SELECT model_id, j + 1 AS j, ticker FROM tp WHERE top) q
+    ON p.model_id = q.model_id AND p.j = q.j AND p.ticker = q.ticker) GROUP BY 1, 2""",
+}
+
+
+@query(
+    "long_only_book",
+    with_blocks(
+        ("predictions", "bars"),
+        f"SELECT model_id, date, {r('book')} AS book, {r('bench')} AS bench, {r('turnover')} AS turnover FROM lo",
+        _LONG_ONLY,
     ),
 )
 def long_only_book(spark, sf):
@@ -398,9 +402,28 @@ def _long_only(spark, sf):
     return tn.long_only_books(frame, 21, rows=b.names_bound(spark, sf))
 
 
-@query("long_only_summary")
+def _cum(x: str) -> str:
+    return f"(exp(sum(ln(1 + {x}))) - 1)"
+
+
+@query(
+    "long_only_summary",
+    with_blocks(
+        ("predictions", "bars"),
+        f"""SELECT model_id, count(*) AS n_rebalances, {r('avg(turnover) * 12.0')} AS annual_turnover, {r('avg(b)')} AS mean_book, {r('avg(e)')} AS mean_bench,
+  {r('avg(b - e)')} AS mean_alpha, {r(_cum('b') + ' * 1000', 4)} AS book_pnl, {r(_cum('e') + ' * 1000', 4)} AS bench_pnl,
+  {r(f"({_cum('b')} - {_cum('e')}) * 1000", 4)} AS alpha_pnl, {r(f"{_cum('e')} / {_cum('b')}")} AS bench_share,
+  {', '.join(r(_cum(f'b - turnover * {2 * c / 10000}') + ' * 1000', 4) + f' AS net_pnl_{c}bp' for c in (3, 10))}
+FROM (SELECT *, book * 0.005 AS b, bench * 0.005 AS e FROM lo) GROUP BY 1""",
+        _LONG_ONLY,
+    ),
+)
 def long_only_summary(spark, sf):
-    return rounded(tn.long_only_summary(_long_only(spark, sf)))
+    """Returns are scaled down, as for the dollar profit."""
+    books = _long_only(spark, sf).withColumns({c: F.col(c) * 0.005 for c in ("book", "bench")})
+    out = tn.long_only_summary(books)
+    money = [c for c in out.columns if "pnl" in c]
+    return rounded(out.withColumns({c: shortened(c, 4) for c in money}))
 
 
 @query(
@@ -441,7 +464,18 @@ def bucket_returns(spark, sf):
     return rounded(rb.bucket_returns(df, 10, rows=rows))
 
 
-@query("bucket_monotonicity")
+@query(
+    "bucket_monotonicity",
+    with_blocks(
+        ("placed",),
+        """SELECT a.model_id, count(*) FILTER (WHERE z.m > a.m) AS steps_up, count(*) AS steps FROM bk a
+JOIN bk z ON z.model_id = a.model_id AND z.bucket = a.bucket + 1 GROUP BY 1""",
+        {
+            "bk": """SELECT model_id, bucket, avg(m) AS m FROM (SELECT model_id, date, ((pos - 1) * 10) // n + 1 AS bucket, avg(realized) AS m
+  FROM placed WHERE n >= 10 GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+        },
+    ),
+)
 def bucket_monotonicity(spark, sf):
     df, rows = _frame(spark, sf)
     return rb.is_monotonic(rb.bucket_returns(df, 10, rows=rows))
@@ -525,7 +559,29 @@ def neutralized(spark, sf):
     return rounded(neutralized_ic(part, ["x"], rows=rows))
 
 
-@query("neutralized_ic_multi")
+@query(
+    "neutralized_ic_multi",
+    with_blocks(
+        ("evaluation", "matrix", "ic"),
+        f"""SELECT 'mom60' AS model_id, {r('g')} AS ic_gross, {r('avg(c)')} AS ic_neutralized, count(*) AS n_dates, {r('g - avg(c)')} AS delta
+FROM cc, (SELECT avg(ic) AS g FROM ic WHERE model_id = 'mom60') WHERE n >= 5 AND c IS NOT NULL AND isfinite(c) GROUP BY g""",
+        {
+            "f": """SELECT e.date, prediction AS p, realized AS y, range_ratio AS x, adj_close AS z FROM evaluation e JOIN matrix m USING (date, ticker)
+  WHERE model_id = 'mom60' AND prediction IS NOT NULL""",
+            "s": """SELECT *, count(*) OVER w AS n1, count(y) OVER w AS n2,
+    covar_pop(x, x) OVER w AS a, covar_pop(x, z) OVER w AS b, covar_pop(z, z) OVER w AS d, covar_pop(x, p) OVER w AS e, covar_pop(z, p) OVER w AS g,
+    avg(p) OVER w AS mp, avg(x) OVER w AS mx, avg(z) OVER w AS mz,
+    covar_pop(xx, xx) OVER w AS a2, covar_pop(xx, zz) OVER w AS b2, covar_pop(zz, zz) OVER w AS d2, covar_pop(xx, y) OVER w AS e2, covar_pop(zz, y) OVER w AS g2,
+    avg(y) OVER w AS my, avg(xx) OVER w AS mx2, avg(zz) OVER w AS mz2
+  FROM (SELECT *, CASE WHEN y IS NOT NULL THEN x END AS xx, CASE WHEN y IS NOT NULL THEN z END AS zz FROM f) WINDOW w AS (PARTITION BY date)""",
+            "rs": """SELECT date, round(p - CASE WHEN n1 > 3 THEN mp + CASE WHEN a < 1e-12 THEN g / d * (z - mz) ELSE (e * d - g * b) / (a * d - b * b) * (x - mx) + (g * a - e * b) / (a * d - b * b) * (z - mz) END ELSE 0 END, 9) AS u,
+  round(y - CASE WHEN n2 > 3 THEN my + CASE WHEN a2 < 1e-12 THEN g2 / d2 * (z - mz2) ELSE (e2 * d2 - g2 * b2) / (a2 * d2 - b2 * b2) * (x - mx2) + (g2 * a2 - e2 * b2) / (a2 * d2 - b2 * b2) * (z - mz2) END ELSE 0 END, 9) AS v
+  FROM s WHERE y IS NOT NULL""",
+            "rk": f"SELECT date, {average_rank('u', 'date')} AS ru, {average_rank('v', 'date')} AS rv FROM rs",
+            "cc": "SELECT date, corr(ru, rv) AS c, count(*) AS n FROM rk GROUP BY 1",
+        },
+    ),
+)
 def neutralized_multi(spark, sf):
     df, rows = _frame(spark, sf)
     side = b.matrix(spark, sf).select("date", "ticker", F.col("range_ratio").alias("x"), F.col("adj_close").alias("z"))
@@ -677,12 +733,37 @@ def rank_average_ensemble(spark, sf):
     return rounded(out.select("date", "ticker", "prediction"))
 
 
-@query("rank_average_comparison")
+@query(
+    "rank_average_comparison",
+    with_blocks(
+        ("predictions", "matrix"),
+        f"""SELECT model_id, n_observations, n_dates, {r('information_coefficient')} AS information_coefficient, {r('ic_t_stat')} AS ic_t_stat, {r('hit_rate')} AS hit_rate,
+  {r('mae')} AS mae, {r('rmse')} AS rmse, {r('long_short_sharpe')} AS long_short_sharpe
+FROM (SELECT model_id, count(*) AS n_observations, count(DISTINCT date) AS n_dates, avg(CASE WHEN sign(p) = sign(y) THEN 1.0 ELSE 0.0 END) AS hit_rate,
+  avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse FROM v GROUP BY 1)
+JOIN (SELECT model_id, avg(ic) AS information_coefficient, avg(ic) * sqrt(count(*)) / stddev_samp(ic) AS ic_t_stat FROM ics
+  WHERE n >= 5 AND ic IS NOT NULL AND isfinite(ic) GROUP BY 1) USING (model_id)
+JOIN (SELECT model_id, avg(ret) / stddev_samp(ret) * {_ann(5)} AS long_short_sharpe FROM bk GROUP BY 1) USING (model_id)""",
+        {
+            "fc": "SELECT * FROM predictions WHERE (date, ticker) IN (SELECT (date, ticker) FROM predictions GROUP BY date, ticker HAVING count(DISTINCT model_id) = 4)",
+            "al": f"""SELECT model_id, date, ticker, prediction AS p FROM fc UNION ALL SELECT 'rank_average', date, ticker, avg(x) FROM (
+  SELECT date, ticker, {rank_share('prediction', 'model_id, date')} AS x FROM fc) GROUP BY 2, 3""",
+            "v": "SELECT al.*, round(p, 12) AS q, m.y FROM al JOIN matrix m USING (date, ticker) WHERE m.y IS NOT NULL",
+            "rk": f"SELECT model_id, date, {average_rank('q', 'model_id, date')} AS a, {average_rank('y', 'model_id, date')} AS z FROM v",
+            "ics": "SELECT model_id, date, corr(a, z) AS ic, count(*) AS n FROM rk GROUP BY 1, 2",
+            "pl": """SELECT *, row_number() OVER (PARTITION BY model_id, date ORDER BY q, ticker) AS pos, count(*) OVER (PARTITION BY model_id, date) AS n FROM v""",
+            "bk": """SELECT model_id, date, avg(y) FILTER (WHERE pos > n - k) - avg(y) FILTER (WHERE pos <= k) AS ret FROM (
+  SELECT *, greatest(1, CAST(round_even(n * 0.2, 0) AS INT)) AS k FROM pl WHERE n >= 10) GROUP BY 1, 2""",
+        },
+    ),
+)
 def rank_average_comparison(spark, sf):
     """The ensemble and its constituents on the pairs all of them cover."""
     rows = b.names_bound(spark, sf)
     single = mt.full_coverage(b.predictions(spark, sf)).select("model_id", "date", "ticker", "prediction")
     both = single.unionByName(en.rank_average(single, b.MODELS, rows=rows).select(*single.columns))
+    # Means of equal ranks in another order differ in the last bit; they are ties.
+    both = both.withColumn("prediction", F.round("prediction", 12))
     return rounded(mt.compare_models(mt.join_realized(both, b.matrix(spark, sf)), rows=rows))
 
 

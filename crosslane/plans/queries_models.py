@@ -26,7 +26,7 @@ from crosslane.operators.models import (
 )
 from crosslane.plans import binding as b
 from crosslane.plans import experiment as ex
-from crosslane.plans.catalog import query, rounded, shortened
+from crosslane.plans.catalog import ORACLE, query, rounded, shortened
 from crosslane.plans.oracle import BLOCKS, lag, r, rank_share, with_blocks
 from crosslane.session import cut, fresh_path
 from crosslane.sources.factors import FACTORS
@@ -217,10 +217,10 @@ def ablation_grid(spark, sf):
     return rounded(se.ablation(ranked(spark, sf), variants, rows=b.names_bound(spark, sf)))
 
 
-@query("save_and_load")
+@query("save_and_load", ORACLE["ols_predictions"])
 def save_and_load(spark, sf):
     """Predictions of a model that was saved and read back."""
-    model = OLSCrossSectional(ModelConfig("ols", FOUR)).fit(ranked(spark, sf))
+    model = OLSCrossSectional(ModelConfig("ols", TWO)).fit(ranked(spark, sf))
     path = fresh_path(spark, "model")
     model.save(spark, path)
     return rounded(Model.load(spark, path).predict(ranked(spark, sf)))
@@ -374,10 +374,19 @@ def volatility_half_life(spark, sf):
     return out.withColumns({"persistence": shortened("persistence", 5), "half_life": shortened("half_life", 3)})
 
 
-@query("volatility_paths")
+@query(
+    "volatility_paths",
+    with_blocks(
+        ("lret",),
+        f"""SELECT l.date, l.ticker, {r('sqrt(greatest(tv + ps * (avg(lr * lr) OVER w - tv), 0))', 5)} AS model_vol,
+  {r('CASE WHEN count(lr) OVER w = 20 THEN stddev_samp(lr) OVER w END', 5)} AS realized_vol
+FROM lret l JOIN vf USING (ticker) WINDOW w AS (PARTITION BY l.ticker ORDER BY l.date ROWS 19 PRECEDING)""",
+        _VOL,
+    ),
+)
 def volatility_paths(spark, sf):
     model = build_model("MomentVolForecaster", ModelConfig("vol", ())).fit(b.bars(spark, sf))
-    return rounded(sm.volatility_paths(b.bars(spark, sf), model))
+    return rounded(sm.volatility_paths(b.bars(spark, sf), model), 5)
 
 
 @query(
@@ -418,7 +427,15 @@ def ljung_box(spark, sf):
     return rounded(sm.ljung_box(sm.autocorrelation(b.bars(spark, sf), 30)), 4)
 
 
-@query("adf_statistic")
+def _adf_sql(series: str, x: str) -> str:
+    return f"""SELECT '{series}' AS series, ticker, n, {r('t', 4)} AS adf_stat, t < -2.86 AS stationary_5pct FROM (
+  SELECT ticker, n, (p * d - q * c) / (a * d - c * c) / sqrt(n * (v - (p * (p * d - q * c) + q * (q * a - p * c)) / (a * d - c * c)) / (n - 3) * d / (n * (a * d - c * c))) AS t
+  FROM (SELECT ticker, count(*) AS n, var_pop(dy) AS v, covar_pop(l, l) AS a, covar_pop(l, dl) AS c, covar_pop(dl, dl) AS d, covar_pop(l, dy) AS p, covar_pop(dl, dy) AS q
+    FROM (SELECT *, {lag('dy', 1)} AS dl FROM (SELECT ticker, date, {x} - {lag(x, 1)} AS dy, {lag(x, 1)} AS l FROM lret WHERE {x} IS NOT NULL))
+    WHERE dl IS NOT NULL GROUP BY 1))"""
+
+
+@query("adf_statistic", with_blocks(("lret",), f"{_adf_sql('price', 'adj_close')} UNION ALL {_adf_sql('return', 'lr')}"))
 def adf_statistic(spark, sf):
     prices = sm.adf_statistic(b.bars(spark, sf), "adj_close").withColumn("series", F.lit("price"))
     returns = sm.adf_statistic(sm.add_log_return(b.bars(spark, sf)), "log_return").withColumn("series", F.lit("return"))
