@@ -16,7 +16,7 @@ from crosslane.operators.folds import date_index
 from crosslane.operators.gram import Gram, collect_grams, gram, solve_nnls, solve_ridge
 from crosslane.operators.metrics import daily_ic, full_coverage, on_common_dates
 from crosslane.operators.ranking import add_average_rank, add_group_stats
-from crosslane.session import broadcast_dates, broadcast_if
+from crosslane.session import broadcast_dates, broadcast_if, cut
 from crosslane.sources.store import mean_predictions
 
 BY_MODEL_DATE = ("model_id", "date")
@@ -174,6 +174,7 @@ def stack_ensemble(
     wide: DataFrame, models: Sequence[str], kind: str = "ridge", n_buckets: int = 1
 ) -> tuple[DataFrame, list[Stack]]:
     """Fit on the first half of the dates, score the second half."""
+    wide = cut(wide, "wide")
     half = F.lit(midpoint(wide))
     train, test = wide.where(F.col("date") < half), wide.where(F.col("date") >= half)
     thresholds = thresholds_of(train, "dispersion", n_buckets) if n_buckets > 1 else []
@@ -204,8 +205,10 @@ def regime_softmax(
     eval_df = df.where(F.col("model_id").isin(list(models)))
     scores = mean_predictions(on_common_dates(eval_df))
     realized = eval_df.groupBy("date", "ticker").agg(F.max("realized").alias("realized"))
-    frame = zscore_predictions(
-        scores.join(realized, ["date", "ticker"]).join(broadcast_dates(dispersion), "date"), rows
+    # Read by the split date, the edges, the scores and the weighting.
+    frame = cut(
+        zscore_predictions(scores.join(realized, ["date", "ticker"]).join(broadcast_dates(dispersion), "date"), rows),
+        "scores",
     )
     half = F.lit(midpoint(frame))
     train, test = frame.where(F.col("date") < half), frame.where(F.col("date") >= half)
@@ -273,7 +276,11 @@ def walk_forward_softmax(
     eval_df = df.where(F.col("model_id").isin(list(models)))
     scores = mean_predictions(on_common_dates(eval_df))
     realized = eval_df.groupBy("date", "ticker").agg(F.max("realized").alias("realized"))
-    frame = zscore_predictions(scores.join(realized, ["date", "ticker"]).join(broadcast_dates(dispersion), "date"), rows)
+    dispersion = cut(dispersion, "dispersion")
+    frame = cut(
+        zscore_predictions(scores.join(realized, ["date", "ticker"]).join(broadcast_dates(dispersion), "date"), rows),
+        "scores",
+    )
     days = date_index(frame).join(broadcast_dates(dispersion), "date")
     edges = thresholds_of(days.where(F.col("idx") < train_window), "dispersion", n_buckets, nearest=True)
     days = days.withColumn("bucket", bucket_by("dispersion", edges)).select("date", "idx", "bucket")

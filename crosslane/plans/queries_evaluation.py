@@ -796,16 +796,12 @@ def prediction_matrix(spark, sf):
 
 def _stack(kind: str, buckets: int):
     def run(spark, sf):
-        out, _ = en.stack_ensemble(_cutwide(spark, sf), b.MODELS, kind, buckets)
+        out, _ = en.stack_ensemble(_wide(spark, sf), b.MODELS, kind, buckets)
         return rounded(out.select("date", "ticker", "ensemble_prediction"))
 
     return run
 
 
-def _cutwide(spark, sf):
-    return cut(_wide(spark, sf), "wide")
-
-
 query("ridge_stack")(_stack("ridge", 1))
 query("ridge_stack_by_regime")(_stack("ridge", 3))
 query("nnls_stack")(_stack("nnls", 1))
@@ -814,7 +810,7 @@ query("nnls_stack_by_regime")(_stack("nnls", 3))
 
 @query("stack_weights")
 def stack_weights(spark, sf):
-    wide = _cutwide(spark, sf)
+    wide = cut(_wide(spark, sf), "wide")
     parts = None
     for kind in ("ridge", "nnls"):
         _, stacks = en.stack_ensemble(wide, b.MODELS, kind, 3)
