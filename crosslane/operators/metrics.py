@@ -31,13 +31,24 @@ def annualizer(horizon: int) -> float:
 
 
 def daily_ic(
-    df: DataFrame, keys: Sequence[str] = MODEL, min_rows: int = MIN_IC_ROWS, rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str] = MODEL,
+    min_rows: int = MIN_IC_ROWS,
+    rows: int | None = None,
+    realized_is_ranked: bool = False,
 ) -> DataFrame:
-    """(keys, date, ic, n): Spearman correlation per date; constant or thin dates are left out."""
+    """(keys, date, ic, n): Spearman correlation per date; constant or thin dates are left out.
+
+    ``realized_is_ranked`` says that ``realized`` already holds the ranks inside (keys, date) over
+    these same rows, as when many predictions share one target.
+    """
     by = [*keys, "date"]
     df = scored(df).select(*by, "prediction", "realized")
     df = add_average_rank(df, by, "prediction", "_rp", rows=rows)
-    df = add_average_rank(df, by, "realized", "_rr", rows=rows)
+    if realized_is_ranked:
+        df = df.withColumnRenamed("realized", "_rr")
+    else:
+        df = add_average_rank(df, by, "realized", "_rr", rows=rows)
     out = df.groupBy(*by).agg(correlation("_rp", "_rr").alias("ic"), F.count(F.lit(1)).alias("n"))
     return out.where((F.col("n") >= min_rows) & F.col("ic").isNotNull())
 

@@ -20,6 +20,7 @@ from crosslane.functions.numeric import dot
 from crosslane.operators.folds import Fold, chain_folds, date_index
 from crosslane.operators.gram import Gram, collect_grams, gram, solve_l1, solve_ols, solve_ridge
 from crosslane.operators.metrics import daily_ic
+from crosslane.operators.ranking import add_average_rank
 from crosslane.session import broadcast_dates, broadcast_if
 
 
@@ -241,13 +242,15 @@ def score_candidates(
     ).select("unit", "date")
     x = F.array(*[F.col(f) for f in features])
     value = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    # Every fold and candidate sees whole dates, so the target is ranked once per date.
+    base = add_average_rank(train.select("date", x.alias("_x"), F.col(target).alias("_y")), ["date"], "_y", "realized", rows=rows)
     scored = (
-        train.select("date", "ticker", x.alias("_x"), F.col(target).alias("realized"))
+        base.drop("_y")
         .join(broadcast_if(days, sum(t.fold.val_to - t.fold.val_from for t in trials)), "date")
         .join(broadcast_if(coef_table, len(coefs)), "unit")
-        .select("unit", "candidate", "date", "ticker", value.alias("prediction"), "realized")
+        .select("unit", "candidate", "date", value.alias("prediction"), "realized")
     )
-    ic = daily_ic(scored, ["unit", "candidate"], rows=rows)
+    ic = daily_ic(scored, ["unit", "candidate"], rows=rows, realized_is_ranked=True)
     return ic.groupBy("unit", "candidate").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("n_dates"))
 
 

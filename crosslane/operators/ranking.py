@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosslane.session import cut, task_rows
+from crosslane.session import broadcast_dates, cut, task_rows
 
 _SAMPLES_PER_RANGE = 32
 
@@ -186,6 +186,11 @@ def quantiles(
     return positions.groupBy(*keys).agg(*aggs).drop(*([] if by else keys))
 
 
+def _small_if_dates(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per date is broadcast, so the wide side is not shuffled; other groups are left to Catalyst."""
+    return broadcast_dates(table, by[0]) if len(by) == 1 else table
+
+
 def add_group_stats(
     df: DataFrame, by: Sequence[str], stats: dict[str, Column], rows: int | None = None
 ) -> DataFrame:
@@ -200,7 +205,7 @@ def add_group_stats(
     kept = df.columns
     df = cut(df, "stats")
     table = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(table, list(by), "left").select(*kept, *stats)
+    return df.join(_small_if_dates(table, by), list(by), "left").select(*kept, *stats)
 
 
 def add_group_median(
@@ -210,7 +215,8 @@ def add_group_median(
         return df.withColumn(median_as, F.median(value).over(Window.partitionBy(*by)))
     kept = df.columns
     df = cut(df, "median")
-    return df.join(quantiles(df, by, value, {median_as: 0.5}, rows=rows), list(by), "left").select(*kept, median_as)
+    table = quantiles(df, by, value, {median_as: 0.5}, rows=rows)
+    return df.join(_small_if_dates(table, by), list(by), "left").select(*kept, median_as)
 
 
 def value_at(df: DataFrame, value: str, place: int, rows: int | None = None):

@@ -25,6 +25,7 @@ from crosslane.operators.models import (
     ridge_alpha_grid,
     select_by_error,
 )
+from crosslane.operators.ranking import add_average_rank
 from crosslane.session import broadcast_dates, broadcast_if
 
 # The search space of the boosted trees; (low, high, scale).
@@ -144,14 +145,16 @@ def ablation(
     table = spark.createDataFrame(coefs, "variant string, kind string, n_features int, coef array<double>")
     days = index.where(F.col("idx") >= start).select("date")
     value = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    held = train.join(broadcast_dates(days), "date", "left_semi").select(
+        "date", F.array(*union).alias("_x"), F.col(target).alias("_y")
+    )
     scored = (
-        train.join(broadcast_dates(days), "date", "left_semi")
-        .select("date", "ticker", F.array(*union).alias("_x"), F.col(target).alias("realized"))
+        add_average_rank(held, ["date"], "_y", "realized", rows=rows)
         .withColumn("_v", F.explode(F.array(*[F.lit(i) for i in range(len(coefs))])))
         .join(broadcast_if(_numbered(table, coefs), len(coefs)), "_v")
-        .select("variant", "kind", "date", "ticker", value.alias("prediction"), "realized")
+        .select("variant", "kind", "date", value.alias("prediction"), "realized")
     )
-    ic = daily_ic(scored, ["variant", "kind"], rows=rows)
+    ic = daily_ic(scored, ["variant", "kind"], rows=rows, realized_is_ranked=True)
     scores = ic.groupBy("variant", "kind").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("n_dates"))
     return table.select("variant", "kind", "n_features").join(scores, ["variant", "kind"], "left")
 
