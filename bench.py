@@ -15,6 +15,7 @@ from crosslane.session import build_session
 HEADLINE = [
     "daily_bars",
     "flagship_feature_ic",
+    "wide_universe_feature_ic",
     "feature_idio_vol_20",
     "feature_vol_ewm_20",
     "feature_momentum_60_sector_rel",

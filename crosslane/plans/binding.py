@@ -43,9 +43,12 @@ def once(name: str, sources: tuple[str, ...], build: Callable[[SparkSession, str
     return get
 
 
-def build_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily bars per brand. All aggregates combine before the shuffle, so a hot brand or date is no hot task;
-    the join with the parts is left to Catalyst (broadcast by size, else skew-aware)."""
+def build_bars(spark: SparkSession, sf: str, by_supplier: bool = False) -> DataFrame:
+    """Daily bars per brand, or per supplier for a wide universe.
+
+    All aggregates combine before the shuffle, so a hot brand or date is no hot task; the join with
+    the parts is left to Catalyst (broadcast by size, else skew-aware).
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     # (order, line, price to 1e-6) in one wide decimal: a fixed-width buffer keeps this a hash
     # aggregate, where a struct would make it sort every input row.
@@ -58,11 +61,17 @@ def build_bars(spark: SparkSession, sf: str) -> DataFrame:
         "l_quantity",
         "l_discount",
         place.cast("decimal(38,0)").alias("place"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("supplier"),
     )
-    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
+    if by_supplier:
+        named = lines.withColumnRenamed("supplier", "ticker")
+    else:
+        brands = table(spark, sf, "part").select(
+            F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker")
+        )
+        named = lines.join(brands, "l_partkey")
     return (
-        lines.join(brands, "l_partkey")
-        .groupBy("date", "ticker")
+        named.groupBy("date", "ticker")
         .agg(
             F.min_by("price", "place").alias("open"),
             F.max("price").alias("high"),
@@ -79,6 +88,9 @@ def build_bars(spark: SparkSession, sf: str) -> DataFrame:
 bars = once("bars", ("lineitem", "part"), build_bars)
 
 
+supplier_bars = once("supplier_bars", ("lineitem",), lambda spark, sf: build_bars(spark, sf, by_supplier=True))
+
+
 def names_bound(spark: SparkSession, sf: str) -> int:
     """Tickers: a bound on the rows of one date, since (date, ticker) is unique."""
     return table(spark, sf, "part").select("p_brand").distinct().count()

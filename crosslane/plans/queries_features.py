@@ -209,6 +209,45 @@ def flagship(spark, sf):
     )
 
 
+_WIDE = ("return_5d", "return_1d", "range_ratio")
+
+
+def _wide_sql() -> str:
+    """The brand blocks over suppliers: the same text with another key and no join."""
+    ranks = ", ".join(f"{rank_share(f)} AS r_{f}" for f in _WIDE)
+    union = " UNION ALL ".join(f"SELECT '{f}' AS model_id, date, r_{f} AS p, y FROM rk" for f in _WIDE)
+    bars = BLOCKS["bars"][1].replace("p_brand AS ticker", "'S' || CAST(l_suppkey AS VARCHAR) AS ticker").replace(
+        " JOIN part ON l_partkey = p_partkey", ""
+    )
+    return (
+        f"WITH wb AS MATERIALIZED ({bars}), "
+        f"m AS (SELECT date, ticker, lp - {lag('lp', 5)} AS return_5d, lp - {lag('lp', 1)} AS return_1d, (high - low) / close AS range_ratio, "
+        "lead(lp, 5) OVER (PARTITION BY ticker ORDER BY date) - lp AS a FROM (SELECT *, ln(adj_close) AS lp FROM wb)), "
+        f"rk AS (SELECT date, ticker, {ranks}, a - avg(a) OVER (PARTITION BY date) AS y FROM m), "
+        f"v AS (SELECT * FROM ({union}) WHERE p IS NOT NULL AND y IS NOT NULL), "
+        f"q AS (SELECT model_id, date, {average_rank('p', 'model_id, date')} AS rp, {average_rank('y', 'model_id, date')} AS rr FROM v), "
+        "ic AS (SELECT * FROM (SELECT model_id, date, corr(rp, rr) AS ic, count(*) AS n FROM q GROUP BY 1, 2) "
+        "WHERE n >= 5 AND ic IS NOT NULL AND isfinite(ic)) "
+        f"SELECT model_id, CAST(count(*) AS BIGINT) AS n_ic_dates, {r('avg(ic)')} AS information_coefficient, "
+        f"{r('avg(ic) * sqrt(count(*)) / stddev_samp(ic)', 4)} AS ic_t_stat FROM ic GROUP BY 1"
+    )
+
+
+@query("wide_universe_feature_ic", _wide_sql())
+def wide_universe(spark, sf):
+    """The flagship steps with every supplier as an entity, so the universe grows with the data."""
+    rows = b.supplier_bars(spark, sf).select("ticker").distinct().count()
+    matrix = ft.build_feature_matrix(b.supplier_bars(spark, sf), _WIDE, "rank", 5, rows=rows)
+    long = matrix.unpivot(["date", "ticker", "y"], list(_WIDE), "model_id", "prediction").withColumnRenamed("y", "realized")
+    out = ic_stats(daily_ic(long, rows=rows))
+    return out.select(
+        "model_id",
+        "n_ic_dates",
+        shortened("information_coefficient", 6).alias("information_coefficient"),
+        shortened("ic_t_stat", 4).alias("ic_t_stat"),
+    )
+
+
 # ---- transforms -----------------------------------------------------------------
 
 _XS = ("return_5d", "vol_20", "range_ratio")
