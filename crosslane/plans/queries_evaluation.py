@@ -540,7 +540,7 @@ def shuffle_null(spark, sf):
         f"""SELECT model_id, {r('g')} AS ic_gross, {r('avg(c)')} AS ic_neutralized, count(*) AS n_dates, {r('g - avg(c)')} AS delta
 FROM cc JOIN (SELECT model_id, avg(ic) AS g FROM ic GROUP BY 1) USING (model_id) WHERE n >= 5 AND c IS NOT NULL AND isfinite(c) GROUP BY model_id, g""",
         {
-            "f": "SELECT e.*, m.range_ratio AS x FROM evaluation e JOIN matrix m USING (date, ticker) WHERE model_id IN ('ret5', 'vol20')",
+            "f": "SELECT e.*, m.adj_close AS x FROM evaluation e JOIN matrix m USING (date, ticker)",
             "rs": """SELECT model_id, date, round(prediction - CASE WHEN n1 > 2 AND vx1 > 0 THEN my1 + cxy1 / vx1 * (x - mx1) ELSE 0 END, 10) AS p,
   round(realized - CASE WHEN n2 > 2 AND vx2 > 0 THEN my2 + cxy2 / vx2 * (x - mx2) ELSE 0 END, 10) AS z FROM (
   SELECT *, count(prediction) OVER w AS n1, avg(x) OVER w AS mx1, avg(prediction) OVER w AS my1, covar_pop(x, prediction) OVER w AS cxy1, var_pop(x) OVER w AS vx1,
@@ -554,47 +554,44 @@ FROM cc JOIN (SELECT model_id, avg(ic) AS g FROM ic GROUP BY 1) USING (model_id)
 )
 def neutralized(spark, sf):
     df, rows = _frame(spark, sf)
-    side = b.matrix(spark, sf).select("date", "ticker", F.col("range_ratio").alias("x"))
-    part = df.where(F.col("model_id").isin("ret5", "vol20")).join(side, ["date", "ticker"])
-    return rounded(neutralized_ic(part, ["x"], rows=rows))
+    side = b.matrix(spark, sf).select("date", "ticker", F.col("adj_close").alias("x"))
+    return rounded(neutralized_ic(df.join(side, ["date", "ticker"]), ["x"], rows=rows))
 
 
 @query(
     "neutralized_ic_multi",
     with_blocks(
-        ("evaluation", "matrix", "ic"),
-        f"""SELECT 'mom60' AS model_id, {r('g')} AS ic_gross, {r('avg(c)')} AS ic_neutralized, count(*) AS n_dates, {r('g - avg(c)')} AS delta
-FROM cc, (SELECT avg(ic) AS g FROM ic WHERE model_id = 'mom60') WHERE n >= 5 AND c IS NOT NULL AND isfinite(c) GROUP BY g""",
+        ("evaluation", "bars", "ic"),
+        f"""SELECT model_id, {r('g')} AS ic_gross, {r('avg(c)')} AS ic_neutralized, count(*) AS n_dates, {r('g - avg(c)')} AS delta
+FROM cc JOIN (SELECT model_id, avg(ic) AS g FROM ic GROUP BY 1) USING (model_id) WHERE n >= 5 AND c IS NOT NULL AND isfinite(c) GROUP BY model_id, g""",
         {
-            "f": """SELECT e.date, prediction AS p, realized AS y, range_ratio AS x, adj_close AS z FROM evaluation e JOIN matrix m USING (date, ticker)
-  WHERE model_id = 'mom60' AND prediction IS NOT NULL""",
+            "f": """SELECT model_id, e.date, prediction AS p, realized AS y, CAST(volume AS DOUBLE) AS x, adj_close AS z FROM evaluation e JOIN bars m USING (date, ticker)
+  WHERE prediction IS NOT NULL""",
             "s": """SELECT *, count(*) OVER w AS n1, count(y) OVER w AS n2,
     covar_pop(x, x) OVER w AS a, covar_pop(x, z) OVER w AS b, covar_pop(z, z) OVER w AS d, covar_pop(x, p) OVER w AS e, covar_pop(z, p) OVER w AS g,
     avg(p) OVER w AS mp, avg(x) OVER w AS mx, avg(z) OVER w AS mz,
     covar_pop(xx, xx) OVER w AS a2, covar_pop(xx, zz) OVER w AS b2, covar_pop(zz, zz) OVER w AS d2, covar_pop(xx, y) OVER w AS e2, covar_pop(zz, y) OVER w AS g2,
     avg(y) OVER w AS my, avg(xx) OVER w AS mx2, avg(zz) OVER w AS mz2
-  FROM (SELECT *, CASE WHEN y IS NOT NULL THEN x END AS xx, CASE WHEN y IS NOT NULL THEN z END AS zz FROM f) WINDOW w AS (PARTITION BY date)""",
-            "rs": """SELECT date, round(p - CASE WHEN n1 > 3 THEN mp + CASE WHEN a < 1e-12 THEN g / d * (z - mz) ELSE (e * d - g * b) / (a * d - b * b) * (x - mx) + (g * a - e * b) / (a * d - b * b) * (z - mz) END ELSE 0 END, 9) AS u,
+  FROM (SELECT *, CASE WHEN y IS NOT NULL THEN x END AS xx, CASE WHEN y IS NOT NULL THEN z END AS zz FROM f) WINDOW w AS (PARTITION BY model_id, date)""",
+            "rs": """SELECT model_id, date, round(p - CASE WHEN n1 > 3 THEN mp + CASE WHEN a < 1e-12 THEN g / d * (z - mz) ELSE (e * d - g * b) / (a * d - b * b) * (x - mx) + (g * a - e * b) / (a * d - b * b) * (z - mz) END ELSE 0 END, 9) AS u,
   round(y - CASE WHEN n2 > 3 THEN my + CASE WHEN a2 < 1e-12 THEN g2 / d2 * (z - mz2) ELSE (e2 * d2 - g2 * b2) / (a2 * d2 - b2 * b2) * (x - mx2) + (g2 * a2 - e2 * b2) / (a2 * d2 - b2 * b2) * (z - mz2) END ELSE 0 END, 9) AS v
   FROM s WHERE y IS NOT NULL""",
-            "rk": f"SELECT date, {average_rank('u', 'date')} AS ru, {average_rank('v', 'date')} AS rv FROM rs",
-            "cc": "SELECT date, corr(ru, rv) AS c, count(*) AS n FROM rk GROUP BY 1",
+            "rk": f"SELECT model_id, date, {average_rank('u', 'model_id, date')} AS ru, {average_rank('v', 'model_id, date')} AS rv FROM rs",
+            "cc": "SELECT model_id, date, corr(ru, rv) AS c, count(*) AS n FROM rk GROUP BY 1, 2",
         },
     ),
 )
 def neutralized_multi(spark, sf):
     df, rows = _frame(spark, sf)
-    side = b.matrix(spark, sf).select("date", "ticker", F.col("range_ratio").alias("x"), F.col("adj_close").alias("z"))
-    part = df.where(F.col("model_id") == "mom60").join(side, ["date", "ticker"])
-    return rounded(neutralized_ic(part, ["x", "z"], rows=rows))
+    side = b.bars(spark, sf).select("date", "ticker", F.col("volume").cast("double").alias("x"), F.col("adj_close").alias("z"))
+    return rounded(neutralized_ic(df.join(side, ["date", "ticker"]), ["x", "z"], rows=rows))
 
 
 @query("robustness_panel")
 def robustness_panel(spark, sf):
-    """Bootstrap band, bucket returns and time split of one model side by side."""
+    """Bootstrap band, bucket returns and time split of every model side by side."""
     df, rows = _frame(spark, sf)
-    part = df.where(F.col("model_id") == "ret5")
-    parts = rb.robustness_panel(part, 50, 5, "1998-06-01", rows=rows)
+    parts = rb.robustness_panel(df, 50, 5, "1998-06-01", rows=rows)
     spread = parts["buckets"].groupBy("model_id").agg(
         F.max_by("mean_realized", "bucket").alias("top_bucket"), F.min_by("mean_realized", "bucket").alias("bottom_bucket")
     )

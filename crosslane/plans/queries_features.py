@@ -361,13 +361,12 @@ SELECT a.model_id, a.date, a.ticker, sum(b.prediction * CASE WHEN b.i = 1 THEN 1
 FROM n a JOIN n b ON a.model_id = b.model_id AND a.ticker = b.ticker AND b.i <= a.i GROUP BY 1, 2, 3)""",
         {
             "n": """SELECT *, 1.0 - pow(0.5, 1.0 / 5.0) AS al,
-  row_number() OVER (PARTITION BY model_id, ticker ORDER BY date) AS i FROM predictions WHERE model_id = 'ret5'"""
+  row_number() OVER (PARTITION BY model_id, ticker ORDER BY date) AS i FROM predictions"""
         },
     ),
 )
 def smooth(spark, sf):
-    part = b.predictions(spark, sf).where(F.col("model_id") == "ret5")
-    return rounded(smooth_predictions(part, 5, keys=("model_id", "ticker")).select("model_id", "date", "ticker", "prediction"))
+    return rounded(smooth_predictions(b.predictions(spark, sf), 5, keys=("model_id", "ticker")).select("model_id", "date", "ticker", "prediction"))
 
 
 @query(
@@ -378,12 +377,12 @@ def smooth(spark, sf):
 FROM (SELECT *, count(*) OVER w AS n, avg(x) OVER w AS mx, avg(prediction) OVER w AS my, covar_pop(x, prediction) OVER w AS cxy, var_pop(x) OVER w AS vx
   FROM f WHERE x IS NOT NULL WINDOW w AS (PARTITION BY model_id, date))
 UNION ALL SELECT model_id, date, ticker, {r('prediction')} FROM f WHERE x IS NULL""",
-        {"f": "SELECT e.model_id, e.date, e.ticker, e.prediction, m.vol_20 AS x FROM evaluation e JOIN matrix m USING (date, ticker) WHERE e.model_id IN ('mom60', 'ret5')"},
+        {"f": "SELECT e.model_id, e.date, e.ticker, e.prediction, m.vol_20 AS x FROM evaluation e JOIN matrix m USING (date, ticker)"},
     ),
 )
 def residualize_one(spark, sf):
     side = b.matrix(spark, sf).select("date", "ticker", F.col("vol_20").alias("x"))
-    frame = b.predictions(spark, sf).where(F.col("model_id").isin("mom60", "ret5")).join(side, ["date", "ticker"])
+    frame = b.predictions(spark, sf).join(side, ["date", "ticker"])
     return rounded(residualize(frame, "prediction", ["x"]).select("model_id", "date", "ticker", "prediction"))
 
 

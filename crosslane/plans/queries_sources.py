@@ -255,7 +255,7 @@ def _changes(spark, sf):
     lines = b.bars(spark, sf).select("ticker", "date")
     quarter = F.year("date") * 4 + F.quarter("date")
     number = F.substring("ticker", 7, 10).cast("int")
-    log = lines.withColumn("q", quarter).where((F.col("q") + number) % 3 != 0).groupBy("ticker", "q").agg(F.min("date").alias("d"))
+    log = lines.withColumn("q", quarter).groupBy("ticker", "q").agg(F.min("date").alias("d"))
     side = F.floor((F.col("q") + number) / 3) % 2 == 0
     changes = log.select(
         F.date_format("d", "MMMM d, yyyy").alias("Date"),
@@ -263,7 +263,7 @@ def _changes(spark, sf):
         F.when(~side, F.col("ticker")).otherwise("").alias("Removed Ticker"),
     )
     components = (
-        lines.where(number % 4 == 0).groupBy("ticker").agg(F.min("date").alias("d"))
+        lines.where(number <= 8).groupBy("ticker").agg(F.min("date").alias("d"))
         .select(F.col("ticker").alias("Symbol"), F.date_format("d", "yyyy-MM-dd").alias("Date added"))
     )
     return ms.parse_components(components), ms.parse_changes(changes)
@@ -273,7 +273,7 @@ BLOCKS["change_log"] = (
     ("bars",),
     """SELECT ticker, min(date) AS date, CASE WHEN floor((q + n) / 3) % 2 = 0 THEN 1 ELSE 0 END AS is_add
 FROM (SELECT ticker, date, extract(year FROM date) * 4 + extract(quarter FROM date) AS q, CAST(substr(ticker, 7) AS INT) AS n FROM bars)
-WHERE (q + n) % 3 <> 0 GROUP BY ticker, q, n""",
+GROUP BY ticker, q, n""",
 )
 
 
@@ -293,7 +293,7 @@ def parse_changes(spark, sf):
     "parse_components",
     with_blocks(
         ("bars",),
-        "SELECT ticker, min(date) AS added, CAST(NULL AS DATE) AS removed FROM bars WHERE CAST(substr(ticker, 7) AS INT) % 4 = 0 GROUP BY 1",
+        "SELECT ticker, min(date) AS added, CAST(NULL AS DATE) AS removed FROM bars WHERE CAST(substr(ticker, 7) AS INT) <= 8 GROUP BY 1",
     ),
 )
 def parse_components(spark, sf):
@@ -308,7 +308,7 @@ def parse_components(spark, sf):
         {
             "ev": "SELECT ticker, date, is_add, row_number() OVER (PARTITION BY ticker ORDER BY date, is_add) AS i FROM change_log",
             "start": """SELECT ticker, max(added) AS added FROM (SELECT ticker, NULL::DATE AS added FROM change_log
-  UNION ALL SELECT ticker, min(date) FROM bars WHERE CAST(substr(ticker, 7) AS INT) % 4 = 0 GROUP BY 1) GROUP BY 1""",
+  UNION ALL SELECT ticker, min(date) FROM bars WHERE CAST(substr(ticker, 7) AS INT) <= 8 GROUP BY 1) GROUP BY 1""",
             "walk": """SELECT ticker, 0::BIGINT AS i, added, NULL::DATE AS removed FROM start
   UNION ALL
   SELECT w.ticker, e.i,
@@ -519,7 +519,7 @@ BLOCKS["stored"] = (
     """SELECT TIMESTAMP '2024-01-01 00:00:00' AS generated_at, date AS prediction_date, date + 5 AS target_date, 5 AS horizon_days, ticker, model_id,
   'base' AS experiment_id, prediction FROM predictions
 UNION ALL SELECT TIMESTAMP '2024-02-01 00:00:00', date, date + 5, 5, ticker, model_id, 'rerun', prediction * 2 FROM predictions
-  WHERE extract(day FROM date) % 3 = 0""",
+  WHERE date >= DATE '1999-01-01'""",
 )
 
 
@@ -528,7 +528,7 @@ def _store(spark, sf):
     store = st.PredictionStore(spark, fresh_path(spark, "store"))
     predictions = b.predictions(spark, sf)
     store.write(predictions, "base", 5, generated_at=datetime(2024, 1, 1))
-    again = predictions.where(F.dayofmonth("date") % 3 == 0).withColumn("prediction", F.col("prediction") * 2)
+    again = predictions.where(F.col("date") >= "1999-01-01").withColumn("prediction", F.col("prediction") * 2)
     store.write(again, "rerun", 5, generated_at=datetime(2024, 2, 1))
     return store
 
@@ -622,15 +622,15 @@ def store_sql(spark, sf):
     with_blocks(
         ("predictions",),
         "SELECT CAST(date AS VARCHAR) || '/' || ticker AS id, "
-        + ", ".join(f"{r(f"max(prediction) FILTER (WHERE model_id = '{m}')")} AS {m}" for m in ("mom60", "ret5"))
-        + " FROM predictions WHERE model_id IN ('mom60', 'ret5') GROUP BY 1",
+        + ", ".join(f"{r(f"max(prediction) FILTER (WHERE model_id = '{m}')")} AS {m}" for m in b.MODELS)
+        + " FROM predictions GROUP BY 1",
     ),
 )
 def csv_export_align(spark, sf):
     """One CSV folder per model, read back side by side by id."""
     store = st.PredictionStore(spark, fresh_path(spark, "store"))
     paths = {}
-    for m in ("mom60", "ret5"):
+    for m in b.MODELS:
         part = b.predictions(spark, sf).where(F.col("model_id") == m)
         paths[m] = fresh_path(spark, f"csv-{m}")
         store.export_csv(part.select(F.concat_ws("/", "date", "ticker").alias("id"), "prediction"), paths[m])
@@ -641,13 +641,13 @@ def csv_export_align(spark, sf):
     "common_column_union",
     with_blocks(
         ("predictions",),
-        f"SELECT date, ticker, {r('prediction')} AS prediction, model_id FROM predictions WHERE model_id IN ('mom60', 'vol20')",
+        f"SELECT date, ticker, {r('prediction')} AS prediction, model_id FROM predictions",
     ),
 )
 def common_column_union(spark, sf):
     base = b.predictions(spark, sf).select("date", "ticker", "prediction", "model_id")
     banded = base.where(F.col("model_id") == "vol20").withColumn("pred_lower", F.col("prediction") - 1)
-    return rounded(st.common_columns_union([base.where(F.col("model_id") == "mom60"), banded]))
+    return rounded(st.common_columns_union([base.where(F.col("model_id") != "vol20"), banded]))
 
 
 @query(

@@ -197,12 +197,11 @@ def _train(spark, sf):
         f"""SELECT t.id, {r('coalesce(a.m, g.m)')} AS code_mean, {r('coalesce(a.s, 0)')} AS code_std, {r('coalesce(z.m, g.m)')} AS sub_code_mean, {r('coalesce(z.s, 0)')} AS sub_code_std
 FROM tabular t LEFT JOIN (SELECT code, avg(y_target) AS m, stddev_samp(y_target) AS s FROM tr GROUP BY 1) a USING (code)
 LEFT JOIN (SELECT sub_code, avg(y_target) AS m, stddev_samp(y_target) AS s FROM tr GROUP BY 1) z USING (sub_code), (SELECT avg(y_target) AS m FROM tr) g""",
-        {"tr": f"SELECT * FROM tabular WHERE ts_index <= {_SPLIT} AND id % 3 = 0"},
+        {"tr": f"SELECT * FROM tabular WHERE ts_index <= {_SPLIT}"},
     ),
 )
 def target_encoding(spark, sf):
-    train = _train(spark, sf).where(F.col("id") % 3 == 0)
-    out = tf.add_target_encoding(b.tabular(spark, sf), train, ["code", "sub_code"])
+    out = tf.add_target_encoding(b.tabular(spark, sf), _train(spark, sf), ["code", "sub_code"])
     return rounded(out.select("id", "code_mean", "code_std", "sub_code_mean", "sub_code_std"))
 
 
