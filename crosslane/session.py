@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,26 @@ def build_session(master: str | None = None, app: str = "crosslane", **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they can import it from any folder.
+
+    The archive is staged on the driver; Spark's own file distribution carries it to the executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    staged = os.path.join(tempfile.mkdtemp(prefix="crosslane-code-"), "crosslane")
+    spark.sparkContext.addPyFile(shutil.make_archive(staged, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped.add(app)
 
 
 def task_rows(spark: SparkSession) -> int:
