@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosslane.llm.common import arrow_rows, commit_file, fresh_path, open_folder, scratch, small_batches, table, text_bytes
+from crosslane.llm.common import arrow_rows, fresh_path, open_folder, scratch, small_batches, table, text_bytes
 
 # Numbers of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -150,32 +151,26 @@ INDEX = pa.schema(
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write each page as a record and return the index rows (page_id, bundle, frame, offset, length), lazily.
 
-    Rows are dealt by a hash of their id and content and sorted inside each partition, so a retried task writes the same
-    bundle under the same name. A task holds one frame at a time. A null html is an empty payload; a null id is
-    written without an id header; repeated rows are records of their own.
+    Payloads are shuffled once: bundles follow the partitions in which copies were found. Rows are sorted inside each
+    partition, so a retried task writes the same bundle under the same name. A task holds one frame at a time. A null
+    html is an empty payload; a null id is written without an id header; repeated rows are records of their own.
     """
     small_batches(pages.sparkSession)
-    records = mark_revisits(pages)
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (
-        records.withColumn("part", F.pmod(F.xxhash64("page_id", "digest"), F.lit(parts)).cast("int"))
-        .repartition(parts, "part")
-        .sortWithinPartitions("part", "page_id", "digest", "url")
-        .select("part", "page_id", "url", "payload", "digest", "refers_to")
-    )
+    records = mark_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to")
+    records = records.sortWithinPartitions("page_id", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = open_folder(folder)
         files.create_dir(root, recursive=True)
         yield from arrow_rows(_bundles(batches, files, root, folder, frame_bytes, bundle_bytes), INDEX)
 
-    return dealt.mapInArrow(write, "page_id long, bundle string, frame int, offset long, length long")
+    return records.mapInArrow(write, "page_id long, bundle string, frame int, offset long, length long")
 
 
 def _bundles(batches, files, root: str, folder: str, frame_bytes: int, bundle_bytes: int) -> Iterator[tuple]:
     """Write bundles as rows arrive; index rows follow once their bundle is in place."""
     pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    part, number = None, 0
+    part, number = TaskContext.get().partitionId(), 0
     frame, held, sizes, index, done = io.BytesIO(), 0, [], [], 0
     out = attempt = None
 
@@ -199,17 +194,15 @@ def _bundles(batches, files, root: str, folder: str, frame_bytes: int, bundle_by
         return rows
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            if out is not None and (row[0] != part or done >= bundle_bytes):
+        for page_id, url, payload, digest, refers_to in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if out is not None and done >= bundle_bytes:
                 yield from end_bundle()
-            if row[0] != part:
-                part, number = row[0], 0
             if out is None:
                 name = f"pages-{part:06d}-{number:05d}.warc.zst"
                 attempt = f"{root}/{name}.{uuid.uuid4().hex}"
                 out = files.open_output_stream(attempt)
-            raw = record_bytes(row[1], row[2], row[3], row[4], row[5], row[5] is not None)
-            index.append((row[1], f"{folder}/{name}", len(sizes), held, len(raw)))
+            raw = record_bytes(page_id, url, payload, digest, refers_to, refers_to is not None)
+            index.append((page_id, f"{folder}/{name}", len(sizes), held, len(raw)))
             frame.write(raw)
             held += len(raw)
             if held >= frame_bytes:
