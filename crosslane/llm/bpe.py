@@ -311,6 +311,30 @@ def token_facts(documents: DataFrame, vocabulary: str, key: str = "doc_id", text
     return rows.mapInArrow(facts, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+ENCODED = pa.schema(
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]
+)
+
+
+def encode_and_check(documents: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids, and the digest of the text decoded from these ids."""
+    small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(vocabulary)
+        for batch in batches:
+            texts = [raw.decode("utf-8", "replace") for raw in batch.column(1).to_pylist()]
+            rows = []
+            for doc, blocks in zip(batch.column(0).to_pylist(), words.ids_many(texts), strict=True):
+                ids = np.concatenate([np.zeros(0, "<u4"), *blocks])
+                digest = hashlib.sha256(words.decode(ids).encode()).hexdigest()
+                rows.append((doc, len(ids), ids.astype(np.int32), digest))
+            yield to_batch(rows, ENCODED)
+
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), text_bytes(text).alias("raw"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
