@@ -29,6 +29,7 @@ WORD_BUCKETS = 1 << 14
 GRAM_BUCKETS = 1 << 17
 GRAM_SIZES = (3, 4, 5, 6)
 GRAM_BYTES = 64
+GRAM_FACTOR, GRAM_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 # The labelled sample: at most so many documents of either label, taken in hash order, and characters of each.
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 200_000
@@ -38,14 +39,34 @@ BLOCK = 4096
 SEED = 11
 
 
-def features_of(word: bytes) -> np.ndarray:
-    """Buckets of the word and of its character n-grams; a very long word gives its n-grams at both ends."""
-    edged = b"^" + word + b"$"
-    if len(edged) > 2 * GRAM_BYTES:
-        edged = edged[:GRAM_BYTES] + edged[-GRAM_BYTES:]
-    grams = {edged[k : k + n] for n in GRAM_SIZES for k in range(len(edged) - n + 1)}
-    look = xxhash.xxh3_64_intdigest
-    return np.array([look(word) % WORD_BUCKETS] + sorted(WORD_BUCKETS + look(g) % GRAM_BUCKETS for g in grams), dtype=np.int64)
+def features_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams, word after word, and how many each has.
+
+    Words stand between the marks ^ and $; a very long word gives the n-grams of its ends. All n-grams of all words
+    are hashed together: the hash of one that is a byte longer goes on from the shorter one's.
+    """
+    edged = [b"^" + w + b"$" for w in words]
+    edged = [e if len(e) <= 2 * GRAM_BYTES else e[:GRAM_BYTES] + e[-GRAM_BYTES:] for e in edged]
+    lengths = np.fromiter(map(len, edged), dtype=np.int64, count=len(edged))
+    starts = np.cumsum(lengths) - lengths
+    letters = np.frombuffer(b"".join(edged), dtype=np.uint8).astype(np.uint64)
+    counts = np.maximum(lengths[None, :] - np.array(GRAM_SIZES)[:, None] + 1, 0)
+    sizes = 1 + counts.sum(axis=0)
+    ends = np.cumsum(sizes)
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    flat[ends - sizes] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) % WORD_BUCKETS
+    place = ends - sizes + 1
+    hashed, size = letters, 1
+    for n, count in zip(GRAM_SIZES, counts, strict=True):
+        while size < n:
+            hashed = hashed[:-1] * GRAM_FACTOR + letters[size:]
+            size += 1
+        within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        found = hashed[np.repeat(starts, count) + within] + np.uint64(n)
+        found = (found ^ (found >> np.uint64(29))) * GRAM_MIX
+        flat[np.repeat(place, count) + within] = WORD_BUCKETS + (found >> np.uint64(40)).astype(np.int64) % GRAM_BUCKETS
+        place = place + count
+    return flat, sizes
 
 
 def window_index(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +117,7 @@ class Network:
     def run(self, gates: np.ndarray, index: np.ndarray, keep: bool = False):
         """Window logits out of gate inputs (row 0: no word) and the words of each window."""
         w, (n, steps) = self.weights, index.shape
+        columns = np.ascontiguousarray(index.T)
         mask = (index > 0).astype(np.float32)
         states = np.zeros((steps, n, 2 * HIDDEN), dtype=np.float32)
         trace = {}
@@ -104,7 +126,7 @@ class Network:
             column = slice(3 * at, 3 * at + 3 * HIDDEN)
             side_gates = np.ascontiguousarray(gates[:, column])
             for t in order:
-                x, inner = side_gates[index[:, t]], h @ u
+                x, inner = side_gates.take(columns[t], axis=0), h @ u
                 zr = sigmoid(x[:, : 2 * HIDDEN] + inner[:, : 2 * HIDDEN])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
                 new = np.tanh(x[:, 2 * HIDDEN :] + r * inner[:, 2 * HIDDEN :])
@@ -164,9 +186,8 @@ class Corpus:
         rows = [[known.setdefault(w, len(known) + 1) for w in words_of(t)] for t in texts]
         self.lengths = np.array([len(r) for r in rows], dtype=np.int64)
         self.words = np.array([0, *(w for r in rows for w in r)], dtype=np.int64)
-        self.features = [features_of(w) for w in known]
-        self.flat = np.concatenate([np.zeros(0, np.int64), *self.features])
-        self.sizes = np.array([len(f) for f in self.features], dtype=np.int64)
+        self.flat, self.sizes = features_of(list(known))
+        self.features = np.split(self.flat, np.cumsum(self.sizes)[:-1]) if known else []
         places, self.owner = window_index(self.lengths)
         self.windows = self.words[places]
 
@@ -308,13 +329,10 @@ class Scorer:
         if new:
             while self.used + len(new) > len(self.gates):
                 self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
-            features = [features_of(w) for w in new]
-            sizes = np.array([len(f) for f in features])
             for k in range(0, len(new), BLOCK):
-                rows = self.network.embedding[np.concatenate(features[k : k + BLOCK])]
-                cuts = np.cumsum(sizes[k : k + BLOCK]) - sizes[k : k + BLOCK]
-                found = self.network.projected(np.add.reduceat(rows, cuts, axis=0))
-                self.gates[self.used + k : self.used + k + len(found)] = found
+                flat, sizes = features_of(new[k : k + BLOCK])
+                vectors = np.add.reduceat(self.network.embedding.take(flat, axis=0), np.cumsum(sizes) - sizes, axis=0)
+                self.gates[self.used + k : self.used + k + len(sizes)] = self.network.projected(vectors)
             self.known.update(zip(new, range(self.used, self.used + len(new)), strict=True))
             self.used += len(new)
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
