@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from crosslane.llm.common import scratch, table
 
 LEAF_WORDS = 4
+NO_ID = -(1 << 63)
 # Up to three words that end no sentence, then one more word, with the white space around them; or white space alone.
 LEAF = rf"\s*+(?:\S++(?<![.!?])\s++){{0,{LEAF_WORDS - 1}}}\S++\s*+|\s++"
 
@@ -74,27 +75,27 @@ def differing_paragraphs(paragraphs_a: Column, paragraphs_b: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """Per distinct (doc_id, text_hash) the one before it in ascending order, the first after the last, and its size.
+    """Per distinct (key, text_hash) the one before it in ascending order, the first after the last, and its size.
 
     Keys only: rows are dealt by ranges, ordered inside each range, and the ends of ranges (one row each) are linked.
     """
     spark = keys.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
+    order = ["key", "text_hash"]
     dealt = keys.distinct().repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     dealt, _ = scratch(dealt, "fingerprint-order")
-    row = F.struct("doc_id", "text_hash", "n_chars")
+    row = F.struct("key", "text_hash", "n_chars")
     ends = dealt.groupBy("part").agg(F.max(row).alias("last"))
     chain = Window.orderBy("part")
     ends = ends.select("part", F.lag("last").over(chain).alias("ended"), F.max("last").over(Window.partitionBy(F.lit(1))).alias("end"))
     ends = ends.select("part", F.coalesce("ended", "end").alias("ended"))
     inside = Window.partitionBy("part").orderBy(*order)
     before = F.coalesce(F.lag(row).over(inside), F.col("ended"))
-    linked = dealt.join(ends, "part").select("doc_id", "text_hash", before.alias("before"))
+    linked = dealt.join(ends, "part").select("key", "text_hash", before.alias("before"))
     return linked.select(
-        F.col("doc_id").alias("key_id"),
-        F.col("text_hash").alias("key_hash"),
-        F.col("before.doc_id").alias("before_id"),
+        "key",
+        "text_hash",
+        F.col("before.key").alias("before_key"),
         F.col("before.text_hash").alias("before_hash"),
         F.col("before.n_chars").alias("before_chars"),
     )
@@ -103,20 +104,25 @@ def neighbours(keys: DataFrame) -> DataFrame:
 def edit_with_next(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, n_chars, the text with its last quarter replaced by the head of the next one, the next one's root and leaves.
 
-    A document sends only the needed head and its leaves to the one before it. Null texts are empty. Null ids come first;
-    rows that repeat an id are ordered by the hash of their text, and identical rows share their place and neighbour.
+    Texts are shuffled once: both joins read the same exchange. A document sends only the needed head and its leaves to the
+    one before it. Null texts are empty. Null ids count as the smallest id; rows that repeat an id are ordered by the
+    hash of their text, and identical rows share their place and neighbour.
     """
-    rows = documents.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.length("text").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
-    near, _ = scratch(neighbours(rows.select("doc_id", "text_hash", "n_chars")), "fingerprint-neighbours")
-    sent = rows.join(near, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash"))).select(
-        "before_id", "before_hash", F.substr("text", F.lit(1), F.floor(F.col("before_chars") / 4).cast("int")).alias("head"), "text"
+    rows = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    near, _ = scratch(neighbours(rows.select("key", "text_hash", F.length("text").alias("n_chars"))), "fingerprint-neighbours")
+    sent = rows.join(near, ["key", "text_hash"]).select(
+        F.col("before_key").alias("key"),
+        F.col("before_hash").alias("text_hash"),
+        F.substr("text", F.lit(1), F.floor(F.col("before_chars") / 4).cast("int")).alias("head"),
+        F.col("text").alias("next_text"),
     )
-    sent = add_fingerprint(sent, "text", "next_").select("before_id", "before_hash", "head", "next_root", "next_leaves")
-    sent = sent.dropDuplicates(["before_id", "before_hash"])
-    joined = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("before_id")) & (F.col("text_hash") == F.col("before_hash")))
+    sent = add_fingerprint(sent, "next_text", "next_").select("key", "text_hash", "head", "next_root", "next_leaves")
+    joined = rows.join(sent.dropDuplicates(["key", "text_hash"]), ["key", "text_hash"])
+    joined = joined.withColumn("n_chars", F.length("text"))
     kept = F.substr("text", F.lit(1), F.col("n_chars") - F.floor(F.col("n_chars") / 4).cast("int"))
-    return joined.select("doc_id", "text", "n_chars", F.concat(kept, F.col("head")).alias("edited"), "next_root", "next_leaves")
+    doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
+    return joined.select(doc_id, "text", "n_chars", F.concat(kept, F.col("head")).alias("edited"), "next_root", "next_leaves")
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
