@@ -23,7 +23,9 @@ from crosslane.llm.common import small_batches, table, text_bytes, to_batch
 # library's classes treat otherwise; texts with those are split by the tokenizer file's own splitter.
 PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
-MEMO_PIECES = 250_000
+# Answers that a task remembers: at most twice as many, about 200 bytes each.
+MEMO_PIECES = 120_000
+MEMO_CHUNKS = 80_000
 # Runs of white space, blanks at either end and white space other than blanks and line feeds.
 NOT_CHUNKED = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|<\||[\x1c-\x1f]")
 LONG_CHARS = 1 << 20
@@ -161,7 +163,7 @@ class StreamEncoder:
     def __init__(self, path: str):
         self.rules = MergeList(path)
         self.decoder = ByteToText(self.rules.bytes_of)
-        self.pieces, self.chunks = Memo(MEMO_PIECES), Memo(MEMO_PIECES)
+        self.pieces, self.chunks = Memo(MEMO_PIECES), Memo(MEMO_CHUNKS)
         self.marks = re.compile("|".join(map(re.escape, self.rules.special))) if self.rules.special else None
         self.decimals = pa.array([f",{i}".encode() for i in range(max(self.rules.bytes_of) + 1)], type=pa.large_binary())
         self.splitter = Tokenizer.from_file(path).pre_tokenizer

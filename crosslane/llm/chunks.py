@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_CHARS = 8 << 20
+GROUP_CHARS = 4 << 20
 
 
 class Memo:

@@ -34,8 +34,8 @@ GRAM_FACTOR, GRAM_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 200_000
 THRESHOLD = 0.7
-MEMO_WORDS = 200_000
-BLOCK = 4096
+MEMO_WORDS = 100_000
+BLOCK = 2048
 SEED = 11
 
 
