@@ -1,24 +1,24 @@
 """Exact ordering inside groups of any size.
 
-Every function here gives the same rows on two routes. A group that fits one
-task (``crosslane.taskRows``) is ordered by a plain window. A larger group is
-cut into value ranges, each range is ordered by its own task, and the ranges
-are put together by their counts, so a date or key that holds a third of all
-rows is spread over the cluster. ``rows`` is a proven bound of the largest
+Every function here gives the same rows on two routes, null keys included. A
+group that fits one task (``crosslane.taskRows``) is ordered by a plain window.
+A larger group is dealt by ranges of its values, each range is ordered by its
+own task, and the ranges are put together by their counts, so a date or key
+that holds a third of all rows is spread over the cluster. ``rows`` is a proven bound of the largest
 group; without it the bound is measured by one counting job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosslane.session import broadcast_dates, cut, task_rows
 
-_SAMPLES_PER_RANGE = 32
-
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest group; the counts are combined before the shuffle."""
@@ -31,25 +31,24 @@ def fits(df: DataFrame, by: Sequence[str], rows: int | None) -> bool:
     return bound <= task_rows(df.sparkSession)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null: null meets null. The left side's keys are kept."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def _range_positions(keyed: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """(by, key, _eq, _less, _n): equal, smaller and total counts for each distinct key.
 
-    Equal keys are counted before the shuffle, so a hot value travels as one row per task.
-    The range bounds come from a hash-picked sample of the distinct keys: the pick depends on
-    the key alone, so a retried task gets the same bounds.
+    Equal keys are counted before the shuffle, so a hot value travels as one row per task. Spark
+    deals the distinct keys by ranges of (by, key); a group of any size spreads over consecutive
+    ranges, and the counts of the ranges before it place each one. The dealt table is written, so
+    every reader and every retried task sees the same ranges.
     """
-    spark = keyed.sparkSession
-    counts = cut(keyed.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_eq")), "counts")
-    modulus = max(1, task_rows(spark) // _SAMPLES_PER_RANGE)
-    bounds = (
-        counts.where(F.pmod(F.xxhash64(key), F.lit(modulus)) == 0)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(key)).alias("_s"))
-        .select(*by, F.filter("_s", lambda _, i: i % _SAMPLES_PER_RANGE == _SAMPLES_PER_RANGE - 1).alias("_b"))
-    )
-    ranged = counts.join(bounds, list(by), "left").withColumn(
-        "_range", F.coalesce(F.size(F.filter("_b", lambda b: b <= F.col(key))), F.lit(0))
-    ).drop("_b")
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = keyed.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_eq"))
+    ranged = cut(counts.repartitionByRange(parts, *by, key).withColumn("_range", F.spark_partition_id()), "ranges")
     over_ranges = Window.partitionBy(*by).orderBy("_range")
     offsets = (
         ranged.groupBy(*by, "_range")
@@ -62,10 +61,9 @@ def _range_positions(keyed: DataFrame, by: Sequence[str], key: str) -> DataFrame
         )
     )
     inside = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_in", F.coalesce(F.sum("_eq").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_range"])
-        .select(*by, key, "_eq", (F.col("_off") + F.col("_in")).alias("_less"), "_n")
+    placed = ranged.withColumn("_in", F.coalesce(F.sum("_eq").over(inside), F.lit(0)))
+    return join_on(placed, offsets, [*by, "_range"]).select(
+        *by, key, "_eq", (F.col("_off") + F.col("_in")).alias("_less"), "_n"
     )
 
 
@@ -108,8 +106,7 @@ def add_average_rank(
         )
         totals = present.groupBy(*keys).agg(F.count(F.lit(1)).alias(temp_count))
         out = (
-            df.join(positions, [*keys, value], "left")
-            .join(totals, keys, "left")
+            join_on(join_on(df, positions, [*keys, value], "left"), totals, keys, "left")
             .withColumn(temp_count, F.coalesce(temp_count, F.lit(0)))
         )
     return out.select(*kept, rank_as, *([count_as] if count_as else []))
@@ -140,7 +137,7 @@ def add_position(
         positions = _range_positions(df.select(*keys, "_key"), keys, "_key").select(
             *keys, "_key", (F.col("_less") + 1).alias(position_as), F.col("_n").alias(temp_count)
         )
-        out = df.join(positions, [*keys, "_key"])
+        out = join_on(df, positions, [*keys, "_key"])
     return out.select(*kept, position_as, *([count_as] if count_as else []))
 
 
@@ -205,7 +202,7 @@ def add_group_stats(
     kept = df.columns
     df = cut(df, "stats")
     table = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(_small_if_dates(table, by), list(by), "left").select(*kept, *stats)
+    return join_on(df, _small_if_dates(table, by), by, "left").select(*kept, *stats)
 
 
 def add_group_median(
@@ -216,7 +213,7 @@ def add_group_median(
     kept = df.columns
     df = cut(df, "median")
     table = quantiles(df, by, value, {median_as: 0.5}, rows=rows)
-    return df.join(_small_if_dates(table, by), list(by), "left").select(*kept, median_as)
+    return join_on(df, _small_if_dates(table, by), by, "left").select(*kept, median_as)
 
 
 def value_at(df: DataFrame, value: str, place: int, rows: int | None = None):

@@ -24,7 +24,7 @@ def _iterations(n: int, name: str):
 
 def shuffle_null(
     df: DataFrame,
-    n_iterations: int = 200,
+    n_iterations: int = 1000,
     seed: int = 42,
     min_rows: int = MIN_IC_ROWS,
     keys: Sequence[str] = MODEL,

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from crosslane.operators.ranking import add_position, largest_group
+from crosslane.operators.ranking import add_group_stats, add_position, largest_group
 from crosslane.session import task_rows
 
 Exprs = Callable[[WindowSpec], dict[str, Column]]
@@ -77,17 +77,26 @@ _NEGLIGIBLE = 1e-17
 _EXPONENT_ROOM = 340.0
 
 
+def _slowest_decay(alpha: float) -> float:
+    """The least decay per row that any spacing of the values gives (see ``add_ewm_mean``)."""
+    reach = math.ceil(4.0 / -math.log(1.0 - alpha))
+    return min(math.log1p(alpha * (1.0 - alpha) ** -d) / d for d in range(1, reach + 1))
+
+
 def _ewm_chunks(df, keys, order, alpha, rows):
-    rate = -math.log(1.0 - alpha)
-    back = math.ceil(-math.log(_NEGLIGIBLE) / rate)
-    chunk = max(1, math.floor(_EXPONENT_ROOM / rate) - back)
+    """Chunks that see so many rows before them that what lies further back has no weight.
+
+    Without gaps that is exact to the last digit. With values at the least favourable spacing and an ``alpha`` below
+    about 0.05, three quarters of a chunk's room are looked back; the weight beyond is then at most about exp(-9).
+    """
+    room = math.floor(_EXPONENT_ROOM / -math.log(1.0 - alpha))
+    back = min(math.ceil(-math.log(_NEGLIGIBLE) / _slowest_decay(alpha)), max(1, 3 * room // 4))
+    chunk = max(1, room - back)
     parts = in_chunks(df, keys, order, chunk, back, rows=rows)
-    place = (F.col("_rn") - 1 - F.col("_chunk") * chunk).cast("double")
-    grow = F.pow(F.lit(1.0 - alpha), -place)
     frame = (
         Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return parts.withColumn("_grow", grow), frame
+    return parts, chunk, frame
 
 
 def add_ewm_mean(
@@ -98,18 +107,36 @@ def add_ewm_mean(
     alpha: float,
     out: str,
     rows: int | None = None,
+    carry: bool = True,
 ) -> DataFrame:
-    """Recursive mean: s = alpha * x + (1 - alpha) * s_prev, starting at the first value.
+    """Recursive mean, starting at the first value; a null row only lets the old mean fade.
 
-    One running sum per chunk: weights grow with the row number and are scaled back, so the
-    cost per row does not depend on the memory length.
+    A value ``d`` rows after the one before it gives s = (q ** d * s_prev + alpha * x) / (q ** d + alpha) with
+    q = 1 - alpha, which is alpha * x + q * s_prev without gaps. On a null row the last mean stays (``carry``) or
+    the result is null. One running sum per chunk: the factors of s_prev are summed as logarithms and scaled back,
+    so the cost per row does not depend on the memory length.
     """
-    parts, frame = _ewm_chunks(df, keys, order, alpha, rows)
-    start = F.when(F.col("_rn") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    total = F.sum(F.col(value) * start * F.col("_grow")).over(frame)
-    return parts.withColumn("_ewm", total / F.col("_grow")).where("_own").drop(
-        "_rn", "_chunk", "_own", "_grow", *([out] if out in df.columns else [])
-    ).withColumnRenamed("_ewm", out)
+    parts, _, frame = _ewm_chunks(df, keys, order, alpha, rows)
+    x, q = F.col(value), F.lit(1.0 - alpha)
+    before = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_prev", F.max(F.when(x.isNotNull(), F.col("_rn"))).over(before))
+    fade = F.pow(q, F.col("_rn") - F.col("_prev"))
+    first = F.col("_prev").isNull()
+    parts = parts.withColumns(
+        {
+            "_log": F.when(x.isNull() | first, 0.0).otherwise(F.log(fade / (fade + alpha))),
+            "_part": F.when(x.isNull(), None).when(first, x).otherwise(x * alpha / (fade + alpha)),
+        }
+    )
+    parts = parts.withColumn("_scale", F.sum("_log").over(frame))
+    total = F.sum(F.col("_part") * F.exp(-F.col("_scale"))).over(frame) * F.exp("_scale")
+    result = total if carry else F.when(x.isNotNull(), total)
+    return (
+        parts.withColumn("_ewm", result)
+        .where("_own")
+        .drop("_rn", "_chunk", "_own", "_prev", "_log", "_part", "_scale", *([out] if out in df.columns else []))
+        .withColumnRenamed("_ewm", out)
+    )
 
 
 def add_ewm_std(
@@ -121,26 +148,27 @@ def add_ewm_std(
     out: str,
     rows: int | None = None,
 ) -> DataFrame:
-    """Adjusted, bias-corrected exponential deviation; the first value gives 0."""
-    parts, frame = _ewm_chunks(df, keys, order, 2.0 / (span + 1.0), rows)
-    x, g = F.col(value), F.when(F.col(value).isNotNull(), F.col("_grow"))
-    parts = parts.withColumns(
+    """Adjusted, bias-corrected exponential deviation; a key's first value gives 0."""
+    alpha = 2.0 / (span + 1.0)
+    x, place = F.col(value), F.struct(*order)
+    df = add_group_stats(df, keys, {"_first": F.min(F.when(x.isNotNull(), place))}, rows=rows)
+    parts, chunk, frame = _ewm_chunks(df, keys, order, alpha, rows)
+    grow = F.pow(F.lit(1.0 - alpha), -(F.col("_rn") - 1 - F.col("_chunk") * chunk).cast("double"))
+    g = F.when(x.isNotNull(), F.col("_grow"))
+    parts = parts.withColumn("_grow", grow).withColumns(
         {
             "_w": F.sum(g).over(frame),
             "_ww": F.sum(g * g).over(frame),
             "_wx": F.sum(g * x).over(frame),
             "_wxx": F.sum(g * x * x).over(frame),
-            "_k": F.count(x).over(frame),
         }
     )
     mean = F.col("_wx") / F.col("_w")
     spread = F.greatest(F.col("_wxx") / F.col("_w") - mean * mean, F.lit(0.0))
     share = F.col("_ww") / (F.col("_w") * F.col("_w"))
-    result = F.when(x.isNull(), F.lit(None)).when((F.col("_k") == 1) & (F.col("_chunk") == 0), F.lit(0.0)).otherwise(
+    result = F.when(x.isNull(), F.lit(None)).when(place == F.col("_first"), F.lit(0.0)).otherwise(
         F.sqrt(spread / F.nullif(1.0 - share, F.lit(0.0)))
     )
     return parts.withColumn(out, result).where("_own").drop(
-        "_rn", "_chunk", "_own", "_grow", "_w", "_ww", "_wx", "_wxx", "_k"
+        "_rn", "_chunk", "_own", "_first", "_grow", "_w", "_ww", "_wx", "_wxx"
     )
-
-

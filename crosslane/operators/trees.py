@@ -40,6 +40,9 @@ class _Boosted(Model):
 
     def __init__(self, config: ModelConfig):
         super().__init__(config)
+        unknown = {self.synonyms.get(k, k) for k in config.params} - set(self.defaults)
+        if unknown:
+            raise ValueError(f"{type(self).__name__} cannot honour the parameters {sorted(unknown)}")
         self.boosters: list = []
 
     @property

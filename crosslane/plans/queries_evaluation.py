@@ -481,7 +481,7 @@ def bucket_monotonicity(spark, sf):
     return rb.is_monotonic(rb.bucket_returns(df, 10, rows=rows))
 
 
-_BOOT = 100
+_BOOT = 1000
 
 
 @query(
@@ -591,7 +591,7 @@ def neutralized_multi(spark, sf):
 def robustness_panel(spark, sf):
     """Bootstrap band, bucket returns and time split of every model side by side."""
     df, rows = _frame(spark, sf)
-    parts = rb.robustness_panel(df, 50, 5, "1998-06-01", rows=rows)
+    parts = rb.robustness_panel(df, time_cutoff="1998-06-01", rows=rows)
     spread = parts["buckets"].groupBy("model_id").agg(
         F.max_by("mean_realized", "bucket").alias("top_bucket"), F.min_by("mean_realized", "bucket").alias("bottom_bucket")
     )

@@ -477,8 +477,9 @@ def single_factor_loading(spark, sf):
 
 
 def _weights(spark, sf):
+    """Every brand with the same weight."""
     names = b.bars(spark, sf).select("ticker").distinct()
-    return names.where(F.substring("ticker", 7, 10).cast("int") <= 5).withColumn("weight", F.lit(0.2))
+    return names.withColumn("weight", F.lit(1.0 / max(1, names.count())))
 
 
 @query("portfolio_exposure")

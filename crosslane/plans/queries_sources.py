@@ -263,7 +263,7 @@ def _changes(spark, sf):
         F.when(~side, F.col("ticker")).otherwise("").alias("Removed Ticker"),
     )
     components = (
-        lines.where(number <= 8).groupBy("ticker").agg(F.min("date").alias("d"))
+        lines.groupBy("ticker").agg(F.min("date").alias("d"))
         .select(F.col("ticker").alias("Symbol"), F.date_format("d", "yyyy-MM-dd").alias("Date added"))
     )
     return ms.parse_components(components), ms.parse_changes(changes)
@@ -293,7 +293,7 @@ def parse_changes(spark, sf):
     "parse_components",
     with_blocks(
         ("bars",),
-        "SELECT ticker, min(date) AS added, CAST(NULL AS DATE) AS removed FROM bars WHERE CAST(substr(ticker, 7) AS INT) <= 8 GROUP BY 1",
+        "SELECT ticker, min(date) AS added, CAST(NULL AS DATE) AS removed FROM bars GROUP BY 1",
     ),
 )
 def parse_components(spark, sf):
@@ -308,7 +308,7 @@ def parse_components(spark, sf):
         {
             "ev": "SELECT ticker, date, is_add, row_number() OVER (PARTITION BY ticker ORDER BY date, is_add) AS i FROM change_log",
             "start": """SELECT ticker, max(added) AS added FROM (SELECT ticker, NULL::DATE AS added FROM change_log
-  UNION ALL SELECT ticker, min(date) FROM bars WHERE CAST(substr(ticker, 7) AS INT) <= 8 GROUP BY 1) GROUP BY 1""",
+  UNION ALL SELECT ticker, min(date) FROM bars GROUP BY 1) GROUP BY 1""",
             "walk": """SELECT ticker, 0::BIGINT AS i, added, NULL::DATE AS removed FROM start
   UNION ALL
   SELECT w.ticker, e.i,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslane.session import cut, list_names, path_exists
+from crosslane.session import cut, path_exists
 
 BAR_SCHEMA = T.StructType(
     [
@@ -108,72 +108,54 @@ def between(df: DataFrame, start: date | str | None, end: date | str | None) ->
 
 
 class BarStore:
-    """The panel as Parquet, one folder per version and year of dates.
+    """The panel as a Parquet table partitioned by the year of its dates.
 
-    A version writes only the years that changed; its manifest names, for every year, the version
-    that holds it. The manifest is written last, so a job that dies leaves the old version
-    readable, and old files are never changed. Each version also keeps every ticker's last date
-    (one row per ticker), so that an extension reads no older years. One writer at a time.
+    An extension overwrites only the years that it touches (dynamic partition overwrite). Files follow the size of
+    the data: Spark rebalances each year's rows before they are written. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self) -> int:
-        """The newest version whose manifest is complete; 0 before the first write."""
-        names = list_names(self.spark, f"{self.path}/manifest")
-        done = [int(n) for n in names if path_exists(self.spark, f"{self.path}/manifest/{n}/_SUCCESS")]
-        return max(done, default=0)
-
-    def _years(self) -> dict[int, int]:
-        version = self._version()
-        if version == 0:
-            return {}
-        rows = self.spark.read.text(f"{self.path}/manifest/{version}").collect()
-        return {int(y): int(v) for y, v in (r["value"].split() for r in rows)}
-
-    def last_dates(self) -> DataFrame:
-        version = self._version()
-        if version == 0:
-            return self.spark.createDataFrame([], "ticker string, last_date date")
-        return self.spark.read.parquet(f"{self.path}/marks/{version}")
-
     def read(self, start: date | str | None = None, end: date | str | None = None) -> DataFrame:
         low = int(str(start)[:4]) if start is not None else 0
         high = int(str(end)[:4]) if end is not None else 9999
-        return between(self._read_years([y for y in self._years() if low <= y <= high]), start, end)
+        return between(self._years(F.col("year").between(low, high)), start, end)
 
-    def _read_years(self, years: Sequence[int]) -> DataFrame:
-        held = self._years()
-        paths = [f"{self.path}/data/{held[y]}/year={y}" for y in years if y in held]
-        if not paths:
+    def _years(self, wanted: Column) -> DataFrame:
+        names = [f.name for f in BAR_SCHEMA]
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], BAR_SCHEMA)
-        return self.spark.read.schema(BAR_SCHEMA).parquet(*paths)
-
-    def _commit(self, rows: DataFrame, marks: DataFrame, kept: dict[int, int]) -> None:
-        version = self._version() + 1
-        spread = F.pmod(F.xxhash64("ticker"), F.lit(64))
-        rows.withColumn("year", F.year("date")).repartition("year", spread).write.mode("overwrite").partitionBy(
-            "year"
-        ).parquet(f"{self.path}/data/{version}")
-        marks.write.mode("overwrite").parquet(f"{self.path}/marks/{version}")
-        names = list_names(self.spark, f"{self.path}/data/{version}")
-        held = {**kept, **{int(n.split("=")[1]): version for n in names if n.startswith("year=")}}
-        lines = self.spark.createDataFrame([(f"{y} {v}",) for y, v in sorted(held.items())], "value string")
-        lines.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{version}")
+        table = self.spark.read.schema(T.StructType([*BAR_SCHEMA, T.StructField("year", T.IntegerType())]))
+        return table.parquet(self.path).where(wanted).select(*names)
+
+    def last_dates(self) -> DataFrame:
+        return last_dates(self.read())
+
+    def _put(self, rows: DataFrame, years: str) -> None:
+        dated = rows.withColumn("year", F.year("date")).hint("rebalance", F.col("year"))
+        dated.write.option("partitionOverwriteMode", years).mode("overwrite").partitionBy("year").parquet(self.path)
 
     def write(self, panel: DataFrame) -> None:
-        self._commit(panel.select(*[f.name for f in BAR_SCHEMA]), last_dates(panel), {})
+        """Replace the table. Rows without a date or ticker are left out; a key that occurs twice raises."""
+        rows = keyed(panel.select(*[f.name for f in BAR_SCHEMA]))
+        if not rows.groupBy("date", "ticker").count().where("count > 1").isEmpty():
+            raise ValueError("a (date, ticker) occurs more than once")
+        self._put(rows, "static")
 
     def extend(self, landed: DataFrame) -> None:
         """Merge landed bars; only the years they fall into are written again."""
-        marks = self.last_dates()
-        fresh = cut(fresh_rows(landed.select(*[f.name for f in BAR_SCHEMA]), marks), "fresh")
+        rows = keyed(landed.select(*[f.name for f in BAR_SCHEMA]))
+        fresh = cut(fresh_rows(rows, self.last_dates()), "fresh")
         years = [r[0] for r in fresh.select(F.year("date")).distinct().collect()]
-        if not years:
-            return
-        moved = last_dates(fresh).unionByName(marks).groupBy("ticker").agg(F.max("last_date").alias("last_date"))
-        self._commit(replace_rows(self._read_years(years), fresh), moved, self._years())
+        if years:
+            # The years are read and then overwritten, so their new rows are written aside first.
+            self._put(cut(replace_rows(self._years(F.col("year").isin(years)), fresh), "years"), "dynamic")
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows that have both parts of the panel's key."""
+    return rows.where(F.col("date").isNotNull() & F.col("ticker").isNotNull())
 
 
 def log_return(price: str = "adj_close", steps: int = 1) -> Column:

@@ -125,3 +125,63 @@ def test_frame_guard(spark):
     out = ro.add_rolling(df, ["k"], ["i"], [lambda w: {"m": ro.full(F.avg("x"), F.col("x"), w, 2)}], back=2).toPandas()
     got = out.sort_values("i")["m"].tolist()
     assert pd.isna(got[0]) and got[1] == 0.5 and pd.isna(got[2]) and pd.isna(got[3]) and got[4] == 3.5
+
+
+def null_keys(spark):
+    return spark.range(90).select(
+        "id",
+        F.when(F.col("id") % 2 == 0, F.col("id") % 6).alias("g"),
+        F.when(F.col("id") % 7 != 0, F.round(noise(4, "id") * 9, 0)).alias("v"),
+    )
+
+
+@pytest.mark.parametrize("task_rows", ["1000000", "6"])
+def test_null_keys_keep_their_rows(spark, task_rows):
+    spark.conf.set("crosslane.taskRows", task_rows)
+    try:
+        df = null_keys(spark)
+        pdf = df.toPandas().sort_values("id").reset_index(drop=True)
+        by = pdf.assign(g=pdf["g"].fillna(-1)).groupby("g")
+        ranked = rk.add_average_rank(df, ["g"], "v", "r", "n").toPandas().sort_values("id")
+        np.testing.assert_allclose(ranked["r"], by["v"].rank(method="average"))
+        placed = rk.add_position(df, ["g"], ["id"], "p", "n").toPandas().sort_values("id")
+        assert (placed["p"].to_numpy() == (by.cumcount() + 1).to_numpy()).all() and len(placed) == 90
+        stats = rk.add_group_median(rk.add_group_stats(df, ["g"], {"m": F.avg("v")}), ["g"], "v", "med").toPandas().sort_values("id")
+        np.testing.assert_allclose(stats["m"], by["v"].transform("mean"))
+        np.testing.assert_allclose(stats["med"], by["v"].transform("median"))
+        assert rk.quantiles(df, ["g"], "v", {"q": 0.5}, nearest=True).count() == by.ngroups
+        rolled = ro.add_rolling(df, ["g"], ["id"], [lambda w: {"l": F.lag("id").over(w)}], back=1).toPandas()
+        assert len(rolled) == 90 and rolled["l"].isna().sum() == by.ngroups
+    finally:
+        spark.conf.unset("crosslane.taskRows")
+
+
+def gappy(spark):
+    """Keys with nulls at the start, in the middle, and one without any value."""
+    return spark.range(400).select(
+        "id",
+        (F.col("id") % 4).alias("k"),
+        F.when((F.col("id") % 4 != 3) & (F.col("id") > 40 * (F.col("id") % 4)) & (noise(8, "id") > 0.4), noise(6, "id")).alias("x"),
+    )
+
+
+@pytest.mark.parametrize("span", [3, 20])
+@pytest.mark.parametrize("task_rows", ["1000000", "20"])
+def test_ewm_with_gaps_equals_pandas(spark, span, task_rows):
+    spark.conf.set("crosslane.taskRows", task_rows)
+    try:
+        df = gappy(spark)
+        out = ro.add_ewm_mean(df, ["k"], ["id"], "x", 2 / (span + 1), "m")
+        out = ro.add_ewm_mean(out, ["k"], ["id"], "x", 2 / (span + 1), "s", carry=False)
+        out = ro.add_ewm_std(out, ["k"], ["id"], "x", span, "d").toPandas().sort_values("id")
+    finally:
+        spark.conf.unset("crosslane.taskRows")
+    for _, part in out.groupby("k"):
+        want = part["x"].ewm(span=span, adjust=False).mean()
+        np.testing.assert_allclose(part["m"], want, rtol=1e-9)
+        np.testing.assert_allclose(part["s"], want.where(part["x"].notna()), rtol=1e-9)
+        spread = part["x"].ewm(span=span).std().where(part["x"].notna())
+        first = part["x"].first_valid_index()
+        if first is not None:
+            spread[first] = 0.0
+        np.testing.assert_allclose(part["d"], spread, rtol=1e-6, atol=1e-9)

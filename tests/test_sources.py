@@ -62,6 +62,24 @@ def test_store_extends_once_per_key(spark):
     assert store.read("2024-01-02", "2024-01-02").count() == 2
 
 
+def test_store_refuses_what_has_no_single_key(spark):
+    store = br.BarStore(spark, fresh_path(spark, "bars"))
+    none = spark.createDataFrame([(None, "A", 1.0, 1.0, 1.0, 1.0, 1.0, 1)], br.BAR_SCHEMA)
+    store.write(_bars(spark, [("A", 0, 1.0)]).unionByName(none))
+    store.extend(none)
+    assert store.read().count() == 1
+    with pytest.raises(ValueError):
+        store.write(_bars(spark, [("A", 0, 1.0), ("A", 0, 2.0)]))
+
+
+def test_extension_leaves_other_years(spark):
+    store = br.BarStore(spark, fresh_path(spark, "bars"))
+    store.write(_bars(spark, [("A", 0, 1.0), ("A", 400, 2.0), ("B", 0, 3.0)]))
+    store.extend(_bars(spark, [("A", 401, 4.0)]))
+    assert sorted(r["close"] for r in store.read().collect()) == [1.0, 2.0, 3.0, 4.0]
+    assert store.read("2024-06-01").count() == 2
+
+
 def test_stream_and_rerun(spark):
     folder = fresh_path(spark, "landing")
     store = br.BarStore(spark, fresh_path(spark, "bars"))
@@ -118,8 +136,8 @@ def test_factor_file_errors(spark, text):
 
 
 def test_parse_dates(spark):
-    texts = ["January 5, 2023", "2023-01-05", "5 January 2023", "Jan 5, 2023", " 1957 ", "—", "nan", "", None, "soon"]
-    want = [date(2023, 1, 5)] * 4 + [date(1957, 1, 1)] + [None] * 5
+    texts = ["October 19, 1987", "1987-10-19", "19 October 1987", "Oct 19, 1987", " 1929 ", "—", "nan", "", None, "later"]
+    want = [date(1987, 10, 19)] * 4 + [date(1929, 1, 1)] + [None] * 5
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r["d"] for r in df.withColumn("d", parse_date(F.col("t"))).orderBy("i").collect()]
     assert got == want
@@ -185,11 +203,12 @@ def test_fold_against_brute_force(spark, seed, small_tasks):
 
 
 def _membership(spark):
+    """One member since ever, one since 2010, one that left, one that came late."""
     rows = [
-        ("AAA", date(1970, 1, 1), None),
-        ("GE", date(2019, 1, 1), None),
-        ("TSLA", date(2020, 12, 21), None),
-        ("SIVB", date(2018, 3, 19), date(2023, 3, 15)),
+        ("OLDEST", date(1970, 1, 1), None),
+        ("STEADY", date(2010, 4, 6), None),
+        ("LEAVER", date(2011, 9, 1), date(2014, 7, 8)),
+        ("LATE", date(2013, 2, 11), None),
     ]
     return spark.createDataFrame(rows, "ticker string, added date, removed date")
 
@@ -197,41 +216,41 @@ def _membership(spark):
 def test_interval_answers(spark):
     m = _membership(spark)
     names = lambda df: {r[0] for r in df.collect()}
-    assert names(ms.members_on(m, "2020-12-20")) == {"AAA", "GE", "SIVB"}
-    assert names(ms.members_on(m, "2023-03-15")) == {"AAA", "GE", "TSLA"}
-    assert ms.is_member(m, "SIVB", "2023-03-14") and not ms.is_member(m, "SIVB", "2023-03-15")
-    assert names(ms.members_during(m, "2023-03-14", "2023-12-31")) == {"AAA", "GE", "TSLA", "SIVB"}
-    assert names(ms.members_during(m, "2023-03-15", "2023-12-31")) == {"AAA", "GE", "TSLA"}
+    assert names(ms.members_on(m, "2013-02-10")) == {"OLDEST", "STEADY", "LEAVER"}
+    assert names(ms.members_on(m, "2014-07-08")) == {"OLDEST", "STEADY", "LATE"}
+    assert ms.is_member(m, "LEAVER", "2014-07-07") and not ms.is_member(m, "LEAVER", "2014-07-08")
+    assert names(ms.members_during(m, "2014-07-07", "2014-12-31")) == {"OLDEST", "STEADY", "LEAVER", "LATE"}
+    assert names(ms.members_during(m, "2014-07-08", "2014-12-31")) == {"OLDEST", "STEADY", "LATE"}
     with pytest.raises(ValueError):
-        ms.members_during(m, "2024-01-01", "2023-01-01")
-    status = {r["ticker"]: r["status"] for r in ms.universe_table(m, "2018-01-01", "2023-01-01", "2024-01-01").collect()}
-    assert status == {"AAA": "active", "GE": "active", "TSLA": "active", "SIVB": "historical"}
+        ms.members_during(m, "2015-01-01", "2014-01-01")
+    table = ms.universe_table(m, "2010-01-01", "2014-01-01", "2016-01-01")
+    status = {r["ticker"]: r["status"] for r in table.collect()}
+    assert status == {"OLDEST": "active", "STEADY": "active", "LATE": "active", "LEAVER": "historical"}
 
 
 def test_filter_to_members(spark):
-    panel = spark.createDataFrame(
-        [("SIVB", date(2023, 3, 14)), ("SIVB", date(2023, 3, 15)), ("TSLA", date(2020, 12, 20)), ("TSLA", date(2020, 12, 21)), ("ZZZ", date(2021, 1, 1))],
-        "ticker string, date date",
-    )
+    days = [("LEAVER", 2014, 7, 7), ("LEAVER", 2014, 7, 8), ("LATE", 2013, 2, 10), ("LATE", 2013, 2, 11), ("NEVER", 2013, 5, 5)]
+    panel = spark.createDataFrame([(t, date(y, m, d)) for t, y, m, d in days], "ticker string, date date")
     out = ms.filter_to_members(panel, _membership(spark))
     assert out.columns == panel.columns
-    assert {(r["ticker"], r["date"].day) for r in out.collect()} == {("SIVB", 14), ("TSLA", 21)}
+    assert {(r["ticker"], r["date"].day) for r in out.collect()} == {("LEAVER", 7), ("LATE", 11)}
     assert ms.filter_to_members(panel.limit(0), _membership(spark)).isEmpty()
     with pytest.raises(ValueError):
         ms.filter_to_members(panel.drop("date"), _membership(spark))
-    assert {r["ticker"] for r in ms.survivors(panel, _membership(spark)).collect()} == {"TSLA"}
+    assert {r["ticker"] for r in ms.survivors(panel, _membership(spark)).collect()} == {"LATE"}
 
 
 def test_membership_parsers(spark):
-    components = spark.createDataFrame([("BRK.B", "1957"), ("TSLA", "December 21, 2020"), ("X", "??")], "Symbol string, `Date added` string")
+    listed = [("BF.B", "1929"), ("LATE", "February 11, 2013"), ("Q", "unknown")]
+    components = spark.createDataFrame(listed, "Symbol string, `Date added` string")
     got = {r["ticker"]: r["added"] for r in ms.parse_components(components).collect()}
-    assert got == {"BRK-B": date(1957, 1, 1), "TSLA": date(2020, 12, 21), "X": date(1970, 1, 1)}
+    assert got == {"BF-B": date(1929, 1, 1), "LATE": date(2013, 2, 11), "Q": date(1970, 1, 1)}
     changes = spark.createDataFrame(
-        [("March 15, 2023", "NEW", "SIVB"), ("nan", "A", "B"), ("2022-01-01", "nan", ""), ("2021-05-05", "C", None)],
+        [("July 8, 2014", "CAME", "LEAVER"), ("nan", "P", "Q"), ("2012-12-12", "nan", ""), ("2012-11-30", "R", None)],
         "`Date Date` string, `Added Ticker` string, `Removed Ticker` string",
     )
     got = {(r["date"], r["added_ticker"], r["removed_ticker"]) for r in ms.parse_changes(changes).collect()}
-    assert got == {(date(2023, 3, 15), "NEW", "SIVB"), (date(2021, 5, 5), "C", "")}
+    assert got == {(date(2014, 7, 8), "CAME", "LEAVER"), (date(2012, 11, 30), "R", "")}
     with pytest.raises(ValueError):
         ms.parse_components(components.drop("Symbol"))
     with pytest.raises(ValueError):
