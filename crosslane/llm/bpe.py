@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crosslane.llm.chunks import Chunked, Memo, groups
-from crosslane.llm.common import small_batches, table, text_bytes, to_batch
+from crosslane.llm.common import regrouped, small_batches, table, text_bytes, to_batch
 
 # Fixed value: the pattern that splits text into pieces before merging, for text without the characters that the standard
 # library's classes treat otherwise; texts with those are split by the tokenizer file's own splitter.
@@ -304,8 +304,7 @@ def token_facts(documents: DataFrame, vocabulary: str, key: str = "doc_id", text
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
-        for batch in batches:
-            keys, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for keys, raws in regrouped(batches):
             found = words.digests([raw.decode("utf-8", "replace") for raw in raws])
             yield to_batch([(k, *facts) for k, facts in zip(keys, found, strict=True)], FACTS)
 

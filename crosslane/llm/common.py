@@ -76,6 +76,21 @@ def commit_file(files: pafs.FileSystem, path: str, parts: Iterable[bytes]) -> in
     return size
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """(keys, texts) of two-column batches, in groups of at most about ``size`` bytes: more texts share look-ups."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and held + len(text) > size:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            held += len(text)
+    if keys:
+        yield keys, texts
+
+
 def arrow_rows(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows out of tuples."""
     held: list[tuple] = []
@@ -95,5 +110,5 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 __all__ = [
     "BATCH_BYTES", "BATCH_ROWS", "LOWER_BYTES", "WORD_BYTES", "arrow_rows", "commit_file", "cut", "drop_path", "fresh_path",
-    "open_folder", "scratch", "small_batches", "table", "text_bytes", "to_batch", "words_of",
+    "open_folder", "regrouped", "scratch", "small_batches", "table", "text_bytes", "to_batch", "words_of",
 ]

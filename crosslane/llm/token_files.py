@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslane.llm.chunks import Chunked, Memo, groups
-from crosslane.llm.common import arrow_rows, commit_file, fresh_path, open_folder, small_batches, table, text_bytes
+from crosslane.llm.common import arrow_rows, commit_file, fresh_path, open_folder, regrouped, small_batches, table, text_bytes
 
 END_ID = 2
 MEMO_CHUNKS = 250_000
@@ -131,9 +131,9 @@ def _write_part(batches, folder: str, vocabulary: str, end_id: int) -> tuple[int
     ids: list[int | None] = []
 
     def encoded() -> Iterator[bytes]:
-        for batch in batches:
-            texts = [raw.decode("utf-8", "replace") for raw in batch.column(1).to_pylist()]
-            for doc, packed in zip(batch.column(0).to_pylist(), words.encode_many(texts), strict=True):
+        for docs, raws in regrouped(batches):
+            texts = [raw.decode("utf-8", "replace") for raw in raws]
+            for doc, packed in zip(docs, words.encode_many(texts), strict=True):
                 counts.append(len(packed) // words.dtype.itemsize + 1)
                 ids.append(doc)
                 yield packed + end
