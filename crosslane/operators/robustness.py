@@ -6,22 +6,109 @@ run, partitioning and engine, so a retried task draws the same values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from crosslane.functions.numeric import correlation, md5_number
 from crosslane.operators.folds import date_index
 from crosslane.operators.metrics import MIN_IC_ROWS, MODEL, daily_ic, scored, summarize, time_split
-from crosslane.operators.ranking import add_average_rank, add_position
+from crosslane.operators.ranking import add_average_rank, add_position, fits, join_on
 from crosslane.session import cut
 
+# The draws' modulus, and how many draws of one date are held at once.
+PRIME = 2**31 - 1
+DRAWN_VALUES = 2_000_000
+
 
 def _iterations(n: int, name: str):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
 
+def _coefficients(seed: int, iteration: Column, date: Column) -> list[Column]:
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), iteration.cast("string"), date))
+    return [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("bigint") % PRIME for k in range(4)]
+
+
+def _draw(coefficients: Sequence, x):
+    """A cubic polynomial modulo a prime, for columns and arrays alike.
+
+    Its four random coefficients make the draws of a date 4-wise independent: mean and variance of a date's
+    IC are those of uniform permutations.
+    """
+    total = coefficients[0]
+    for c in coefficients[1:]:
+        total = (total * x + c) % PRIME
+    return total
+
+
+def _shuffled_ics(left: np.ndarray, right: np.ndarray, date: str, seed: int, n_iterations: int) -> np.ndarray:
+    """IC of a date at each iteration: ``right`` in the order of the draws against ``left`` by place. Constant sides count 0."""
+    n, spread = len(left), left.std() * right.std()
+    if spread == 0:
+        return np.zeros(n_iterations)
+    places, out = np.arange(1, n + 1, dtype=np.int64), []
+    step = max(1, DRAWN_VALUES // n)
+    for first in range(0, n_iterations, step):
+        keys = (f"{seed}|{i}|{date}".encode() for i in range(first, min(first + step, n_iterations)))
+        digests = np.frombuffer(b"".join(hashlib.md5(k).digest() for k in keys), dtype=">u4").reshape(-1, 4)
+        drawn = _draw([c[:, None] for c in (digests.astype(np.int64) % PRIME).T], places)
+        out.append(right[np.argsort(drawn, axis=1, kind="stable")] @ left)
+    return (np.concatenate(out) / n - left.mean() * right.mean()) / spread
+
+
+def _null_sums(ranked: DataFrame, keys: Sequence[str], n_iterations: int, seed: int) -> DataFrame:
+    """(keys, iteration, _sum, _dates): a date is one row of two arrays; a task adds the ICs of its dates up per model."""
+    by = [*keys, "date"]
+    dates = (
+        ranked.groupBy(*by)
+        .agg(F.sort_array(F.collect_list(F.struct("_place", "_rp", "_rr"))).alias("_rows"))
+        .select(
+            *keys,
+            F.coalesce(F.col("date").cast("string"), F.lit("")).alias("_day"),
+            F.col("_rows._rp").alias("_left"),
+            F.col("_rows._rr").alias("_right"),
+        )
+    )
+    names = list(keys)
+
+    def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["_sums"] = [
+                _shuffled_ics(np.asarray(a), np.asarray(c), day, seed, n_iterations)
+                for day, a, c in zip(frame["_day"], frame["_left"], frame["_right"], strict=True)
+            ]
+            if not names:
+                yield pd.DataFrame({"_sums": [sum(frame["_sums"])], "_dates": [len(frame)]})
+                continue
+            rows = [(*(k if isinstance(k, tuple) else (k,)), sum(g["_sums"]), len(g)) for k, g in frame.groupby(names, dropna=False)]
+            out = pd.DataFrame(rows, columns=[*names, "_sums", "_dates"])
+            out[names] = out[names].astype(object).where(out[names].notna(), None)
+            yield out
+
+    fields = [ranked.schema[k] for k in names]
+    schema = StructType([*fields, StructField("_sums", ArrayType(DoubleType())), StructField("_dates", LongType())])
+    sums = dates.mapInPandas(add_up, schema)
+    return sums.select(*names, "_dates", F.posexplode("_sums").alias("iteration", "_sum"))
+
+
+def _null_sums_of_large_dates(ranked: DataFrame, keys: Sequence[str], n_iterations: int, seed: int, rows: int | None) -> DataFrame:
+    """As ``_null_sums``, for dates that do not fit a task: every iteration orders them by ranges."""
+    by = [*keys, "date"]
+    draws = ranked.select(*by, "_rr", F.col("_place").alias("_x"), _iterations(n_iterations, "iteration"))
+    day = F.coalesce(F.col("date").cast("string"), F.lit(""))
+    drawn = draws.withColumn("_draw", _draw(_coefficients(seed, F.col("iteration"), day), F.col("_x").cast("bigint")))
+    placed = add_position(drawn, [*by, "iteration"], ["_draw", "_x"], "_place", rows=rows)
+    paired = join_on(placed, ranked.select(*by, "_place", "_rp"), [*by, "_place"])
+    per_date = paired.groupBy(*by, "iteration").agg(F.coalesce(correlation("_rp", "_rr"), F.lit(0.0)).alias("_sum"))
+    return per_date.select(*keys, F.lit(1).cast("long").alias("_dates"), "iteration", "_sum")
+
+
 def shuffle_null(
     df: DataFrame,
     n_iterations: int = 1000,
@@ -32,9 +119,9 @@ def shuffle_null(
 ) -> DataFrame:
     """Mean IC against its distribution when predictions are permuted inside each date.
 
-    Ranks do not change under a permutation, so they are taken once. An iteration orders a
-    date's rows by an md5 number and pairs that order with the order by ticker; the pairing is
-    one equality join on (date, place). Constant dates count 0, as the null's rule says.
+    Ranks do not change under a permutation, so they are taken once. An iteration orders a date's rows by keyed draws
+    and pairs that order with the order by ticker. The rows are shuffled once; all iterations of a date are one pass over arrays.
+    Dates above ``crosslane.taskRows`` are ordered by ranges, with the same draws. Constant dates count 0, as the null's rule says.
     """
     by = [*keys, "date"]
     valid = scored(df).select(*by, "ticker", "prediction", "realized")
@@ -42,20 +129,13 @@ def shuffle_null(
     ranked = add_average_rank(valid, by, "prediction", "_rp", rows=rows)
     ranked = add_average_rank(ranked, by, "realized", "_rr", "_n", rows=rows)
     ranked = add_position(ranked.where(F.col("_n") >= min_rows), by, ["ticker"], "_place", rows=rows)
-    ranked = cut(ranked.select(*by, "ticker", "_rp", "_rr", "_place"), "null")
-    draws = ranked.select(*by, "ticker", "_rr", _iterations(n_iterations, "iteration"))
-    order = F.concat(
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("date").cast("string"), "ticker")),
-        "ticker",
-    )
-    placed = add_position(draws.withColumn("_order", order), [*by, "iteration"], ["_order"], "_place", rows=rows)
-    paired = placed.select(*by, "iteration", "_rr", "_place").join(
-        ranked.select(*by, "_place", "_rp"), [*by, "_place"]
-    )
-    per_date = paired.groupBy(*by, "iteration").agg(correlation("_rp", "_rr").alias("_ic"))
-    clean = F.coalesce("_ic", F.lit(0.0))
-    means = per_date.groupBy(*keys, "iteration").agg(F.avg(clean).alias("_mean"))
-    joined = means.join(observed, list(keys))
+    ranked = ranked.select(*by, "_rp", "_rr", "_place")
+    if fits(ranked, by, rows):
+        sums = _null_sums(ranked, keys, n_iterations, seed)
+    else:
+        sums = _null_sums_of_large_dates(cut(ranked, "null"), keys, n_iterations, seed, rows)
+    means = sums.groupBy(*keys, "iteration").agg((F.sum("_sum") / F.sum("_dates")).alias("_mean"))
+    joined = join_on(means, observed, keys) if keys else means.join(F.broadcast(observed))
     out = joined.groupBy(*keys).agg(
         F.max("observed_ic").alias("observed_ic"),
         F.avg("_mean").alias("null_mean"),

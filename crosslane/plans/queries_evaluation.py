@@ -506,7 +506,7 @@ def bootstrap_ic(spark, sf):
     return rounded(rb.bootstrap_ic(df, _BOOT, rows=rows))
 
 
-_SHUFFLES = 10
+_SHUFFLES = 1000
 
 
 @query(
@@ -515,15 +515,18 @@ _SHUFFLES = 10
         ("ranked", "ic"),
         f"""SELECT model_id, {r('o')} AS observed_ic, {r('avg(m)')} AS null_mean, {r('stddev_pop(m)')} AS null_std,
   {r('avg(CASE WHEN m >= o THEN 1.0 ELSE 0.0 END)')} AS p_value, count(*) AS n_iterations, {r('(o - avg(m)) / stddev_pop(m)', 4)} AS z_score
-FROM (SELECT model_id, it, avg(CASE WHEN c IS NULL OR NOT isfinite(c) THEN 0.0 ELSE c END) AS m FROM pairs GROUP BY 1, 2)
+FROM (SELECT model_id, it, avg(CASE WHEN s = 0 THEN 0.0 ELSE (list_dot_product(list_select(c, q), a) / n - f) / s END) AS m
+  FROM base JOIN drawn USING (date, n) GROUP BY 1, 2)
 JOIN (SELECT model_id, avg(ic) AS o FROM ic GROUP BY 1) USING (model_id) GROUP BY model_id, o""",
         {
-            "base": """SELECT model_id, date, ticker, rp, rr, row_number() OVER (PARTITION BY model_id, date ORDER BY ticker) AS i
-  FROM (SELECT *, count(*) OVER (PARTITION BY model_id, date) AS n FROM ranked) WHERE n >= 5""",
-            "draws": f"""SELECT model_id, date, it, rr, row_number() OVER (PARTITION BY model_id, date, it
-    ORDER BY md5('42|' || it || '|' || CAST(date AS VARCHAR) || '|' || ticker) || ticker) AS i
-  FROM base, (SELECT unnest(range(0, {_SHUFFLES})) AS it)""",
-            "pairs": "SELECT d.model_id, d.date, d.it, corr(b.rp, d.rr) AS c FROM draws d JOIN base b USING (model_id, date, i) GROUP BY 1, 2, 3",
+            "base": """SELECT model_id, date, count(*) AS n, CAST(list(rp ORDER BY ticker) AS DOUBLE[]) AS a, CAST(list(rr ORDER BY ticker) AS DOUBLE[]) AS c,
+    avg(rp) * avg(rr) AS f, stddev_pop(rp) * stddev_pop(rr) AS s FROM ranked GROUP BY 1, 2 HAVING count(*) >= 5""",
+            "parts": f"""SELECT date, it, ('0x' || substr(h, 1, 8))::BIGINT % 2147483647 AS c3, ('0x' || substr(h, 9, 8))::BIGINT % 2147483647 AS c2,
+    ('0x' || substr(h, 17, 8))::BIGINT % 2147483647 AS c1, ('0x' || substr(h, 25, 8))::BIGINT % 2147483647 AS c0
+  FROM (SELECT date, it, md5('42|' || it || '|' || CAST(date AS VARCHAR)) AS h
+    FROM (SELECT DISTINCT date FROM base), (SELECT unnest(range(0, {_SHUFFLES})) AS it))""",
+            "drawn": """SELECT date, n, it, list(x ORDER BY (((c3 * x + c2) % 2147483647 * x + c1) % 2147483647 * x + c0) % 2147483647, x) AS q
+  FROM (SELECT DISTINCT date, n, unnest(range(1, n + 1)) AS x FROM base) JOIN parts USING (date) GROUP BY 1, 2, 3""",
         },
     ),
 )

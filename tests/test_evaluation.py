@@ -112,6 +112,19 @@ def test_shuffle_null(scores):
     assert out.loc["bad", "p_value"] > 0.0
 
 
+def test_shuffle_null_routes_agree_and_spread_as_uniform_permutations(spark, scores, small_tasks):
+    frame = scores.withColumn("date", F.when(F.col("date") != "2022-01-05", F.col("date")))
+    whole = rb.shuffle_null(frame, 40, rows=small_tasks).orderBy("model_id").toPandas()
+    split = rb.shuffle_null(frame, 40, rows=small_tasks + 1).orderBy("model_id").toPandas()
+    assert np.allclose(whole.drop(columns="model_id").astype(float), split.drop(columns="model_id").astype(float), atol=1e-9)
+    sizes = mt.scored(scores).groupBy("model_id", "date").count().toPandas().groupby("model_id")["count"]
+    expected = sizes.apply(lambda n: np.sqrt((1 / (n - 1)).sum()) / len(n))
+    many = rb.shuffle_null(scores, 1000, rows=ROWS).toPandas().set_index("model_id")
+    assert (many["n_iterations"] == 1000).all()
+    assert ((many["null_std"] / expected.loc[many.index] - 1).abs() < 0.1).all()
+    assert (many["null_mean"].abs() < 4 * expected.loc[many.index] / np.sqrt(1000)).all()
+
+
 def test_bootstrap(scores):
     out = rb.bootstrap_ic(scores, 200, rows=ROWS).toPandas().set_index("model_id")
     assert out.loc["good", "excludes_zero"] and not out.loc["bad", "excludes_zero"]
