@@ -8,6 +8,7 @@ walk-forward split a running sum over the same single scan.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -143,7 +144,8 @@ def solve_l1(
             step = max(step, abs(new - w[j]))
             w[j] = new
         if step <= tol * max(1.0, float(np.max(np.abs(w), initial=0.0))):
-            break
+            return w
+    warnings.warn(f"coordinate descent has not converged after {max_iter} sweeps", RuntimeWarning, stacklevel=2)
     return w
 
 
@@ -160,7 +162,8 @@ def solve_nnls(g: Gram, max_iter: int = 20000, tol: float = 1e-12) -> np.ndarray
             step = max(step, abs(new - w[j]))
             w[j] = new
         if step <= tol:
-            break
+            return w
+    warnings.warn(f"non-negative least squares has not converged after {max_iter} sweeps", RuntimeWarning, stacklevel=2)
     return w
 
 

@@ -8,20 +8,24 @@ scoring job for all hyperparameters of all folds.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any, ClassVar
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslane.functions.numeric import dot
 from crosslane.operators.folds import Fold, chain_folds, date_index
 from crosslane.operators.gram import Gram, collect_grams, gram, solve_l1, solve_ols, solve_ridge
-from crosslane.operators.metrics import daily_ic
-from crosslane.operators.ranking import add_average_rank
-from crosslane.session import broadcast_dates, broadcast_if
+from crosslane.operators.metrics import MIN_IC_ROWS, daily_ic
+from crosslane.operators.ranking import add_average_rank, fits
+from crosslane.session import broadcast_dates
+
+# Predictions of one date that are ranked at once.
+RANKED_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -211,46 +215,96 @@ class Trial:
 Solver = Callable[[Gram, dict[str, float]], np.ndarray]
 
 
-def score_candidates(
-    train: DataFrame,
-    features: Sequence[str],
-    target: str,
-    index: DataFrame,
-    trials: Sequence[Trial],
-    candidates: dict[int, Sequence[dict[str, float]]],
-    solve: Solver,
-    rows: int | None = None,
+@dataclass(frozen=True)
+class Rule:
+    """A linear rule and the date numbers [low, high) on which it is scored."""
+
+    coef: tuple[float, ...]
+    low: int
+    high: int
+
+
+def average_ranks(values: np.ndarray) -> np.ndarray:
+    """Average ranks (1-based) down each column."""
+    n, places = len(values), np.arange(len(values))[:, None]
+    order = np.argsort(values, axis=0, kind="stable")
+    ordered = np.take_along_axis(values, order, axis=0)
+    starts = np.ones(values.shape, dtype=bool)
+    starts[1:] = ordered[1:] != ordered[:-1]
+    ends = np.ones(values.shape, dtype=bool)
+    ends[:-1] = starts[1:]
+    first = np.maximum.accumulate(np.where(starts, places, 0), axis=0)
+    last = np.minimum.accumulate(np.where(ends, places, n)[::-1], axis=0)[::-1]
+    out = np.empty(values.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=0)
+    return out
+
+
+def _date_ics(x: np.ndarray, realized: np.ndarray, coefs: np.ndarray) -> np.ndarray:
+    """IC of every rule (a row of ``coefs``) on one date; nan where one side is constant."""
+    n, out = len(realized), np.full(len(coefs), np.nan)
+    spread = realized.std()
+    step = max(1, RANKED_VALUES // n)
+    for k in range(0, len(coefs) if spread > 0 else 0, step):
+        part = coefs[k : k + step]
+        predicted = np.zeros((n, len(part)))
+        for j in range(x.shape[1]):
+            predicted += x[:, j, None] * part[:, j]
+        ranks = average_ranks(predicted)
+        spreads = ranks.std(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = (realized @ ranks / n - realized.mean() * ranks.mean(axis=0)) / (spread * spreads)
+        out[k : k + step] = np.where(spreads > 0, found, np.nan)
+    return out
+
+
+def score_rules(
+    frame: DataFrame, features: Sequence[str], target: str, index: DataFrame, rules: Sequence[Rule], rows: int | None = None
 ) -> DataFrame:
-    """(unit, candidate, ic, n_dates): mean daily IC of every candidate on every fold, in one job.
+    """(rule, ic, n_dates): mean daily IC of every rule over its dates; ``rule`` is its place in ``rules``.
 
-    A validation row meets the coefficients of its fold through an equality join with a table
-    of folds x candidates rows.
+    The rows are shuffled once, by date, whatever the number of rules: a date is one row of two arrays, and
+    its rules are scored in one pass over them. Dates above ``crosslane.taskRows`` meet their rules by a join.
     """
-    spark = train.sparkSession
-    coefs = [
-        (t.unit, c, [float(v) for v in solve(t.train, params)])
-        for t in trials
-        for c, params in enumerate(candidates[t.refit])
-    ]
-    coef_table = spark.createDataFrame(coefs, "unit int, candidate int, coef array<double>")
-    ranges = spark.createDataFrame(
-        [(t.unit, t.fold.val_from, t.fold.val_to) for t in trials], "unit int, lo int, hi int"
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    low, high = np.array([r.low for r in rules]), np.array([r.high for r in rules])
+    coefs = np.array([r.coef for r in rules], dtype=float).reshape(len(rules), len(features))
+    # Every rule sees whole dates, so the target is ranked once per date.
+    base = frame.select("date", x.alias("_x"), F.col(target).alias("_y"))
+    base = add_average_rank(base, ["date"], "_y", "_rank", "_n", rows=rows).drop("_y")
+    base = base.join(broadcast_dates(index.select("date", "idx")), "date")
+    if not fits(base, ["date"], rows):
+        return _score_large_dates(base, coefs, low, high, rows)
+    dates = base.where(F.col("_n") >= MIN_IC_ROWS).groupBy("idx").agg(F.collect_list(F.struct("_rank", "_x")).alias("_rows"))
+    dates = dates.select("idx", F.col("_rows._rank").alias("_rank"), F.flatten("_rows._x").alias("_x"))
+
+    def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            total, count = np.zeros(len(coefs)), np.zeros(len(coefs), dtype=np.int64)
+            for idx, ranks, flat in zip(part["idx"], part["_rank"], part["_x"], strict=True):
+                mine = np.flatnonzero((low <= idx) & (idx < high))
+                ics = _date_ics(np.asarray(flat).reshape(len(ranks), -1), np.asarray(ranks), coefs[mine])
+                known = ~np.isnan(ics)
+                total[mine[known]] += ics[known]
+                count[mine[known]] += 1
+            met = np.flatnonzero(count)
+            yield pd.DataFrame({"rule": met.astype(np.int32), "_sum": total[met], "_dates": count[met]})
+
+    sums = dates.mapInPandas(add_up, "rule int, _sum double, _dates long")
+    return sums.groupBy("rule").agg((F.sum("_sum") / F.sum("_dates")).alias("ic"), F.sum("_dates").alias("n_dates"))
+
+
+def _score_large_dates(base: DataFrame, coefs: np.ndarray, low: np.ndarray, high: np.ndarray, rows: int | None) -> DataFrame:
+    """As ``score_rules`` where a date does not fit a task: rows x rules, ranked by ranges."""
+    spans = zip(low.tolist(), high.tolist(), coefs.tolist(), strict=True)
+    table = base.sparkSession.createDataFrame(
+        [(i, a, b, c) for i, (a, b, c) in enumerate(spans)], "rule int, low int, high int, coef array<double>"
     )
-    days = index.join(
-        ranges.select("unit", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("idx")), "idx"
-    ).select("unit", "date")
-    x = F.array(*[F.col(f) for f in features])
+    by_date = table.select("rule", "coef", F.explode(F.sequence("low", F.col("high") - 1)).alias("idx"))
     value = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    # Every fold and candidate sees whole dates, so the target is ranked once per date.
-    base = add_average_rank(train.select("date", x.alias("_x"), F.col(target).alias("_y")), ["date"], "_y", "realized", rows=rows)
-    scored = (
-        base.drop("_y")
-        .join(broadcast_if(days, sum(t.fold.val_to - t.fold.val_from for t in trials)), "date")
-        .join(broadcast_if(coef_table, len(coefs)), "unit")
-        .select("unit", "candidate", "date", value.alias("prediction"), "realized")
-    )
-    ic = daily_ic(scored, ["unit", "candidate"], rows=rows, realized_is_ranked=True)
-    return ic.groupBy("unit", "candidate").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("n_dates"))
+    scored = base.join(by_date, "idx").select("rule", "date", value.alias("prediction"), F.col("_rank").alias("realized"))
+    ic = daily_ic(scored, ["rule"], rows=rows, realized_is_ranked=True)
+    return ic.groupBy("rule").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("n_dates"))
 
 
 @dataclass
@@ -270,13 +324,26 @@ def choose(candidates: Sequence[dict[str, float]], scores: Sequence[float | None
     return Choice(*table[best], table)
 
 
-def select_by_ic(train, features, target, index, trials, candidates, solve, rows=None) -> dict[int, Choice]:
-    """Per refit the candidate with the best mean over folds of the mean daily IC."""
-    scores = score_candidates(train, features, target, index, trials, candidates, solve, rows)
-    refit_of = {t.unit: t.refit for t in trials}
+def select_by_ic(
+    train: DataFrame,
+    features: Sequence[str],
+    target: str,
+    index: DataFrame,
+    trials: Sequence[Trial],
+    candidates: dict[int, Sequence[dict[str, float]]],
+    solve: Solver,
+    rows: int | None = None,
+) -> dict[int, Choice]:
+    """Per refit the candidate with the best mean over folds of the mean daily IC; all are scored in one job."""
+    places = [(t, c) for t in trials for c in range(len(candidates[t.refit]))]
+    rules = [
+        Rule(tuple(map(float, solve(t.train, candidates[t.refit][c]))), t.fold.val_from, t.fold.val_to) for t, c in places
+    ]
     sums: dict[tuple[int, int], list[float]] = {}
-    for r in scores.collect():
-        sums.setdefault((refit_of[r["unit"]], r["candidate"]), []).append(r["ic"])
+    # One row per rule; the rules are fitted here already.
+    for r in score_rules(train, features, target, index, rules, rows).orderBy("rule").collect():
+        t, c = places[r["rule"]]
+        sums.setdefault((t.refit, c), []).append(r["ic"])
     out = {}
     for refit, options in candidates.items():
         found = [sums.get((refit, c)) for c in range(len(options))]

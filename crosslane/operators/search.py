@@ -19,14 +19,15 @@ from crosslane.operators.models import (
     LassoCrossSectional,
     ModelConfig,
     RidgeCrossSectional,
+    Rule,
     Trial,
     build_model,
     l1_alpha_grid,
     ridge_alpha_grid,
+    score_rules,
     select_by_error,
 )
-from crosslane.operators.ranking import add_average_rank
-from crosslane.session import broadcast_dates, broadcast_if
+from crosslane.session import broadcast_dates
 
 # The search space of the boosted trees; (low, high, scale).
 TREE_SPACE = {
@@ -142,28 +143,10 @@ def ablation(
             full = np.zeros(len(union))
             full[pick] = coef
             coefs.append((variant, kind, len(features), [float(c) for c in full]))
-    table = spark.createDataFrame(coefs, "variant string, kind string, n_features int, coef array<double>")
-    days = index.where(F.col("idx") >= start).select("date")
-    value = F.aggregate(F.zip_with("_x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    held = train.join(broadcast_dates(days), "date", "left_semi").select(
-        "date", F.array(*union).alias("_x"), F.col(target).alias("_y")
-    )
-    scored = (
-        add_average_rank(held, ["date"], "_y", "realized", rows=rows)
-        .withColumn("_v", F.explode(F.array(*[F.lit(i) for i in range(len(coefs))])))
-        .join(broadcast_if(_numbered(table, coefs), len(coefs)), "_v")
-        .select("variant", "kind", "date", value.alias("prediction"), "realized")
-    )
-    ic = daily_ic(scored, ["variant", "kind"], rows=rows, realized_is_ranked=True)
-    scores = ic.groupBy("variant", "kind").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("n_dates"))
-    return table.select("variant", "kind", "n_features").join(scores, ["variant", "kind"], "left")
-
-
-def _numbered(table: DataFrame, coefs: Sequence[tuple]) -> DataFrame:
-    spark = table.sparkSession
-    return spark.createDataFrame(
-        [(i, v, k, c) for i, (v, k, _, c) in enumerate(coefs)], "_v int, variant string, kind string, coef array<double>"
-    )
+    scores = score_rules(train, union, target, index, [Rule(tuple(c), start, n) for *_, c in coefs], rows)
+    table = [(i, v, k, m) for i, (v, k, m, _) in enumerate(coefs)]
+    named = spark.createDataFrame(table, "rule int, variant string, kind string, n_features int")
+    return named.join(scores, "rule", "left").drop("rule")
 
 
 def _fit_kind(kind: str, total: Gram, sums: DateGrams, pick: Sequence[int], folds: Sequence[Fold]) -> np.ndarray:

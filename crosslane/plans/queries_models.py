@@ -200,7 +200,7 @@ def ridge_by_ic(spark, sf):
 
 @query("elastic_net_by_ic")
 def elastic_net_by_ic(spark, sf):
-    config = ModelConfig("enet", FOUR, params={"alphas": 5, "l1_ratios": [0.2, 0.5, 0.9]})
+    config = ModelConfig("enet", FOUR)
     model = ElasticNetCrossSectional(config).fit(ranked(spark, sf), rows=b.names_bound(spark, sf))
     return model.alpha_trace(spark)
 
@@ -230,7 +230,7 @@ def save_and_load(spark, sf):
 def model_registry(spark, sf):
     """Fitted importances of every linear class, by class name."""
     fitted = {
-        name: build_model(name, ModelConfig(name, FOUR, params={"alphas": 5, "cv": 3})).fit(ranked(spark, sf))
+        name: build_model(name, ModelConfig(name, FOUR, params={})).fit(ranked(spark, sf))
         for name in list_model_classes()
         if name in ("OLSCrossSectional", "RidgeCrossSectional", "LassoCrossSectional")
     }
@@ -239,7 +239,7 @@ def model_registry(spark, sf):
 
 # ---- walk-forward and experiments -----------------------------------------------------
 
-_WF = {"refit_freq_days": 365, "embargo_days": 12, "min_train_days": 730}
+_WF = {"refit_freq_days": 21, "embargo_days": 12, "min_train_days": 730}
 
 
 def _run(spark, sf, model, **options):
@@ -253,8 +253,8 @@ def _run(spark, sf, model, **options):
         f"""SELECT k.date, k.ticker, CAST(s.split AS INT) AS split, {r('my - m1 * b1 - m2 * b2 + b1 * return_5d + b2 * range_ratio')} AS prediction
 FROM ranks k JOIN sp s ON k.date BETWEEN s.ts AND s.te JOIN co USING (split)""",
         {
-            "sp": """SELECT row_number() OVER (ORDER BY ts) - 1 AS split, ts, ts - 12 AS tend, least(ts + 364, e) AS te FROM (
-  SELECT e, CAST(unnest(range(s + 730, e + 1, INTERVAL 365 DAY)) AS DATE) AS ts FROM (SELECT min(date) AS s, max(date) AS e FROM ranks))""",
+            "sp": """SELECT row_number() OVER (ORDER BY ts) - 1 AS split, ts, ts - 12 AS tend, least(ts + 20, e) AS te FROM (
+  SELECT e, CAST(unnest(range(s + 730, e + 1, INTERVAL 21 DAY)) AS DATE) AS ts FROM (SELECT min(date) AS s, max(date) AS e FROM ranks))""",
             "gs": """SELECT split, count(*) AS n, avg(return_5d) AS m1, avg(range_ratio) AS m2, avg(y) AS my, covar_pop(return_5d, return_5d) AS a,
   covar_pop(return_5d, range_ratio) AS c, covar_pop(range_ratio, range_ratio) AS d, covar_pop(return_5d, y) AS p, covar_pop(range_ratio, y) AS q
   FROM ranks JOIN sp ON date <= tend WHERE y IS NOT NULL GROUP BY 1""",
@@ -270,7 +270,7 @@ def walk_forward_ols(spark, sf):
 
 @query("walk_forward_lasso_coefficients")
 def walk_forward_lasso_coefficients(spark, sf):
-    run = _run(spark, sf, LassoCrossSectional(ModelConfig("lasso", FOUR, params={"alphas": 8})))
+    run = _run(spark, sf, LassoCrossSectional(ModelConfig("lasso", FOUR)))
     return rounded(run.coefficients.join(dg.cancellation(run.coefficients), "refit_date"))
 
 
@@ -292,7 +292,7 @@ def experiment_comparison(spark, sf):
         "models": [
             {"id": "zero", "class": "ZeroPredictor"},
             {"id": "ols", "class": "OLSCrossSectional", "features": list(TWO)},
-            {"id": "ridge", "class": "RidgeCrossSectional", "params": {"alphas": 6}},
+            {"id": "ridge", "class": "RidgeCrossSectional"},
         ],
     }
     store = PredictionStore(spark, fresh_path(spark, "store"))
@@ -637,8 +637,8 @@ def sweep_overview(spark, sf):
     """Linear sweep results next to the scores of the models they belong to."""
     data, rows = ranked(spark, sf), b.names_bound(spark, sf)
     fitted = {
-        "lasso": LassoCrossSectional(ModelConfig("lasso", FOUR, params={"alphas": 6})).fit(data, rows=rows),
-        "ridge": RidgeCrossSectional(ModelConfig("ridge", FOUR, params={"alphas": 6})).fit(data, rows=rows),
+        "lasso": LassoCrossSectional(ModelConfig("lasso", FOUR)).fit(data, rows=rows),
+        "ridge": RidgeCrossSectional(ModelConfig("ridge", FOUR)).fit(data, rows=rows),
     }
     frames, sweeps = None, None
     for name, model in fitted.items():

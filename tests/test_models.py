@@ -16,11 +16,13 @@ from crosslane.operators.models import (
     ModelConfig,
     OLSCrossSectional,
     RidgeCrossSectional,
+    Rule,
     build_model,
     l1_alpha_grid,
     list_model_classes,
     register_model,
     ridge_alpha_grid,
+    score_rules,
 )
 from crosslane.operators.trees import LeafwiseBoosting
 from crosslane.plans import experiment as ex
@@ -376,3 +378,20 @@ def test_walk_forward_rules(spark, panel):
     assert len(run.splits) == 1 and run.predictions.agg(F.min("date")).first()[0] == date(2021, 6, 1)
     used = matrix.where("date >= '2020-06-01' and date <= '2021-05-22' and y is not null").count()
     assert model.state["n"] == used
+
+
+def test_rules_are_scored_alike_in_arrays_by_joins_and_by_pandas(train, small_tasks):
+    index = fo.date_index(train)
+    rules = [Rule((1.0, -0.5, 0.0), 0, 80), Rule((0.0, 0.0, 0.0), 0, 80), Rule((0.2, 0.0, 1.0), 10, 31), Rule((0.0, 0.0, 1.0), 90, 95)]
+    coarse = train.withColumn("x3", F.floor(F.col("x3") * 4) / 4)
+    arrays = score_rules(coarse, X, "y", index, rules, rows=small_tasks).orderBy("rule").toPandas()
+    joins = score_rules(coarse, X, "y", index, rules, rows=small_tasks + 5).orderBy("rule").toPandas()
+    assert arrays["rule"].tolist() == joins["rule"].tolist() == [0, 2]
+    np.testing.assert_allclose(arrays[["ic", "n_dates"]], joins[["ic", "n_dates"]], rtol=1e-9)
+    pdf = coarse.join(index, "date").toPandas()
+    for number, ic, n in arrays.itertuples(index=False):
+        rule = rules[number]
+        part = pdf[(pdf["idx"] >= rule.low) & (pdf["idx"] < rule.high)]
+        part = part.assign(p=part[list(X)].to_numpy() @ np.array(rule.coef))
+        want = part.groupby("date").apply(lambda g: g["p"].rank().corr(g["y"].rank()), include_groups=False)
+        assert n == len(want) and ic == pytest.approx(want.mean())
