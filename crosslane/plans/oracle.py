@@ -168,3 +168,30 @@ def with_blocks(names: tuple[str, ...] | list[str], query: str, extra: dict[str,
     parts += [f"{n} AS ({sql})" for n, sql in (extra or {}).items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(parts) + "\n" + query
+
+
+def ols_blocks(name: str, source: str, by: list[str], xs: list[str] | tuple[str, ...], y: str, having: str = "true") -> dict[str, str]:
+    """Blocks that end in ``name``: (by, n, a, b0, b1, ..., r2, sse), least squares with intercept per group.
+
+    Elimination on the covariances, one statement per column; the slopes follow backwards.
+    """
+    p, keys = len(xs), "".join(f"{k}, " for k in by)
+    every = [*xs, y]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = ", ".join(f"covar_pop({every[i]}, {every[j]}) AS s0_{i}_{j}" for i, j in pairs)
+    means = ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(every))
+    grouped = f" GROUP BY {', '.join(by)} HAVING {having}" if by else ""
+    out = {f"{name}_0": f"SELECT {keys}count(*) AS n, {means}, {sums} FROM {source}{grouped}"}
+    for k in range(p):
+        left = [f"s{k}_{i}_{j} - s{k}_{k}_{i} * s{k}_{k}_{j} / s{k}_{k}_{k} AS s{k + 1}_{i}_{j}" for i, j in pairs if i > k]
+        out[f"{name}_{k + 1}"] = f"SELECT *, {', '.join(left)} FROM {name}_{k}"
+    slopes = []
+    for j in reversed(range(p)):
+        known = "".join(f" - s{j}_{j}_{k} * b{k}" for k in range(j + 1, p))
+        slopes.append(f"(s{j}_{j}_{p}{known}) / s{j}_{j}_{j} AS b{j}")
+    level = f"m{p}" + "".join(f" - m{i} * b{i}" for i in range(p))
+    out[name] = (
+        f"SELECT {keys}n, {', '.join(f'b{i}' for i in range(p))}, {level} AS a, 1 - s{p}_{p}_{p} / s0_{p}_{p} AS r2, "
+        f"n * s{p}_{p}_{p} AS sse FROM (SELECT *, {', '.join(slopes)} FROM {name}_{p})"
+    )
+    return out

@@ -482,25 +482,22 @@ def bucket_monotonicity(spark, sf):
 
 
 _BOOT = 1000
+_PLACED_IC = """SELECT model_id, ic, row_number() OVER (PARTITION BY model_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY model_id) AS n FROM ic"""
 
 
-@query(
-    "bootstrap_ic",
-    with_blocks(
-        ("ic",),
-        f"""SELECT p.model_id, {r('pe')} AS point_estimate, n_dates, {r('p05')} AS p05, {r('p50')} AS p50, {r('p95')} AS p95, n_bootstrap,
-  p05 > 0 OR p95 < 0 AS excludes_zero
-FROM (SELECT model_id, avg(ic) AS pe, count(*) AS n_dates FROM ic GROUP BY 1) p
+BLOCKS["bands"] = (
+    ("ic",),
+    f"""SELECT * FROM (SELECT model_id, avg(ic) AS pe, count(*) AS n_ic_dates FROM ic GROUP BY 1)
 JOIN (SELECT model_id, quantile_cont(m, 0.05) AS p05, quantile_cont(m, 0.5) AS p50, quantile_cont(m, 0.95) AS p95, count(*) AS n_bootstrap
   FROM (SELECT d.model_id, d.replicate, avg(s.ic) AS m FROM
     (SELECT x.model_id, g.replicate, ('0x' || substr(md5('42|' || g.replicate || '|' || x.i), 1, 8))::BIGINT % x.n AS pick
-     FROM x, (SELECT unnest(range(0, {_BOOT})) AS replicate) g) d
-    JOIN x s ON s.model_id = d.model_id AND s.i = d.pick GROUP BY 1, 2) GROUP BY 1) q USING (model_id)""",
-        {
-            "x": """SELECT model_id, ic, row_number() OVER (PARTITION BY model_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY model_id) AS n FROM ic"""
-        },
-    ),
+     FROM ({_PLACED_IC}) x, (SELECT unnest(range(0, {_BOOT})) AS replicate) g) d
+    JOIN ({_PLACED_IC}) s ON s.model_id = d.model_id AND s.i = d.pick GROUP BY 1, 2) GROUP BY 1) USING (model_id)""",
 )
+_BANDS = f"{r('pe')} AS point_estimate, {r('p05')} AS p05, {r('p50')} AS p50, {r('p95')} AS p95, n_bootstrap, p05 > 0 OR p95 < 0 AS excludes_zero"
+
+
+@query("bootstrap_ic", with_blocks(("bands",), f"SELECT model_id, n_ic_dates AS n_dates, {_BANDS} FROM bands"))
 def bootstrap_ic(spark, sf):
     df, rows = _frame(spark, sf)
     return rounded(rb.bootstrap_ic(df, _BOOT, rows=rows))
@@ -590,7 +587,21 @@ def neutralized_multi(spark, sf):
     return rounded(neutralized_ic(df.join(side, ["date", "ticker"]), ["x", "z"], rows=rows))
 
 
-@query("robustness_panel")
+@query(
+    "robustness_panel",
+    with_blocks(
+        ("summary", "bands", "placed"),
+        f"""SELECT model_id, n_observations, {', '.join(f'{r(c)} AS {c}' for c in _SUMMARY)}, {_BANDS}, {r('top')} AS top_bucket, {r('bottom')} AS bottom_bucket,
+  {r('ic_a')} AS ic_before, {r('ic_b')} AS ic_after
+FROM summary JOIN bands USING (model_id)
+JOIN (SELECT model_id, arg_max(m, bucket) AS top, arg_min(m, bucket) AS bottom FROM bk GROUP BY 1) USING (model_id)
+JOIN (SELECT model_id, avg(ic) FILTER (WHERE date < {_HALF}) AS ic_a, avg(ic) FILTER (WHERE date >= {_HALF}) AS ic_b FROM ic GROUP BY 1) USING (model_id)""",
+        {
+            "bk": """SELECT model_id, bucket, avg(m) AS m FROM (SELECT model_id, date, ((pos - 1) * 10) // n + 1 AS bucket, avg(realized) AS m
+  FROM placed WHERE n >= 10 GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+        },
+    ),
+)
 def robustness_panel(spark, sf):
     """Bootstrap band, bucket returns and time split of every model side by side."""
     df, rows = _frame(spark, sf)

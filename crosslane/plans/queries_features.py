@@ -26,7 +26,7 @@ from crosslane.operators.rolling import add_ewm_mean, add_rolling, full
 from crosslane.operators.smoothing import smooth_predictions
 from crosslane.plans import binding as b
 from crosslane.plans.catalog import query, rounded, shortened
-from crosslane.plans.oracle import BLOCKS, average_rank, lag, r, rank_share, rolling, win, with_blocks
+from crosslane.plans.oracle import BLOCKS, average_rank, lag, ols_blocks, r, rank_share, rolling, win, with_blocks
 from crosslane.sources.factors import FACTORS
 
 # ---- SQL of the features ------------------------------------------------------
@@ -283,6 +283,13 @@ def normalize_rank(spark, sf):
     return rounded(out.select("date", "ticker", *_XS))
 
 
+@query("normalize_none", with_blocks(("matrix",), "SELECT date, ticker, " + ", ".join(f"{r(c)} AS {c}" for c in _XS) + " FROM matrix"))
+def normalize_none(spark, sf):
+    """A matrix without normalization holds the features as they are."""
+    out = ft.build_feature_matrix(b.bars(spark, sf), _XS, "none", 5, rows=b.names_bound(spark, sf))
+    return rounded(out.select("date", "ticker", *_XS))
+
+
 @query("forward_excess_return", with_blocks(("matrix",), f"SELECT date, ticker, {r('y')} AS y FROM matrix"))
 def forward_excess_return(spark, sf):
     out = ft.add_forward_excess_return(b.bars(spark, sf), 5, rows=b.names_bound(spark, sf))
@@ -457,17 +464,18 @@ def feature_correlation_spearman(spark, sf):
     return rounded(feature_correlations(b.matrix(spark, sf), _REPORT, "spearman"))
 
 
+def _uic_blocks(source: str) -> dict[str, str]:
+    union = " UNION ALL ".join(f"SELECT '{f}' AS feature, date, {f} AS p, y FROM {source} WHERE {f} IS NOT NULL AND y IS NOT NULL" for f in _REPORT)
+    return {
+        "u": union,
+        "k": f"SELECT feature, date, {average_rank('p', 'feature, date')} AS a, {average_rank('y', 'feature, date')} AS z FROM u",
+        "c": "SELECT feature, date, corr(a, z) AS ic, count(*) AS n FROM k GROUP BY 1, 2",
+        "ui": "SELECT feature, avg(ic) AS ic, count(*) AS n_dates FROM c WHERE n >= 5 AND ic IS NOT NULL AND isfinite(ic) GROUP BY 1",
+    }
+
+
 def _uic_sql() -> str:
-    union = " UNION ALL ".join(f"SELECT '{f}' AS feature, date, {f} AS p, y FROM matrix WHERE {f} IS NOT NULL AND y IS NOT NULL" for f in _REPORT)
-    return with_blocks(
-        ("matrix",),
-        f"SELECT feature, {r('avg(ic)')} AS univariate_ic, count(*) AS n_dates FROM c WHERE n >= 5 AND ic IS NOT NULL AND isfinite(ic) GROUP BY 1",
-        {
-            "u": union,
-            "k": f"SELECT feature, date, {average_rank('p', 'feature, date')} AS a, {average_rank('y', 'feature, date')} AS z FROM u",
-            "c": "SELECT feature, date, corr(a, z) AS ic, count(*) AS n FROM k GROUP BY 1, 2",
-        },
-    )
+    return with_blocks(("matrix",), f"SELECT feature, {r('ic')} AS univariate_ic, n_dates FROM ui", _uic_blocks("matrix"))
 
 
 @query("univariate_ic", _uic_sql())
@@ -475,7 +483,19 @@ def univariate_ic_q(spark, sf):
     return rounded(univariate_ic(b.matrix(spark, sf), _REPORT, rows=b.names_bound(spark, sf)))
 
 
-@query("ic_versus_beta")
+@query(
+    "ic_versus_beta",
+    with_blocks(
+        ("matrix",),
+        f"""SELECT feature, {r('ic')} AS univariate_ic, n_dates, {r('beta')} AS partial_beta, sign(ic) = sign(beta) AS agree
+FROM ui JOIN (SELECT unnest([{', '.join(f"'{f}'" for f in _REPORT)}]) AS feature, unnest([{', '.join(f'b{i}' for i in range(len(_REPORT)))}]) AS beta FROM ls) USING (feature)""",
+        {
+            "whole": "SELECT * FROM matrix WHERE y IS NOT NULL AND " + " AND ".join(f"{f} IS NOT NULL" for f in _REPORT),
+            **_uic_blocks("whole"),
+            **ols_blocks("ls", "whole", [], _REPORT, "y"),
+        },
+    ),
+)
 def ic_versus_beta_q(spark, sf):
     return rounded(ic_versus_beta(b.matrix(spark, sf), _REPORT, rows=b.names_bound(spark, sf)))
 

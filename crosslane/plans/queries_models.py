@@ -27,7 +27,7 @@ from crosslane.operators.models import (
 from crosslane.plans import binding as b
 from crosslane.plans import experiment as ex
 from crosslane.plans.catalog import ORACLE, query, rounded, shortened
-from crosslane.plans.oracle import BLOCKS, lag, r, rank_share, with_blocks
+from crosslane.plans.oracle import BLOCKS, lag, ols_blocks, r, rank_share, with_blocks
 from crosslane.session import cut, fresh_path
 from crosslane.sources.factors import FACTORS
 from crosslane.sources.store import PredictionStore
@@ -445,7 +445,25 @@ def adf_statistic(spark, sf):
 # ---- factor models ------------------------------------------------------------------------
 
 
-@query("fama_macbeth")
+_BETAS = [f"b{i}" for i in range(len(FACTORS))]
+_EXCESS = f"SELECT date, ticker, lr - RF AS e, {', '.join(FACTORS)} FROM lret JOIN factors USING (date) WHERE lr IS NOT NULL"
+
+
+@query(
+    "fama_macbeth",
+    with_blocks(
+        ("lret", "factors"),
+        f"SELECT date, ticker, {r('5 * (daily - avg(daily) OVER (PARTITION BY date))')} AS prediction FROM bars JOIN dl USING (ticker)",
+        {
+            "ex": _EXCESS,
+            **ols_blocks("ld", "ex", ["ticker"], FACTORS, "e", "count(*) >= 252"),
+            "ft": f"SELECT date, ticker, e, {', '.join(_BETAS)} FROM ex JOIN ld USING (ticker)",
+            "rc": "SELECT * FROM ft WHERE date IN (SELECT DISTINCT date FROM ft ORDER BY date DESC LIMIT 60)",
+            **ols_blocks("pr", "rc", ["date"], _BETAS, "e", f"count(*) >= {len(FACTORS)}"),
+            "dl": f"SELECT ticker, {' + '.join(f'ld.{x} * l.{x}' for x in _BETAS)} AS daily FROM ld, (SELECT {', '.join(f'avg({x}) AS {x}' for x in _BETAS)} FROM pr) l",
+        },
+    ),
+)
 def fama_macbeth(spark, sf):
     model = sm.FamaFrenchFactorModel(ModelConfig("ff", ())).fit(b.bars(spark, sf), b.factors(spark, sf))
     return rounded(model.predict(b.bars(spark, sf)))
@@ -455,7 +473,27 @@ def _loadings(spark, sf):
     return sm.factor_loadings(b.bars(spark, sf), b.factors(spark, sf), 252)
 
 
-@query("factor_loadings")
+_NAMED = {f"beta_{f}": x for f, x in zip(FACTORS, _BETAS, strict=True)}
+_LOADINGS = {
+    "ex": _EXCESS,
+    "late": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM ex) WHERE k <= 252",
+    **ols_blocks("fl", "late", ["ticker"], FACTORS, "e", "count(*) >= 60"),
+    "vol": "SELECT *, sqrt(sse / (n - 1) * 252) AS idio_vol_ann FROM fl",
+    "w": "SELECT DISTINCT ticker, 1.0 / (SELECT count(DISTINCT ticker) FROM bars) AS weight FROM bars",
+}
+
+
+def _loadings_sql(query_text: str, **extra: str) -> str:
+    return with_blocks(("lret", "factors"), query_text, {**_LOADINGS, **extra})
+
+
+@query(
+    "factor_loadings",
+    _loadings_sql(
+        f"SELECT ticker, {r('a')} AS alpha_daily, {', '.join(f'{r(x)} AS {k}' for k, x in _NAMED.items())}, {r('r2')} AS r2, "
+        f"{r('idio_vol_ann')} AS idio_vol_ann, n FROM vol"
+    ),
+)
 def factor_loadings(spark, sf):
     return rounded(_loadings(spark, sf))
 
@@ -482,12 +520,34 @@ def _weights(spark, sf):
     return names.withColumn("weight", F.lit(1.0 / max(1, names.count())))
 
 
-@query("portfolio_exposure")
+_EXPOSED = f"SELECT {', '.join(f'sum({x} * weight) AS {x}' for x in _BETAS)}, sum(a * weight) * 252 AS alpha FROM fl JOIN w USING (ticker)"
+
+
+@query(
+    "portfolio_exposure",
+    _loadings_sql(f"SELECT {', '.join(f'{r(x)} AS {k}' for k, x in _NAMED.items())}, {r('alpha')} AS alpha_ann FROM xp", xp=_EXPOSED),
+)
 def portfolio_exposure(spark, sf):
     return rounded(sm.portfolio_exposure(_loadings(spark, sf), _weights(spark, sf)))
 
 
-@query("realized_attribution")
+_VIA = {f"via_{f}": f"{f} * {x}" for f, x in zip(FACTORS, _BETAS, strict=True)}
+
+
+@query(
+    "realized_attribution",
+    _loadings_sql(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS component, {r(f'sum({c})')} AS total FROM dy" for c in ["portfolio", "RF", "excess", *_VIA, "factor_total", "residual"]
+        ),
+        xp=_EXPOSED,
+        held="""SELECT date, sum(lr * weight) AS portfolio FROM lret JOIN w USING (ticker)
+  WHERE lr IS NOT NULL AND date IN (SELECT DISTINCT date FROM lret WHERE lr IS NOT NULL ORDER BY date DESC LIMIT 1000)
+  GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM w)""",
+        dy=f"""SELECT date, portfolio, RF, portfolio - RF AS excess, {', '.join(f'{v} AS {k}' for k, v in _VIA.items())},
+  {' + '.join(_VIA.values())} AS factor_total, portfolio - RF - ({' + '.join(_VIA.values())}) AS residual FROM held JOIN factors USING (date), xp""",
+    ),
+)
 def realized_attribution(spark, sf):
     exposure = sm.portfolio_exposure(_loadings(spark, sf), _weights(spark, sf)).first()
     betas = {f: exposure[f"beta_{f}"] for f in FACTORS}
@@ -495,7 +555,13 @@ def realized_attribution(spark, sf):
     return rounded(sm.attribution_totals(daily))
 
 
-@query("risk_concentration")
+@query(
+    "risk_concentration",
+    _loadings_sql(
+        f"""SELECT ticker, {r('weight')} AS weight, {r('idio_vol_ann')} AS idio_vol_ann, {r('v')} AS idio_var, {r('v / sum(v) OVER () * 100.0')} AS share_pct
+FROM (SELECT *, pow(weight * idio_vol_ann, 2) AS v FROM vol JOIN w USING (ticker))"""
+    ),
+)
 def risk_concentration(spark, sf):
     return rounded(sm.risk_concentration(_loadings(spark, sf), _weights(spark, sf)))
 
@@ -553,7 +619,21 @@ def heteroskedasticity(spark, sf):
     return rounded(frame, 4)
 
 
-@query("white_statistic")
+_SQUARES = [f"{x} * {z}" for i, x in enumerate(FOUR) for z in FOUR[i:]]
+
+
+@query(
+    "white_statistic",
+    with_blocks(
+        ("scored",),
+        f"SELECT bp.n, {r('bp.n * bp.r2', 4)} AS breusch_pagan_lm, {r('wh.n * wh.r2', 4)} AS white_lm FROM bp, wh",
+        {
+            "sq": f"SELECT {', '.join(FOUR)}, {', '.join(f'{q} AS q{i}' for i, q in enumerate(_SQUARES))}, residual * residual AS e2 FROM scored",
+            **ols_blocks("bp", "sq", [], FOUR, "e2"),
+            **ols_blocks("wh", "sq", [], [*FOUR, *(f"q{i}" for i in range(len(_SQUARES)))], "e2"),
+        },
+    ),
+)
 def white_statistic(spark, sf):
     out = dg.heteroskedasticity(_scored(spark, sf), FOUR)
     return rounded(spark.createDataFrame([tuple(out.values())], "n bigint, breusch_pagan_lm double, white_lm double"), 4)
