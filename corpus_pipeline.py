@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on five or more sources are cut; every document stays."""
-    return remove_boilerplate(docs)
+    """Lines on five or more sources, counted over one copy of a page, are cut whatever their share; every document stays."""
+    return remove_boilerplate(docs, max_share=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
