@@ -28,8 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five-word shingles, the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of documents linked by a similarity of 0.8 on five-word shingles, the one with the smallest doc_id stays; other texts
+    under the same id or none stay too."""
+    return drop_near_duplicates(docs, one_per_id=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ table key pairs one band of the first collection with one of the second, so 12 x
 
 Links are confirmed on full sets, and no candidate is skipped:
 
-1. Documents with equal sets are one class, named by its smallest id; only class representatives go on.
+1. Documents with equal sets are one class with a number of its own; only classes go on, so an id that is null or repeated
+   links nothing. A class is read from its row with the smallest (id, text hash).
 2. A band that no other document has cannot meet anyone: only combinations of shared bands become table keys.
 3. In each bucket all members are compared with its smallest id. Links join components.
 4. Buckets that still hold several components name the documents whose other pairs are open. Those go through an exact
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosslane.llm.common import LOWER_BYTES, drop_path, scratch, small_batches, table, text_bytes, to_batch
@@ -79,26 +80,30 @@ def bands(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
 
 
 SKETCH = pa.schema(
-    [("id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    [("id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))]
 )
 
 
+def row_name(key: str, text: str) -> list[Column]:
+    """id (NO_ID where null) and text hash: rows that agree in both are one document."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_bytes(text)).alias("text_hash")]
+
+
 def sketch(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """id (NO_ID where null), set size, 128-bit name of the set, bands."""
+    """id (NO_ID where null), text hash, set size, 128-bit name of the set, bands."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text_hash, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = shingle_set(raw, words)
                 name = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), dtype=np.int64)
-                rows.append((doc, len(found), int(name[0]), int(name[1]), bands(found) if len(found) else None))
+                rows.append((doc, text_hash, len(found), int(name[0]), int(name[1]), bands(found) if len(found) else None))
             yield to_batch(rows, SKETCH)
 
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id")
-    return documents.select(ids, text_bytes(text).alias("raw")).mapInArrow(
-        run, "id long, n_shingles long, s1 long, s2 long, bands array<long>"
+    return documents.select(*row_name(key, text), text_bytes(text).alias("raw")).mapInArrow(
+        run, "id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>"
     )
 
 
@@ -119,14 +124,28 @@ def sets_of(documents: DataFrame, ids: DataFrame, key: str, text: str, words: in
     """(id, shingles) of the named documents, shingles as packed sorted 64-bit integers."""
     rows = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), text_bytes(text).alias("raw"))
     few = ids.count() <= BROADCAST_IDS
-    named = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return packed_sets(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), words)
+
+
+def sets_of_classes(documents: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(id, shingles) of ``classes`` (node, id, text_hash), each once; here id is the class's node."""
+    few = classes.count()
+    rows = documents.select(*row_name(key, text), text_bytes(text).alias("raw"))
+    rows = rows.join(F.broadcast(classes) if few <= BROADCAST_IDS else classes, ["id", "text_hash"])
+    sets, _ = scratch(packed_sets(rows.select(F.col("node").alias("id"), "raw"), words), "minhash-sets")
+    # Rows that repeat id and text give the same set again.
+    return sets if sets.count() == few else scratch(sets.dropDuplicates(["id"]), "minhash-sets")[0]
+
+
+def packed_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) out of (id, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [shingle_set(raw, words).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
 
-    return named.mapInArrow(run, "id long, shingles binary")
+    return rows.mapInArrow(run, "id long, shingles binary")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -194,26 +213,22 @@ def open_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per document row.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id are one document; null ids are
-    one document, with a null component_id where nothing smaller is linked (it orders before every id). Only ``key`` and
-    ``text`` are read. An empty table gives no rows.
-    """
+def marked_rows(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """id (NO_ID where null), text_hash, n_shingles, component (its smallest id) and kept per document row."""
     spark = documents.sparkSession
     drawn, _ = scratch(sketch(documents, key, text, words), "minhash-sketch")
     sized = drawn.where("n_shingles > 0")
     # Equal sets have equal bands: one row per set leaves the tasks, however many copies there are.
-    classes = sized.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
-    classes, _ = scratch(classes, "minhash-classes")
-    tables, tables_path = scratch(shared_tables(classes.select("id", "bands")), "minhash-tables")
+    classes = sized.groupBy("s1", "s2").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min("bands").alias("bands"))
+    classes, _ = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    tables, tables_path = scratch(shared_tables(classes.select(F.col("node").alias("id"), "bands")), "minhash-tables")
     buckets = tables.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     members, members_path = scratch(tables.join(buckets.select("key", "leader"), "key"), "minhash-members")
     drop_path(spark, tables_path)
 
-    ids, _ = scratch(members.select("id").distinct(), "minhash-ids")
-    sets, _ = scratch(sets_of(documents, ids, key, text, words), "minhash-sets")
+    nodes = members.select(F.col("id").alias("node")).distinct()
+    met, _ = scratch(classes.select("node", "first.*").join(nodes, "node", "left_semi"), "minhash-ids")
+    sets = sets_of_classes(documents, met, key, text, words)
     stars = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links, _ = scratch(confirm(stars, sets), "minhash-links")
     roots = components(links)
@@ -227,29 +242,55 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     more = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(more)
 
-    named = (
-        classes.select("s1", "s2", "id")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("s1", "s2", F.coalesce("root", "id").alias("root"))
-    )
-    out = drawn.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.coalesce("root", "id")
+    named = classes.select("s1", "s2", "first", "node").join(roots, "node", "left")
+    named, _ = scratch(named.select("s1", "s2", "first", F.coalesce("root", "node").alias("root")), "minhash-named")
+    # Written, so that the join back can be split where a component has many classes.
+    best, _ = scratch(named.groupBy("root").agg(F.min("first").alias("best")), "minhash-best")
+    named = named.select("s1", "s2", "root").join(best, "root").select("s1", "s2", "best")
+    out = drawn.select("id", "text_hash", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    own = F.struct("id", "text_hash")
     return out.select(
+        "id",
+        "text_hash",
+        "n_shingles",
+        F.coalesce("best.id", "id").alias("component"),
+        (F.coalesce("best", own) == own).alias("kept"),
+    )
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per document row.
+
+    Null and empty texts have no shingles and are linked with nothing. Texts are linked, not ids: rows with one id or none are
+    linked only where their texts are similar. component_id is the smallest id of the component, null where a null id is in it (it
+    orders before every id); the row with the smallest (id, text hash) is kept. Only ``key`` and ``text`` are read. An
+    empty table gives no rows.
+    """
+    marked = marked_rows(documents, key, text, words)
+    return marked.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_shingles",
-        F.when(component != NO_ID, component).alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
+        "kept",
     )
 
 
-def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without those of which a linked document with a smaller id exists; repeated ids stay once."""
+def drop_near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, one_per_id: bool = True
+) -> DataFrame:
+    """One document, by (id, text hash), of each group of linked ones.
+
+    ``one_per_id``: repeated ids, null among them, stay once, whatever their texts. Without it, as in the pipeline, only rows that
+    repeat both id and text stay once.
+    """
     spark = documents.sparkSession
-    marked, _ = scratch(near_duplicates(documents, key, text, words), "minhash-marked")
-    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = documents.join(gone, F.col(key).cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
-    repeated = marked.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([key]) if repeated else kept
+    marked, _ = scratch(marked_rows(documents, key, text, words), "minhash-marked")
+    gone = marked.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    own_id, own_hash = row_name(key, text)
+    kept = documents.join(gone, (own_id == F.col("gone_id")) & (own_hash == F.col("gone_hash")), "left_anti")
+    same = ["id"] if one_per_id else ["id", "text_hash"]
+    repeated = marked.where("kept").groupBy(*same).count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([key] if one_per_id else [key, text]) if repeated else kept
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,22 @@ def test_repeated_and_null_ids(spark, frame):
     assert op.near_duplicates(frame([])).count() == 0
 
 
+def test_ids_link_nothing(spark, frame):
+    """Null and repeated ids with different texts: every text stays, and groups are not chained through an id."""
+    rng = random.Random(4)
+    one, two, other = (text(rng, 60) for _ in range(3))
+    rows = [(None, one + " a"), (1, one), (None, two + " b"), (7, two), (7, other), (7, other), (8, two + " c"), (None, text(rng, 40))]
+    rows += [(None, None), (9, ""), (3, text(rng, 1)), rows[-1]]
+    found = {(r.doc_id, r.component_id, r.kept, r.n_shingles > 0) for r in op.near_duplicates(frame(rows)).collect()}
+    assert found == {
+        (None, None, True, True), (1, None, False, True), (7, None, False, True), (7, 7, True, True), (8, None, False, True),
+        (None, None, True, False), (9, 9, True, False), (3, 3, True, True),
+    }
+    kept = sorted(((r.doc_id, r.text) for r in op.drop_near_duplicates(frame(rows), one_per_id=False).collect()), key=str)
+    gone = {(1, one), (7, two), (8, two + " c")}
+    assert kept == sorted({r for r in rows if r not in gone}, key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(40)]
