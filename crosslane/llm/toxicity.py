@@ -28,7 +28,8 @@ WIDTH = 8
 WORD_BUCKETS = 1 << 14
 GRAM_BUCKETS = 1 << 17
 GRAM_SIZES = (3, 4, 5, 6)
-GRAM_BYTES = 64
+# Longer words (a text without ASCII blanks is one) become pieces of about a word's size; each shares bytes with the one before it.
+LONG_BYTES, PIECE_BYTES, PIECE_OVERLAP = 126, 48, 16
 GRAM_FACTOR, GRAM_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 # The labelled sample: at most so many documents of either label, taken in hash order, and characters of each.
 SAMPLE_DOCS = 1500
@@ -39,14 +40,25 @@ BLOCK = 2048
 SEED = 11
 
 
+def steps_of(raw: bytes) -> list[bytes]:
+    """The words of a text, over-long ones as overlapping pieces that hold every stem of up to PIECE_OVERLAP bytes whole."""
+    words = words_of(raw)
+    if max(map(len, words), default=0) <= LONG_BYTES:
+        return words
+    out = []
+    for w in words:
+        starts = range(0, len(w) - PIECE_OVERLAP, PIECE_BYTES - PIECE_OVERLAP) if len(w) > LONG_BYTES else ()
+        out += [w[k : k + PIECE_BYTES] for k in starts] or [w]
+    return out
+
+
 def features_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word and of its character n-grams, word after word, and how many each has.
 
-    Words stand between the marks ^ and $; a very long word gives the n-grams of its ends. All n-grams of all words
-    are hashed together: the hash of one that is a byte longer goes on from the shorter one's.
+    Words stand between the marks ^ and $. All n-grams of all words are hashed together: the hash of one that is a byte
+    longer goes on from the shorter one's.
     """
     edged = [b"^" + w + b"$" for w in words]
-    edged = [e if len(e) <= 2 * GRAM_BYTES else e[:GRAM_BYTES] + e[-GRAM_BYTES:] for e in edged]
     lengths = np.fromiter(map(len, edged), dtype=np.int64, count=len(edged))
     starts = np.cumsum(lengths) - lengths
     letters = np.frombuffer(b"".join(edged), dtype=np.uint8).astype(np.uint64)
@@ -183,7 +195,7 @@ class Corpus:
 
     def __init__(self, texts: list[bytes]):
         known: dict[bytes, int] = {}
-        rows = [[known.setdefault(w, len(known) + 1) for w in words_of(t)] for t in texts]
+        rows = [[known.setdefault(w, len(known) + 1) for w in steps_of(t)] for t in texts]
         self.lengths = np.array([len(r) for r in rows], dtype=np.int64)
         self.words = np.array([0, *(w for r in rows for w in r)], dtype=np.int64)
         self.flat, self.sizes = features_of(list(known))
@@ -339,7 +351,7 @@ class Scorer:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """One score per text; a text without words scores 0."""
-        parted = [words_of(t) for t in texts]
+        parted = [steps_of(t) for t in texts]
         lengths = np.array([len(p) for p in parted], dtype=np.int64)
         words = np.concatenate([[0], self.rows([w for p in parted for w in p])])
         places, owner = window_index(lengths)

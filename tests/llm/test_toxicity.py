@@ -94,6 +94,27 @@ def test_scores_do_not_depend_on_the_batch(network, monkeypatch):
     assert np.allclose(np.concatenate([small.score(texts[k : k + 3]) for k in range(0, len(texts), 3)]), whole, atol=1e-5)
 
 
+def test_over_long_words_are_read_whole():
+    """Texts without ASCII blanks: every byte is in a step, and a stem in the middle is learned and found."""
+    rng = random.Random(2)
+
+    def run(n, bad):
+        cs = "".join(chr(0x4E00 + rng.randrange(60)) for _ in range(n))
+        at = rng.randrange(40, n - 40)
+        return (cs[:at] + "\u6bd2\u8a9e\u7f75\u60aa" * bad + cs[at:]).encode()
+
+    for n in (125, 126, 127, 128, 220, 221, 5000):
+        word = run(2000, False)[:n]
+        steps = op.steps_of(word)
+        assert steps[0] + b"".join(s[op.PIECE_OVERLAP :] for s in steps[1:]) == word
+        assert len(steps) == 1 if n <= op.LONG_BYTES else max(map(len, steps)) <= op.PIECE_BYTES
+    assert op.steps_of(b"") == [] and op.steps_of(b"a " + b"b" * 100) == [b"a", b"b" * 100]
+    labels = [k % 3 == 0 for k in range(300)]
+    scorer = op.Scorer(op.train([run(rng.randrange(90, 300), y) for y in labels], [int(y) for y in labels]))
+    low, high = (scorer.score([run(rng.randrange(90, 300), y) for _ in range(100)]) for y in (False, True))
+    assert np.mean(high[:, None] > low[None, :]) > 0.9
+
+
 def test_frames(spark, frame, network):
     rows = [(1, "w1 nasty w2"), (2, None), (3, ""), (4, "w1 w2 w3"), (4, "w1 w2 w3"), (None, "vile w3")]
     scored = {(r.key, round(r.score, 4)) for r in op.add_scores(frame(rows), network, "doc_id").collect()}
