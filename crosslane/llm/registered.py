@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from crosslane.llm import bpe, chat, decontaminate, fingerprints, licenses, line_dedup, minhash, token_files, toxicity, warc
+from crosslane.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    filter_audit,
+    fingerprints,
+    licenses,
+    line_dedup,
+    minhash,
+    token_files,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_licenses": licenses.op10_licenses,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE = {
@@ -23,4 +36,5 @@ ORACLE = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_near_duplicates": minhash.OP9_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }

@@ -83,3 +83,7 @@ def clean_lines(rows, min_sites=5, min_chars=10, max_share=0.5):
         kept = text if copied or not any(hit) else "\n".join(x for x, h in zip(lines, hit, strict=True) if not h)
         out.append((sum(hit), 0 if copied else sum(hit), kept))
     return out
+
+
+def blank_words_as_they_are(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
