@@ -12,6 +12,7 @@ from crosslane.llm import (
     line_dedup,
     minhash,
     token_files,
+    topk,
     toxicity,
     warc,
 )
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_licenses": licenses.op10_licenses,
+    "op12_topk": topk.op12_topk,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
@@ -36,5 +38,6 @@ ORACLE = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_near_duplicates": minhash.OP9_SQL,
+    "op12_topk": topk.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
