@@ -11,6 +11,7 @@ from crosslane.llm import (
     licenses,
     line_dedup,
     minhash,
+    phrases,
     token_files,
     topk,
     toxicity,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_licenses": licenses.op10_licenses,
+    "op11_phrases": phrases.op11_phrases,
     "op12_topk": topk.op12_topk,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
@@ -38,6 +40,7 @@ ORACLE = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_near_duplicates": minhash.OP9_SQL,
+    "op11_phrases": phrases.OP11_SQL,
     "op12_topk": topk.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }

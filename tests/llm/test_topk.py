@@ -51,8 +51,7 @@ def some_rows():
 
 
 @pytest.mark.parametrize(("block_rows", "query_rows", "k"), [(4096, 256, 10), (7, 3, 10), (16, 256, 1), (30, 2, 500)])
-def test_matches_all_pairs(spark, monkeypatch, block_rows, query_rows, k):
-    monkeypatch.setattr(op, "FIRST_DEPTH", 2)
+def test_matches_all_pairs(spark, block_rows, query_rows, k):
     rows = some_rows()
     got = op.top_k(make(spark, rows).repartition(3), 10, k, block_rows=block_rows, query_rows=query_rows)
     assert found(got) == plain_top(rows, 10, k)
