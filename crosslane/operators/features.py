@@ -69,6 +69,8 @@ _SHARED: dict[str, tuple[tuple[str, ...], Callable[[WindowSpec], Column]]] = {
     ),
 }
 _DATE_COLUMNS = ("_mkt", "_xs_std")
+# A daily panel has one row per ticker and date: a bound for more than a century.
+CALENDAR_ROWS = 40_000
 
 
 def _moments(x: str, y: str, n: int, w: WindowSpec) -> tuple[Column, Column]:
@@ -274,7 +276,7 @@ def mom60_minus_dist_ma200(df, rows):
 
 @series_frame_feature("vol_ewm_20", ("adj_close",), 100, ("_lr",))
 def vol_ewm_20(df):
-    return add_ewm_std(df, BY_TICKER, BY_DATE, "_lr", 20, "vol_ewm_20", rows=0)
+    return add_ewm_std(df, BY_TICKER, BY_DATE, "_lr", 20, "vol_ewm_20", rows=CALENDAR_ROWS)
 
 
 # ---- matrix -----------------------------------------------------------------

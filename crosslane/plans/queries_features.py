@@ -22,7 +22,7 @@ from crosslane.operators.metrics import daily_ic, ic_stats
 from crosslane.operators.neutralize import residualize
 from crosslane.operators.ranking import add_average_rank, add_position, quantiles
 from crosslane.operators.registry import get_feature, list_features
-from crosslane.operators.rolling import add_ewm_mean, add_rolling, full
+from crosslane.operators.rolling import add_ewm_mean, add_ewm_std, add_rolling, full
 from crosslane.operators.smoothing import smooth_predictions
 from crosslane.plans import binding as b
 from crosslane.plans.catalog import query, rounded, shortened
@@ -560,3 +560,47 @@ def ewm_long_keys(spark, sf):
     events = b.table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
     out = add_ewm_mean(events, ["event_type"], ["ts", "event_id"], "value", 1.0 / 3.0, "value")
     return rounded(out.select("event_id", "value"))
+
+
+# Values on a high level in the first 40 of every 2,000 (mean) or 60 (spread) rows of a type.
+_SPARSE = """SELECT event_id, event_type, i, CASE WHEN (i - 1) % {} < 40 THEN value + 1000000 END AS x FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)"""
+
+
+def _sparse_events(spark, sf, every: int):
+    events = b.table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    placed = add_position(events, ["event_type"], ["ts", "event_id"], "i")
+    return placed.withColumn("x", F.when((F.col("i") - 1) % every < 40, F.col("value") + 1000000.0))
+
+
+@query(
+    "ewm_null_runs",
+    f"""WITH n AS ({_SPARSE.format(2000)}),
+v AS (SELECT *, i - lag(i) OVER (PARTITION BY event_type ORDER BY i) AS d FROM n WHERE x IS NOT NULL),
+f AS (SELECT *, coalesce(ln(greatest(pow(2.0 / 3, d), 1e-300) / (pow(2.0 / 3, d) + 1.0 / 3)), 0) AS lg,
+  CASE WHEN d IS NULL THEN x ELSE x / 3 / (pow(2.0 / 3, d) + 1.0 / 3) END AS part FROM v),
+s AS (SELECT *, sum(lg) OVER (PARTITION BY event_type ORDER BY i) AS sc FROM f),
+m AS (SELECT a.event_id, sum(z.part * exp(a.sc - z.sc)) AS mean FROM s a JOIN s z ON z.event_type = a.event_type AND z.i <= a.i GROUP BY 1)
+SELECT event_id, {r('last_value(mean IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY i)', 4)} AS mean FROM n LEFT JOIN m USING (event_id)""",
+)
+def ewm_null_runs(spark, sf):
+    """Exponential mean over five long keys whose null runs are longer than a chunk: the mean is carried through."""
+    placed = _sparse_events(spark, sf, 2000)
+    out = add_ewm_mean(placed, ["event_type"], ["i"], "x", 1.0 / 3.0, "mean")
+    return rounded(out.select("event_id", "mean"), 4)
+
+
+@query(
+    "ewm_spread_null_runs",
+    f"""WITH n AS ({_SPARSE.format(60)}),
+p AS (SELECT a.event_id, count(*) AS k, sum(w) AS w, sum(w * w) AS ww, sum(w * (z.x - 1000000)) AS wx, sum(w * (z.x - 1000000) * (z.x - 1000000)) AS wxx
+  FROM n a JOIN n z ON z.event_type = a.event_type AND z.i <= a.i AND z.i > a.i - 120, LATERAL (SELECT pow(0.5, a.i - z.i) AS w)
+  WHERE a.x IS NOT NULL AND z.x IS NOT NULL GROUP BY 1)
+SELECT event_id, {r('CASE WHEN k = 1 THEN 0.0 ELSE sqrt((wxx / w - (wx / w) * (wx / w)) / (1 - ww / (w * w))) END', 4)} AS spread
+FROM n LEFT JOIN p USING (event_id)""",
+)
+def ewm_spread_null_runs(spark, sf):
+    """Exponential deviation of values far from 0, over null runs that cross chunks."""
+    placed = _sparse_events(spark, sf, 60)
+    out = add_ewm_std(placed, ["event_type"], ["i"], "x", 3, "spread")
+    return rounded(out.select("event_id", "spread"), 4)

@@ -185,3 +185,49 @@ def test_ewm_with_gaps_equals_pandas(spark, span, task_rows):
         if first is not None:
             spread[first] = 0.0
         np.testing.assert_allclose(part["d"], spread, rtol=1e-6, atol=1e-9)
+
+
+def sparse_long_key(spark, rows=6000):
+    """One key of values in few places: null runs over several chunks, at the start, in the middle and at the end."""
+    here = (F.col("id") >= 900) & ((F.col("id") < 905) | F.col("id").between(3300, 3302) | (F.col("id") == 5200))
+    return spark.range(rows).select(
+        "id", F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), F.when(here, 1e6 + noise(3, "id")).alias("x")
+    )
+
+
+@pytest.mark.parametrize("scan_span", [1024, 2])
+@pytest.mark.parametrize("span", [2, 5])
+def test_ewm_over_null_runs_of_many_chunks(spark, monkeypatch, scan_span, span):
+    monkeypatch.setattr(ro, "_SCAN_SPAN", scan_span)
+    monkeypatch.setattr(ro, "_EXPONENT_ROOM", 60.0)
+    df = sparse_long_key(spark)
+    out = ro.add_ewm_mean(df, ["k"], ["id"], "x", 2 / (span + 1), "m")
+    out = ro.add_ewm_mean(out, ["k"], ["id"], "x", 2 / (span + 1), "s", carry=False)
+    out = ro.add_ewm_std(out, ["k"], ["id"], "x", span, "d").toPandas().sort_values("id")
+    assert len(out) == 6000
+    for _, part in out.groupby("k", dropna=False):
+        want = part["x"].ewm(span=span, adjust=False).mean()
+        np.testing.assert_allclose(part["m"], want, rtol=1e-12)
+        np.testing.assert_allclose(part["s"], want.where(part["x"].notna()), rtol=1e-12)
+        assert part["m"].notna().sum() > 2400
+        spread = (part["x"] - 1e6).ewm(span=span).std().where(part["x"].notna())
+        spread[part["x"].first_valid_index()] = 0.0
+        dense = part["id"] < 1000
+        np.testing.assert_allclose(part["d"][dense], spread[dense], rtol=1e-6)
+
+
+def test_ewm_states_do_not_depend_on_the_chunk(spark, monkeypatch):
+    df = spark.range(2000).select(
+        "id", F.lit(1).alias("k"), F.when(noise(2, "id") > 0.7, 1e5 + noise(1, "id")).alias("x")
+    )
+    found = []
+    for room, scan in ((340.0, 1024), (5.0, 1024), (3.0, 8)):
+        monkeypatch.setattr(ro, "_EXPONENT_ROOM", room)
+        monkeypatch.setattr(ro, "_SCAN_SPAN", scan)
+        out = ro.add_ewm_std(ro.add_ewm_mean(df, ["k"], ["id"], "x", 0.4, "m"), ["k"], ["id"], "x", 4, "d")
+        found.append(out.toPandas().sort_values("id"))
+    for other in found[1:]:
+        np.testing.assert_allclose(other["m"], found[0]["m"], rtol=1e-13)
+        np.testing.assert_allclose(other["d"], found[0]["d"], rtol=1e-6)
+    with pytest.raises(ValueError, match="alpha"):
+        ro.add_ewm_mean(df, ["k"], ["id"], "x", 1.0, "m")
