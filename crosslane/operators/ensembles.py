@@ -102,7 +102,7 @@ def _r2(g: Gram, coef: np.ndarray, intercept: float) -> float:
 
 def pick_ridge_alpha(folds: Sequence[Gram], grid: Sequence[float] = RIDGE_GRID) -> float:
     """The alpha with the best mean R2 on the held-out folds."""
-    p = len(folds[0].sx)
+    p = len(folds[0].x_mean)
     best, best_score = grid[0], -math.inf
     for alpha in grid:
         scores = []

@@ -1,9 +1,9 @@
-"""Sums for least squares: one distributed aggregation, then p x p algebra.
+"""Centred sums for least squares: one distributed aggregation, then p x p algebra.
 
-The aggregate holds n, sum x, sum xx', sum xy, sum y and sum y^2 per group, so
-its size depends on the number of columns and groups and never on the rows.
-Grams of disjoint row sets add up, which makes every expanding window, fold and
-walk-forward split a running sum over the same single scan.
+The aggregate holds n, the means and the centred cross products per group, so its size depends on the number of columns and
+groups and never on the rows. Spark merges these states pairwise (means first, then products around them), so a column whose
+mean is large against its spread keeps its digits. States of disjoint row sets merge, which makes every expanding window,
+fold and walk-forward split a merge over the same single scan.
 """
 
 from __future__ import annotations
@@ -25,95 +25,103 @@ def _pairs(p: int) -> list[tuple[int, int]]:
 def gram_columns(xs: Sequence[str | Column], y: str | Column) -> list[Column]:
     cols = [F.col(x) if isinstance(x, str) else x for x in xs]
     target = F.col(y) if isinstance(y, str) else y
+    n = F.count(F.lit(1))
+    products = [F.var_pop(cols[i]) if i == j else F.covar_pop(cols[i], cols[j]) for i, j in _pairs(len(cols))]
     return [
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(c) for c in cols]).alias("sx"),
-        F.array(*[F.sum(cols[i] * cols[j]) for i, j in _pairs(len(cols))]).alias("sxx"),
-        F.array(*[F.sum(c * target) for c in cols]).alias("sxy"),
-        F.sum(target).alias("sy"),
-        F.sum(target * target).alias("syy"),
+        n.alias("n"),
+        F.array(*[F.avg(c) for c in cols]).alias("mx"),
+        F.avg(target).alias("my"),
+        F.array(*[n * p for p in products]).alias("cxx"),
+        F.array(*[n * F.covar_pop(c, target) for c in cols]).alias("cxy"),
+        (n * F.var_pop(target)).alias("cyy"),
     ]
 
 
 def gram(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str | Column] = ()) -> DataFrame:
-    """One row per group with the sums; rows with a null in x or y are left out."""
+    """One row per group with the state; rows with a null in x or y are left out."""
     return df.dropna(subset=[*xs, y]).groupBy(*by).agg(*gram_columns(xs, y))
 
 
 @dataclass
 class Gram:
-    """The sums of one row set on the driver: a few hundred numbers."""
+    """The state of one row set on the driver: n, means, and sums of products of differences from the means."""
 
     n: float
-    sx: np.ndarray
-    sxx: np.ndarray
-    sxy: np.ndarray
-    sy: float
-    syy: float
+    x_mean: np.ndarray
+    y_mean: float
+    cxx: np.ndarray
+    cxy: np.ndarray
+    cyy: float
 
     @classmethod
     def from_row(cls, row) -> Gram:
-        p = len(row["sx"])
+        """The state out of a row of ``gram``, or out of plain sums (sx, sxx, sxy, sy, syy)."""
+        plain = "sx" in row
+        p = len(row["sx" if plain else "mx"])
         full = np.zeros((p, p))
-        for value, (i, j) in zip(row["sxx"], _pairs(p), strict=True):
+        for value, (i, j) in zip(row["sxx" if plain else "cxx"], _pairs(p), strict=True):
             full[i, j] = full[j, i] = value
-        return cls(float(row["n"]), np.array(row["sx"], float), full, np.array(row["sxy"], float), row["sy"], row["syy"])
+        n = float(row["n"])
+        if not plain:
+            return cls(n, np.array(row["mx"], float), float(row["my"]), full, np.array(row["cxy"], float), float(row["cyy"]))
+        mx, my = np.array(row["sx"], float) / n, row["sy"] / n
+        return cls(n, mx, my, full - n * np.outer(mx, mx), np.array(row["sxy"], float) - n * mx * my, row["syy"] - n * my * my)
 
     @classmethod
     def zero(cls, p: int) -> Gram:
-        return cls(0.0, np.zeros(p), np.zeros((p, p)), np.zeros(p), 0.0, 0.0)
+        return cls(0.0, np.zeros(p), 0.0, np.zeros((p, p)), np.zeros(p), 0.0)
 
     def __add__(self, other: Gram) -> Gram:
+        n = self.n + other.n
+        if n == 0:
+            return self
+        share, weight = other.n / n, self.n * other.n / n
+        dx, dy = other.x_mean - self.x_mean, other.y_mean - self.y_mean
         return Gram(
-            self.n + other.n,
-            self.sx + other.sx,
-            self.sxx + other.sxx,
-            self.sxy + other.sxy,
-            self.sy + other.sy,
-            self.syy + other.syy,
+            n,
+            self.x_mean + share * dx,
+            self.y_mean + share * dy,
+            self.cxx + other.cxx + weight * np.outer(dx, dx),
+            self.cxy + other.cxy + weight * dx * dy,
+            self.cyy + other.cyy + weight * dy * dy,
         )
 
+    @property
+    def sxx(self) -> np.ndarray:
+        """Products of the columns as they are."""
+        return self.cxx + self.n * np.outer(self.x_mean, self.x_mean)
+
+    @property
+    def sxy(self) -> np.ndarray:
+        return self.cxy + self.n * self.x_mean * self.y_mean
+
     def uncentered(self) -> Gram:
-        """The same sums with means counted as 0: regression through the origin."""
-        return Gram(self.n, np.zeros_like(self.sx), self.sxx, self.sxy, 0.0, self.syy)
+        """The same rows with means counted as 0: regression through the origin."""
+        return Gram(
+            self.n, np.zeros_like(self.x_mean), 0.0, self.sxx, self.sxy, self.cyy + self.n * self.y_mean * self.y_mean
+        )
 
     def only(self, columns: Sequence[int]) -> Gram:
-        """The sums of a subset of the columns: variants need no second scan."""
+        """The state of a subset of the columns: variants need no second scan."""
         pick = list(columns)
-        return Gram(self.n, self.sx[pick], self.sxx[np.ix_(pick, pick)], self.sxy[pick], self.sy, self.syy)
-
-    @property
-    def x_mean(self) -> np.ndarray:
-        return self.sx / self.n
-
-    @property
-    def y_mean(self) -> float:
-        return self.sy / self.n
+        return Gram(self.n, self.x_mean[pick], self.y_mean, self.cxx[np.ix_(pick, pick)], self.cxy[pick], self.cyy)
 
     def centered(self) -> tuple[np.ndarray, np.ndarray, float]:
         """X'X, X'y and y'y of the centered columns."""
-        xx = self.sxx - np.outer(self.sx, self.sx) / self.n
-        xy = self.sxy - self.sx * (self.sy / self.n)
-        return xx, xy, self.syy - self.sy * self.sy / self.n
+        return self.cxx, self.cxy, self.cyy
 
     def intercept(self, coef: np.ndarray) -> float:
         return float(self.y_mean - self.x_mean @ coef)
 
     def squared_error(self, coef: np.ndarray, intercept: float) -> float:
         """Sum of squared errors of a given linear rule on these rows."""
-        c, b = np.asarray(coef), intercept
-        return float(
-            self.syy
-            - 2 * (c @ self.sxy)
-            - 2 * b * self.sy
-            + c @ self.sxx @ c
-            + 2 * b * (c @ self.sx)
-            + self.n * b * b
-        )
+        c = np.asarray(coef)
+        gap = self.y_mean - self.x_mean @ c - intercept
+        return float(self.cyy - 2 * (c @ self.cxy) + c @ self.cxx @ c + self.n * gap * gap)
 
 
 def collect_grams(grams: DataFrame, key: str) -> dict:
-    """Grams keyed by a small set of groups (segments, folds, buckets)."""
+    """States keyed by a small set of groups (segments, folds, buckets)."""
     return {row[key]: Gram.from_row(row) for row in grams.collect()}
 
 

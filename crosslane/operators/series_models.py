@@ -20,6 +20,7 @@ from crosslane.operators.features import demean_by_date
 from crosslane.operators.gram import gram, gram_columns, ols_by_group
 from crosslane.operators.metrics import TRADING_DAYS
 from crosslane.operators.models import Model, _keys, register_alias, register_model
+from crosslane.operators.prefix_fits import intercept, pair_correlation, prefix_moments, slope
 from crosslane.session import broadcast_dates, fresh_path
 from crosslane.sources.bars import add_log_return
 from crosslane.sources.factors import FACTORS, attach_factors
@@ -61,34 +62,65 @@ class _PerTicker(Model):
         model._table = spark.read.parquet(model.state["table"])
         return model
 
+    def _scored(self, panel: DataFrame) -> DataFrame:
+        """Keys of the panel with the ticker's fit; a fit per split meets the rows of its split."""
+        table = self.table()
+        return panel.select(*_keys(panel)).distinct().join(table, [c for c in ("split", "ticker") if c in table.columns])
 
-def _keyed(panel: DataFrame) -> DataFrame:
-    return panel.select(*_keys(panel)).distinct()
+
+class _Expanding(_PerTicker):
+    """A per-ticker fit whose expanding refits all come from one table of running sums (``prefix_fits``)."""
+
+    def observations(self, panel: DataFrame) -> DataFrame:
+        """Rows that the fit sums up, with lags that look back only, so that a shorter training set has the same ones."""
+        raise NotImplementedError
+
+    def moments(self) -> dict:
+        """The arguments of ``prefix_moments`` beyond the rows."""
+        raise NotImplementedError
+
+    def solved(self, moments: DataFrame) -> DataFrame:
+        """The fit's columns next to the keys of ``moments``."""
+        raise NotImplementedError
+
+    def fit_prefixes(self, rows: DataFrame, splits: int) -> _Expanding:
+        """The fits of all splits out of observations with ``segment``."""
+        return self._set(self.solved(prefix_moments(rows, splits, **self.moments())))
+
+    def keep_split(self, split: int) -> None:
+        """From now on the fit of this split is the model's."""
+        self._set(self.table().where(F.col("split") == split).drop("split"))
+
+    def fit(self, panel):
+        rows = self.observations(panel).withColumn("segment", F.lit(0))
+        return self._set(self.solved(prefix_moments(rows, 1, **self.moments())).drop("split"))
 
 
 @register_model
-class GbmMaximumLikelihood(_PerTicker):
+class GbmMaximumLikelihood(_Expanding):
     """Drift and deviation of the log return; prediction (mu - s^2 / 2) h less the date's mean."""
 
-    def fit(self, panel):
-        returns = add_log_return(panel).where(F.col("log_return").isNotNull())
-        return self._set(
-            returns.groupBy("ticker")
-            .agg(
-                F.avg("log_return").alias("mu"),
-                F.stddev_samp("log_return").alias("sigma"),
-                F.count("log_return").alias("n"),
-            )
-            .where(F.col("n") >= int(self.params["min_history"]))
+    def observations(self, panel):
+        return add_log_return(panel).where(F.col("log_return").isNotNull())
+
+    def moments(self):
+        return {"pairs": {"r": ("log_return", "log_return")}, "counts": {"n": "log_return"}, "last": {}}
+
+    def solved(self, moments):
+        return moments.where(F.col("n") >= int(self.params["min_history"])).select(
+            "ticker",
+            "split",
+            F.col("r_mx").alias("mu"),
+            F.sqrt(F.try_divide(F.col("r_sxx"), F.col("r_n") - 1)).alias("sigma"),
+            "n",
         )
 
     def predict(self, panel):
         h = float(self.params["horizon_days"])
         point = (F.col("mu") - 0.5 * F.col("sigma") * F.col("sigma")) * h
         band = F.col("sigma") * (2.0 * math.sqrt(h))
-        out = _keyed(panel).join(self.table(), "ticker").select(
-            "date",
-            "ticker",
+        out = self._scored(panel).select(
+            *_keys(panel),
             point.alias("prediction"),
             (point - band).alias("pred_lower"),
             (point + band).alias("pred_upper"),
@@ -97,38 +129,39 @@ class GbmMaximumLikelihood(_PerTicker):
 
 
 @register_model
-class ArDriftPerTicker(_PerTicker):
+class ArDriftPerTicker(_Expanding):
     """r[t] = c + phi r[t-1] per ticker by least squares; prediction is the h-step sum, demeaned.
 
     With m = c / (1 - phi), the k-step forecast is m + phi^k (r - m), so the sum is
     h m + (r - m) phi (1 - phi^h) / (1 - phi).
     """
 
-    def fit(self, panel):
-        returns = with_lags(add_log_return(panel), "log_return", [1])
-        r, before = F.col("log_return"), F.col("log_return_l1")
-        return self._set(
-            returns.groupBy("ticker")
-            .agg(
-                F.regr_slope(r, before).alias("phi"),
-                F.regr_intercept(r, before).alias("c"),
-                F.max_by(r, F.when(r.isNotNull(), F.col("date"))).alias("last_return"),
-                F.count(r).alias("n"),
-            )
-            .where((F.col("n") >= int(self.params["min_history"])) & (F.abs("phi") < 1.0))
-        )
+    def observations(self, panel):
+        return with_lags(add_log_return(panel), "log_return", [1])
+
+    def moments(self):
+        return {
+            "pairs": {"r": ("log_return", "log_return_l1")},
+            "counts": {"n": "log_return"},
+            "last": {"last_return": "log_return"},
+        }
+
+    def solved(self, moments):
+        fitted = moments.withColumns({"phi": slope("r"), "c": intercept("r")})
+        fitted = fitted.where((F.col("n") >= int(self.params["min_history"])) & (F.abs("phi") < 1.0))
+        return fitted.select("ticker", "split", "phi", "c", "last_return", "n")
 
     def predict(self, panel):
         h = float(self.params["horizon_days"])
         mean = F.col("c") / (1.0 - F.col("phi"))
         pull = F.col("phi") * (1.0 - F.pow("phi", F.lit(h))) / (1.0 - F.col("phi"))
         total = mean * h + (F.col("last_return") - mean) * pull
-        out = _keyed(panel).join(self.table(), "ticker").select("date", "ticker", total.alias("prediction"))
+        out = self._scored(panel).select(*_keys(panel), total.alias("prediction"))
         return demean_by_date(out, "prediction")
 
 
 @register_model
-class MomentVolForecaster(_PerTicker):
+class MomentVolForecaster(_Expanding):
     """Variance forecast by moments: point 0, band +-2 deviations of the h-step return.
 
     The squared return of a persistent-variance process has autocorrelations that fall by the
@@ -137,24 +170,26 @@ class MomentVolForecaster(_PerTicker):
     newest 20 squared returns.
     """
 
-    def fit(self, panel):
+    def observations(self, panel):
         squares = add_log_return(panel).withColumn("_q", F.col("log_return") * F.col("log_return"))
         squares = with_lags(squares.where(F.col("_q").isNotNull()), "_q", [1, 2])
         w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-19, 0)
-        squares = squares.withColumn("_recent", F.avg("_q").over(w))
-        persistence = F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.try_divide("_a2", "_a1")))
-        return self._set(
-            squares.groupBy("ticker")
-            .agg(
-                F.avg("_q").alias("target_var"),
-                correlation("_q", "_q_l1").alias("_a1"),
-                correlation("_q", "_q_l2").alias("_a2"),
-                F.max_by("_recent", "date").alias("last_var"),
-                F.count("_q").alias("n"),
-            )
-            .where(F.col("n") >= int(self.params["min_history"]))
-            .withColumn("persistence", F.when(F.col("_a1") > 0, persistence).otherwise(0.0))
-            .drop("_a1", "_a2")
+        return squares.withColumn("_recent", F.avg("_q").over(w))
+
+    def moments(self):
+        pairs = {"q": ("_q", "_q"), "q1": ("_q", "_q_l1"), "q2": ("_q", "_q_l2")}
+        return {"pairs": pairs, "counts": {"n": "_q"}, "last": {"last_var": "_recent"}}
+
+    def solved(self, moments):
+        near, far = pair_correlation("q1"), pair_correlation("q2")
+        ratio = F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.try_divide(far, near)))
+        return moments.where(F.col("n") >= int(self.params["min_history"])).select(
+            "ticker",
+            "split",
+            F.col("q_mx").alias("target_var"),
+            "last_var",
+            "n",
+            F.when(near > 0, ratio).otherwise(0.0).alias("persistence"),
         )
 
     def predict(self, panel):
@@ -163,8 +198,8 @@ class MomentVolForecaster(_PerTicker):
         for k in range(1, h + 1):
             total = total + gap * F.pow("persistence", F.lit(float(k)))
         band = 2.0 * F.sqrt(F.greatest(total, F.lit(0.0)))
-        return _keyed(panel).join(self.table(), "ticker").select(
-            "date", "ticker", F.lit(0.0).alias("prediction"), (-band).alias("pred_lower"), band.alias("pred_upper")
+        return self._scored(panel).select(
+            *_keys(panel), F.lit(0.0).alias("prediction"), (-band).alias("pred_lower"), band.alias("pred_upper")
         )
 
 
@@ -218,7 +253,7 @@ class FamaFrenchFactorModel(_PerTicker):
 
     def predict(self, panel):
         h = float(self.params["horizon_days"])
-        out = _keyed(panel).join(self.table(), "ticker").select("date", "ticker", (F.col("daily") * h).alias("prediction"))
+        out = self._scored(panel).select(*_keys(panel), (F.col("daily") * h).alias("prediction"))
         return demean_by_date(out, "prediction")
 
 

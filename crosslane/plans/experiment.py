@@ -16,6 +16,8 @@ from crosslane.operators.features import build_feature_matrix, drop_warmup_rows
 from crosslane.operators.folds import Split, date_index, slice_test, slice_train, splits_table, walk_forward_splits
 from crosslane.operators.metrics import compare_models, join_realized
 from crosslane.operators.models import Model, ModelConfig, _Linear, build_model
+from crosslane.operators.prefix_fits import with_segments
+from crosslane.operators.series_models import _Expanding
 from crosslane.session import broadcast_dates, broadcast_if, cut
 from crosslane.sources.bars import attach_sector, between
 from crosslane.sources.membership import filter_to_members
@@ -129,6 +131,30 @@ def linear_walk_forward(
     return WalkForward(predictions, table, list(splits))
 
 
+def prefix_walk_forward(
+    matrix: DataFrame, model: _Expanding, splits: Sequence[Split], train_start: date | None
+) -> WalkForward:
+    """All refits of a per-ticker model from one table of running sums per ticker and training span.
+
+    The test rows meet the fits of their split: a date is in the test span of one split.
+    """
+    train = matrix.dropna(subset=[model.config.target_col, *model.features])
+    if train_start is not None:
+        train = train.where(F.col("date") >= F.lit(train_start))
+    first = train.agg(F.min("date")).first()[0]
+    if first is None or not splits or splits[-1].train_end < first:
+        raise ValueError("no split has training rows")
+    rows = with_segments(model.observations(train), [s.train_end for s in splits], first)
+    model.fit_prefixes(rows, len(splits))
+    test_days = splits_table(matrix.sparkSession, splits).select(
+        "split", F.explode(F.sequence("test_start", "test_end")).alias("date")
+    )
+    test = matrix.dropna(subset=model.features).drop("split").join(broadcast_dates(test_days), "date")
+    predictions = cut(model.predict(test), "splits")
+    model.keep_split(len(splits) - 1)
+    return WalkForward(predictions, None, list(splits))
+
+
 def run_walk_forward(
     matrix: DataFrame,
     model: Model,
@@ -144,6 +170,8 @@ def run_walk_forward(
     train_start = day(options.get("train_start"))
     if isinstance(model, _Linear):
         run = linear_walk_forward(matrix, model, splits, train_start, rows)
+    elif isinstance(model, _Expanding):
+        run = prefix_walk_forward(matrix, model, splits, train_start)
     else:
         parts = []
         for i, split in enumerate(splits):

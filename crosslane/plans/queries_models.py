@@ -11,7 +11,7 @@ from crosslane.operators import search as se
 from crosslane.operators import series_models as sm
 from crosslane.operators import trees as tr
 from crosslane.operators.features import build_feature_matrix, drop_warmup_rows
-from crosslane.operators.gram import collect_grams, gram, solve_nnls
+from crosslane.operators.gram import collect_grams, gram, solve_nnls, solve_ols, solve_ridge
 from crosslane.operators.models import (
     ElasticNetCrossSectional,
     LassoCrossSectional,
@@ -152,6 +152,48 @@ def nnls_coefficients(spark, sf):
     return rounded(_coef_rows(spark, TWO, coef, sums.intercept(coef)))
 
 
+def _shifted(spark, sf):
+    """The ranked matrix with its two columns on a level of a million."""
+    return ranked(spark, sf).withColumns({f: F.col(f) + 1e6 for f in TWO})
+
+
+@query(
+    "shifted_coefficients",
+    with_blocks(
+        ("ranks",),
+        f"""SELECT kind, unnest(['return_5d', 'range_ratio']) AS feature, unnest([{r('b1')}, {r('b2')}]) AS coef
+FROM (SELECT kind, (p * dd - q * c) / (aa * dd - c * c) AS b1, (q * aa - p * c) / (aa * dd - c * c) AS b2 FROM (
+  SELECT *, a + x AS aa, d + x AS dd FROM g, (SELECT unnest(['ols', 'ridge']) AS kind, unnest([0.0, 500.0]) AS x)))""",
+        {"g": _GRAM2},
+    ),
+)
+def shifted_coefficients(spark, sf):
+    """Slopes do not move when a million is added to every column: the sums are centred."""
+    sums = collect_grams(gram(_shifted(spark, sf), TWO, "y", [F.lit(0).alias("g")]), "g")[0]
+    rows = [(k, f, float(c)) for k, coef in (("ols", solve_ols(sums)), ("ridge", solve_ridge(sums, 500.0))) for f, c in zip(TWO, coef, strict=True)]
+    return rounded(spark.createDataFrame(rows, "kind string, feature string, coef double"))
+
+
+@query(
+    "shifted_walk_forward",
+    with_blocks(
+        ("ranks",),
+        f"""SELECT CAST(split AS INT) AS split, unnest(['return_5d', 'range_ratio']) AS feature, unnest([{r('b1')}, {r('b2')}]) AS coef FROM (
+  SELECT split, (p * d - q * c) / (a * d - c * c) AS b1, (q * a - p * c) / (a * d - c * c) AS b2 FROM gs)""",
+        {
+            "sp": """SELECT row_number() OVER (ORDER BY ts) - 1 AS split, ts - 12 AS tend FROM (
+  SELECT CAST(unnest(range(s + 730, e + 1, INTERVAL 21 DAY)) AS DATE) AS ts FROM (SELECT min(date) AS s, max(date) AS e FROM ranks))""",
+            "gs": """SELECT split, covar_pop(return_5d, return_5d) AS a, covar_pop(return_5d, range_ratio) AS c, covar_pop(range_ratio, range_ratio) AS d,
+  covar_pop(return_5d, y) AS p, covar_pop(range_ratio, y) AS q FROM ranks JOIN sp ON date <= tend WHERE y IS NOT NULL GROUP BY 1""",
+        },
+    ),
+)
+def shifted_walk_forward(spark, sf):
+    """As above for every refit of a walk-forward: merged segments keep their digits too."""
+    run = ex.run_walk_forward(_shifted(spark, sf), OLSCrossSectional(ModelConfig("ols", TWO)), 5, _WF, rows=b.names_bound(spark, sf))
+    return rounded(run.coefficients.select("split", "feature", "coef"))
+
+
 @query(
     "ols_predictions",
     with_blocks(
@@ -274,10 +316,66 @@ def walk_forward_lasso_coefficients(spark, sf):
     return rounded(run.coefficients.join(dg.cancellation(run.coefficients), "refit_date"))
 
 
-@query("walk_forward_ar_drift")
+_SPLITS = """SELECT row_number() OVER (ORDER BY ts) - 1 AS split, ts, ts - 12 AS tend, least(ts + 20, e) AS te FROM (
+  SELECT e, CAST(unnest(range(s + 730, e + 1, INTERVAL 21 DAY)) AS DATE) AS ts FROM (SELECT min(date) AS s, max(date) AS e FROM ranks))"""
+_TRAIN_RETURNS = "SELECT date, ticker, ln(adj_close) AS lp, ln(adj_close) - lag(ln(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS lr FROM ranks WHERE y IS NOT NULL"
+
+
+def _walk_sql(prediction: str, fit: str, extra: str = "", more: dict[str, str] | None = None) -> str:
+    """Every refit by a join of its whole training rows: what the running sums have to equal."""
+    return with_blocks(
+        ("ranks",),
+        f"""SELECT date, ticker, CAST(split AS INT) AS split, {prediction} AS prediction{extra} FROM (
+  SELECT k.date, k.ticker, split, f.* EXCLUDE (split, ticker) FROM ranks k JOIN sp ON k.date BETWEEN ts AND te JOIN f USING (split, ticker))""",
+        {"sp": _SPLITS, "tr": _TRAIN_RETURNS, **(more or {}), "f": fit},
+    )
+
+
+@query(
+    "walk_forward_ar_drift",
+    _walk_sql(
+        r("p - avg(p) OVER (PARTITION BY date)"),
+        """SELECT split, ticker, m * 5 + (last - m) * phi * (1 - pow(phi, 5)) / (1 - phi) AS p FROM (
+  SELECT split, ticker, phi, c / (1 - phi) AS m, last FROM (
+    SELECT split, ticker, regr_slope(lr, pr) AS phi, regr_intercept(lr, pr) AS c, arg_max(lr, date) FILTER (WHERE lr IS NOT NULL) AS last
+    FROM l JOIN sp ON date <= tend GROUP BY 1, 2 HAVING count(lr) >= 252 AND abs(regr_slope(lr, pr)) < 1))""",
+        more={"l": "SELECT *, lag(lr) OVER (PARTITION BY ticker ORDER BY date) AS pr FROM tr"},
+    ),
+)
 def walk_forward_ar_drift(spark, sf):
-    run = _run(spark, sf, build_model("ArDriftPerTicker", ModelConfig("ar", ())), refit_freq_days=900)
-    return rounded(run.predictions)
+    """The autoregression refitted every 21 days, all refits from one table of running sums."""
+    return rounded(_run(spark, sf, build_model("ArDriftPerTicker", ModelConfig("ar", ()))).predictions)
+
+
+@query(
+    "walk_forward_gbm",
+    _walk_sql(
+        r("p - avg(p) OVER (PARTITION BY date)"),
+        """SELECT split, ticker, (avg(lr) - 0.5 * var_samp(lr)) * 5 AS p, 2 * stddev_samp(lr) * sqrt(5.0) AS w
+  FROM tr JOIN sp ON date <= tend GROUP BY 1, 2 HAVING count(lr) >= 252""",
+        f", {r('p - w')} AS pred_lower, {r('p + w')} AS pred_upper",
+    ),
+)
+def walk_forward_gbm(spark, sf):
+    return rounded(_run(spark, sf, build_model("GbmMaximumLikelihood", ModelConfig("gbm", ()))).predictions)
+
+
+@query(
+    "walk_forward_volatility",
+    _walk_sql(
+        "0.0::DOUBLE",
+        """SELECT split, ticker, 2 * sqrt(greatest(5 * tv + (lv - tv) * (ps + ps * ps + pow(ps, 3) + pow(ps, 4) + pow(ps, 5)), 0)) AS w FROM (
+  SELECT split, ticker, avg(q) AS tv, arg_max(rec, date) AS lv, CASE WHEN corr(q, q1) > 0 THEN greatest(0.0, least(0.999, corr(q, q2) / corr(q, q1))) ELSE 0.0 END AS ps
+  FROM ql JOIN sp ON date <= tend GROUP BY 1, 2 HAVING count(q) >= 252)""",
+        f", {r('-w', 5)} AS pred_lower, {r('w', 5)} AS pred_upper",
+        {
+            "q": "SELECT ticker, date, lr * lr AS q FROM tr WHERE lr IS NOT NULL",
+            "ql": f"SELECT *, {lag('q', 1)} AS q1, {lag('q', 2)} AS q2, avg(q) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) AS rec FROM q",
+        },
+    ),
+)
+def walk_forward_volatility(spark, sf):
+    return rounded(_run(spark, sf, build_model("MomentVolForecaster", ModelConfig("vol", ()))).predictions, 5)
 
 
 @query("experiment_comparison")

@@ -90,6 +90,35 @@ def test_nnls_conditions(train, arrays):
     assert abs(slope[0]) < 1e-6 and slope[1] < 0
 
 
+@pytest.mark.parametrize("level", [1e6, 1e7])
+def test_large_levels_do_not_move_the_slopes(spark, level):
+    base = spark.range(10_000).select(
+        (noise(1, "id") * 3.4).alias("x1"), (noise(2, "id") - 0.5).alias("x2"), (F.col("id") % 7).alias("part")
+    ).withColumn("y", 0.5 * F.col("x1") - F.col("x2") + noise(3, "part", "x1"))
+    moved = base.withColumns({"x1": F.col("x1") + level, "y": F.col("y") - level})
+    want, got = (gr.collect_grams(gr.gram(d, ["x1", "x2"], "y", ["part"]), "part") for d in (base, moved))
+    np.testing.assert_allclose(gr.solve_ols(got[3]), gr.solve_ols(want[3]), rtol=1e-7)
+    both = [sum(g.values(), gr.Gram.zero(2)) for g in (want, got)]
+    whole = gr.collect_grams(gr.gram(moved, ["x1", "x2"], "y", [F.lit(0).alias("g")]), "g")[0]
+    for solve in (gr.solve_ols, lambda g: gr.solve_ridge(g, 3.0), lambda g: gr.solve_l1(g, 0.01), lambda g: gr.solve_nnls(g)):
+        np.testing.assert_allclose(solve(both[1]), solve(both[0]), rtol=1e-7, atol=1e-9)
+        np.testing.assert_allclose(solve(whole), solve(both[0]), rtol=1e-7, atol=1e-9)
+    by_group = gr.ols_by_group(gr.gram(moved, ["x1", "x2"], "y", ["part"]), "part bigint", ["x1", "x2"]).orderBy("part").toPandas()
+    for part, g in want.items():
+        np.testing.assert_allclose(by_group.loc[part, ["x1", "x2"]].astype(float), gr.solve_ols(g), rtol=1e-7)
+
+
+def test_states_merge_in_any_order(train):
+    parts = gr.collect_grams(gr.gram(train.withColumn("k", F.dayofmonth("date") % 5), X, "y", ["k"]), "k")
+    there = sum(parts.values(), gr.Gram.zero(3))
+    back = sum(reversed(parts.values()), gr.Gram.zero(3))
+    whole = _gram(train)
+    for name in ("n", "x_mean", "y_mean", "cxx", "cxy", "cyy"):
+        np.testing.assert_allclose(getattr(there, name), getattr(whole, name), rtol=1e-10, atol=1e-10)
+        np.testing.assert_allclose(getattr(back, name), getattr(whole, name), rtol=1e-10, atol=1e-10)
+    assert (gr.Gram.zero(3) + gr.Gram.zero(3)).n == 0
+
+
 def test_grids(train, arrays):
     x, y, _ = arrays
     g = _gram(train)
@@ -380,6 +409,41 @@ def test_walk_forward_rules(spark, panel):
     assert model.state["n"] == used
 
 
+@pytest.mark.parametrize("name", ["ArDriftPerTicker", "GbmMaximumLikelihood", "MomentVolForecaster"])
+@pytest.mark.parametrize("train_start", [None, "2020-03-01"])
+def test_running_sums_equal_separate_fits(spark, name, train_start):
+    """Tickers that begin late, end early, pause or lack prices; every refit against a fit of its own rows."""
+    panel = make_panel(spark, 5, 420, 9).withColumn("y", F.when(noise(5, "ticker", "date") > 0.02, 1.0))
+    gone = (F.col("ticker") == "T01") & (F.col("date") < "2020-09-01") | (F.col("ticker") == "T02") & (F.col("date") > "2020-08-01")
+    pause = (F.col("ticker") == "T03") & F.col("date").between("2020-06-01", "2020-09-15")
+    matrix = panel.where(~gone & ~pause).withColumn("adj_close", F.when(noise(6, "ticker", "date") > 0.03, F.col("adj_close") * 1e4))
+    options = {"refit_freq_days": 40, "embargo_days": 7, "min_train_days": 100, "train_start": train_start}
+    config = ModelConfig("m", (), params={"min_history": 50})
+    run = ex.run_walk_forward(matrix, build_model(name, config), 5, options)
+    assert len(run.splits) >= 6
+    for i, split in enumerate(run.splits):
+        train = fo.slice_train(matrix, split, ex.day(train_start)).dropna(subset=["y"])
+        model = build_model(name, config).fit(train)
+        want = model.predict(fo.slice_test(matrix, split)).toPandas().sort_values(["date", "ticker"], ignore_index=True)
+        got = run.predictions.where(F.col("split") == i).drop("split").toPandas().sort_values(["date", "ticker"], ignore_index=True)
+        assert got[["date", "ticker"]].equals(want[["date", "ticker"]])
+        for c in [c for c in want.columns if c not in ("date", "ticker")]:
+            np.testing.assert_allclose(got[c], want[c], rtol=1e-7, atol=1e-13)
+
+
+def test_running_sums_against_pandas(spark):
+    panel = make_panel(spark, 3, 200, 4)
+    model = build_model("ArDriftPerTicker", ModelConfig("a", (), params={"min_history": 20})).fit(panel)
+    fits = model.table().toPandas().set_index("ticker")
+    pdf = panel.toPandas().sort_values(["ticker", "date"])
+    for ticker, part in pdf.groupby("ticker"):
+        lr = np.log(part["adj_close"]).diff().to_numpy()
+        slope, start = np.polyfit(lr[1:-1], lr[2:], 1)
+        assert fits.loc[ticker, ["phi", "c", "last_return", "n"]].tolist() == pytest.approx([slope, start, lr[-1], 199])
+    with pytest.raises(ValueError, match="no split"):
+        ex.run_walk_forward(panel.withColumn("y", F.lit(None).cast("double")), model, 5, {"embargo_days": 7, "min_train_days": 50})
+
+
 def test_rules_are_scored_alike_in_arrays_by_joins_and_by_pandas(train, small_tasks):
     index = fo.date_index(train)
     rules = [Rule((1.0, -0.5, 0.0), 0, 80), Rule((0.0, 0.0, 0.0), 0, 80), Rule((0.2, 0.0, 1.0), 10, 31), Rule((0.0, 0.0, 1.0), 90, 95)]
