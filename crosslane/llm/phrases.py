@@ -6,7 +6,8 @@ out to be frequent the proposal has failed there, and further passes count what
 The sample only saves work: counts, scores and ranks are those of all documents.
 
 What to count is decided by hash filters of bounded size. A filter decides by the phrase alone, so a phrase is counted at all its
-places or at none, and a false positive only counts a phrase more than needed.
+places or at none, and a false positive only counts a phrase more than needed. The border is summed by 64-bit hashes first, which
+can only join phrases; whatever reaches the threshold there is counted again by its words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crosslane.llm.common import drop_path, scratch, small_batches, table, text_bytes, to_batch
+from crosslane.llm.common import drop_path, fresh_path, scratch, small_batches, table, text_bytes, to_batch
 
 MIN_COUNT = 10
 # One of so many documents is in the sample; what it holds twice is proposed (ten occurrences leave 1.25 there on average).
@@ -31,6 +32,8 @@ SLICE_BYTES = 4_000_000
 WORD_BITS = 21
 # Bytes of texts that a task holds back to fill its rows, over all languages.
 HELD_BYTES = 32_000_000
+# Encoded rows of a Parquet row group.
+ROWS_A_GROUP = 4
 # A filter has 16 bits a member, at most 2**27 bits (16 MB); beyond that it lets more false positives through.
 MOST_BITS = 1 << 27
 
@@ -51,6 +54,7 @@ ENCODED = pa.schema(
 )
 ENCODED_DDL = "lang string, sampled boolean, lead int, words array<string>, ids binary"
 COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 COUNTS_DDL = "lang string, k int, phrase string, n long"
 
 
@@ -143,123 +147,191 @@ class HashFilter:
         return out
 
 
-def build_filter(members: DataFrame, k: int) -> HashFilter:
-    """The filter of the k-word phrases in ``members`` (lang, phrase).
+def build_filter(hashes: DataFrame) -> HashFilter:
+    """The filter of the phrases whose hashes are in ``hashes`` (h).
 
-    Tasks turn members into places, Spark unites them; the driver receives the words of the field that are not 0, which its
-    size bounds (2**27 bits: 2 million rows).
+    Spark unites the places; the driver receives the words of the field that are not 0, which its size bounds (2**27 bits: 2
+    million rows).
     """
-    bits = 1 << 16
-    while bits < min(MOST_BITS, 16 * members.count()):
-        bits *= 2
+    hashes, path = scratch(hashes, "phrase-hashes")
+    bits = 1 << max(16, (16 * hashes.count() - 1).bit_length())
+    bits = min(bits, MOST_BITS)
     frame = HashFilter(np.zeros(bits // 64, dtype=np.uint64))
-    mask, shape = frame.mask, pa.schema([("place", pa.int64())])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = np.zeros(len(batch), dtype=np.uint64)
-            langs, phrases = (batch.column(c).to_pylist() for c in (0, 1))
-            for n, (lang, phrase) in enumerate(zip(langs, phrases, strict=True)):
-                parts = word_hashes(lang, phrase.split(" "))
-                hashes[n] = parts[0] if k == 1 else pair_hashes(parts[:1], parts[1:])[0]
-            both = np.concatenate((hashes & mask, (hashes >> np.uint64(32)) & mask)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(both))], schema=shape)
-
+    places = F.explode(
+        F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1))
+    ).alias("place")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
     words = (
-        members.select("lang", "phrase")
-        .mapInArrow(places, "place long")
+        hashes.select(places)
         .groupBy(F.shiftrightunsigned("place", 6).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))).alias("held"))
+        .agg(F.bit_or(mask).alias("held"))
         .toArrow()
     )
+    drop_path(hashes.sparkSession, path)
     frame.field[words["word"].to_numpy()] = words["held"].to_numpy().view(np.uint64)
     return frame
 
 
-def counted(lang: str, k: int, columns: list[pa.Array], n: np.ndarray) -> pa.RecordBatch:
-    phrase = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
-    size = len(n)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.repeat(pa.scalar(lang, pa.string()), size),
-            pa.repeat(pa.scalar(k, pa.int32()), size),
-            phrase,
-            pa.array(n.astype(np.int64)),
-        ],
-        schema=COUNTS,
-    )
-
-
-def distinct_phrases(words: pa.Array, keys: np.ndarray, k: int) -> tuple[list[pa.Array], np.ndarray]:
-    """The phrases behind packed word numbers, each once, and how often it is there."""
-    keys, n = np.unique(keys, return_counts=True)
-    mask = np.int64((1 << WORD_BITS) - 1)
-    return [words.take(pa.array((keys >> np.int64(WORD_BITS * (k - 1 - j))) & mask)) for j in range(k)], n
+def hashed(phrases: DataFrame) -> DataFrame:
+    """(h) of the phrases (lang, phrase), as the passes compute it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(len(batch), dtype=np.uint64)
+            for n, (lang, phrase) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)):
+                parts = word_hashes(lang, phrase.split(" "))
+                whole = parts[:1]
+                for part in parts[1:]:
+                    whole = pair_hashes(whole, np.array([part]))
+                out[n] = whole[0]
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["h"])
 
-class Rule:
-    """What a pass counts: words at all, pairs of words in ``words`` and triples of pairs in ``pairs``, but not those counted
-    under an earlier rule. ``None`` counts none of them, ``ALL`` every one."""
+    return phrases.select("lang", "phrase").mapInArrow(run, "h long")
 
-    ALL = "all"
 
-    def __init__(self, single: bool, words: HashFilter | str | None, pairs: HashFilter | None, earlier: list[Rule] | None = None):
-        self.single, self.words, self.pairs = single, words, pairs
-        self.words_before = [r.words for r in earlier or [] if r.words is not None]
-        self.pairs_before = [r.pairs for r in earlier or [] if r.pairs is not None]
+class Row:
+    """One encoded row with what the passes ask of it; pair n is the words n and n + 1, triple n goes on to n + 2."""
 
-    def counts(self, lang: str, lead: int, words: list[str], raw: bytes) -> Iterator[pa.RecordBatch]:
+    def __init__(self, lang: str, lead: int, words: list[str], raw: bytes):
         marked = np.frombuffer(raw, dtype="<i4")
         opens = marked < 0
-        ids = np.where(opens, -1 - marked, marked).astype(np.int64)
-        names = pa.array(words, pa.string())
-        if self.single:
-            n = np.bincount(ids[lead:], minlength=len(words))
-            there = np.flatnonzero(n)
-            yield counted(lang, 0, [pa.array([""])], np.array([len(ids) - lead]))
-            yield counted(lang, 1, [names.take(pa.array(there))], n[there])
-        if len(ids) < 2 or (self.words is None and self.pairs is None):
+        self.lang, self.lead = lang, lead
+        self.ids = np.where(opens, -1 - marked, marked).astype(np.int64)
+        self.names = pa.array(words, pa.string())
+        self.joined = ~opens[1:]
+        self.hashes = word_hashes(lang, words)
+        at = self.hashes[self.ids]
+        self.pair_hash = pair_hashes(at[:-1], at[1:])
+        self.triple_hash = pair_hashes(self.pair_hash[:-1], at[2:])
+
+    def words_in(self, words: HashFilter) -> np.ndarray:
+        """Of each pair: whether it stands in one piece and both words are in the filter."""
+        known = words.holds(self.hashes)[self.ids]
+        return known[:-1] & known[1:] & self.joined
+
+    def pairs_in(self, pairs: HashFilter) -> np.ndarray:
+        """Of each triple: whether it stands in one piece and both pairs are in the filter."""
+        good = pairs.holds(self.pair_hash) & self.joined
+        return good[:-1] & good[1:]
+
+    def new(self, chosen: np.ndarray, k: int) -> np.ndarray:
+        """Places of the chosen phrases whose last word is not one of the leading words that the slice before has counted."""
+        return np.flatnonzero(chosen[max(0, self.lead - k + 1) :]) + max(0, self.lead - k + 1)
+
+    def single_counts(self) -> Iterator[pa.RecordBatch]:
+        n = np.bincount(self.ids[self.lead :], minlength=len(self.names))
+        there = np.flatnonzero(n)
+        yield self.batch(0, pa.array([""]), np.array([len(self.ids) - self.lead]))
+        yield self.batch(1, self.names.take(pa.array(there)), n[there])
+
+    def phrase_counts(self, chosen: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+        """The chosen phrases, each once, and how often it is there: word numbers of 21 bits make exact keys."""
+        at = self.new(chosen, k)
+        if not len(at):
             return
-        hashes = word_hashes(lang, words)
-        joined = ~opens[1:]  # the word at n + 1 follows the word at n in one piece
-        if self.words is not None:
-            chosen = joined & self._both(self.words, hashes, ids)
-            for before in self.words_before:
-                chosen &= ~self._both(before, hashes, ids)
-            chosen[: max(0, lead - 1)] = False
-            at = np.flatnonzero(chosen)
-            yield counted(lang, 2, *distinct_phrases(names, (ids[at] << WORD_BITS) | ids[at + 1], 2))
-        if self.pairs is not None and len(ids) > 2:
-            of = pair_hashes(hashes[ids[:-1]], hashes[ids[1:]])
-            good = joined & self.pairs.holds(of)
-            chosen = good[:-1] & good[1:]
-            for before in self.pairs_before:
-                old = before.holds(of)
-                chosen &= ~(old[:-1] & old[1:])
-            chosen[: max(0, lead - 2)] = False
-            at = np.flatnonzero(chosen)
-            yield counted(lang, 3, *distinct_phrases(names, (((ids[at] << WORD_BITS) | ids[at + 1]) << WORD_BITS) | ids[at + 2], 3))
-
-    def _both(self, words: HashFilter | str, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        if words is Rule.ALL or words == Rule.ALL:
-            return np.ones(len(ids) - 1, dtype=bool)
-        known = words.holds(hashes)[ids]
-        return known[:-1] & known[1:]
-
-
-def count_phrases(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(lang, k, phrase, n): all occurrences, in these encoded rows, of the phrases that ``rule`` chooses; k = 0 counts words."""
-    shared = rows.sparkSession.sparkContext.broadcast(rule)
+        keys = self.ids[at]
+        for step in range(1, k):
+            keys = (keys << WORD_BITS) | self.ids[at + step]
+        keys, n = np.unique(keys, return_counts=True)
+        mask = np.int64((1 << WORD_BITS) - 1)
+        words = [self.names.take(pa.array((keys >> np.int64(WORD_BITS * (k - 1 - j))) & mask)) for j in range(k)]
+        yield self.batch(k, pc.binary_join_element_wise(*words, " "), n)
+
+    def hash_counts(self, chosen: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+        hashes, n = np.unique((self.pair_hash if k == 2 else self.triple_hash)[self.new(chosen, k)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], schema=HASHES)
+
+    def batch(self, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        size = len(n)
+        lang, words = pa.repeat(pa.scalar(self.lang, pa.string()), size), pa.repeat(pa.scalar(k, pa.int32()), size)
+        return pa.RecordBatch.from_arrays([lang, words, phrase, pa.array(n.astype(np.int64))], schema=COUNTS)
+
+
+class Proposal:
+    """What the sample proposes as frequent: words, pairs and triples."""
+
+    def __init__(self, words: HashFilter, pairs: HashFilter, triples: HashFilter):
+        self.words, self.pairs, self.triples = words, pairs, triples
+
+    @staticmethod
+    def counts(row: Row, proposal: Proposal) -> Iterator[pa.RecordBatch]:
+        """Exact counts of every word and of the proposed pairs and triples."""
+        yield from row.single_counts()
+        yield from row.phrase_counts(row.words_in(proposal.words) & proposal.pairs.holds(row.pair_hash), 2)
+        yield from row.phrase_counts(row.pairs_in(proposal.pairs) & proposal.triples.holds(row.triple_hash), 3)
+
+    def border_pairs(self, row: Row) -> np.ndarray:
+        return row.words_in(self.words) & ~self.pairs.holds(row.pair_hash)
+
+    def border_triples(self, row: Row) -> np.ndarray:
+        return row.pairs_in(self.pairs) & ~self.triples.holds(row.triple_hash)
+
+
+def run_pass(rows: DataFrame, ddl: str, work: Callable[..., Iterator[pa.RecordBatch]], *given: HashFilter | Proposal) -> DataFrame:
+    """``work(row, *given)`` on every encoded row; ``given`` are broadcast, their size is bounded by that of the filters."""
+    shared = rows.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, lead, words, raw in zip(*(batch.column(k) for k in range(4)), strict=True):
-                yield from shared.value.counts(lang.as_py(), lead.as_py(), words.as_py(), raw.as_py())
+                yield from work(Row(lang.as_py(), lead.as_py(), words.as_py(), raw.as_py()), *shared.value)
+
+    return rows.select("lang", "lead", "words", "ids").mapInArrow(run, ddl)
 
-    parts = rows.select("lang", "lead", "words", "ids").mapInArrow(run, COUNTS_DDL)
+
+def summed(parts: DataFrame) -> DataFrame:
+    """(lang, k, phrase, n) over all rows of a pass."""
     return parts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
+def words_and_pairs(row: Row) -> Iterator[pa.RecordBatch]:
+    yield from row.single_counts()
+    yield from row.phrase_counts(row.joined, 2)
+
+
+def triples_of(row: Row, pairs: HashFilter, counted: HashFilter | None = None) -> Iterator[pa.RecordBatch]:
+    """Triples of two pairs in ``pairs``, but not those of two pairs in ``counted``."""
+    chosen = row.pairs_in(pairs)
+    return row.phrase_counts(chosen if counted is None else chosen & ~row.pairs_in(counted), 3)
+
+
+def border_pairs(row: Row, proposal: Proposal) -> Iterator[pa.RecordBatch]:
+    return row.hash_counts(proposal.border_pairs(row), 2)
+
+
+def border_triples(row: Row, proposal: Proposal) -> Iterator[pa.RecordBatch]:
+    return row.hash_counts(proposal.border_triples(row), 3)
+
+
+def failed_and_opened(
+    row: Row, proposal: Proposal, pairs: HashFilter, triples: HashFilter, words: HashFilter
+) -> Iterator[pa.RecordBatch]:
+    """Border phrases whose hash has failed, and the pairs that ``words`` opens beyond the proposal."""
+    opened = row.words_in(words) & ~row.words_in(proposal.words)
+    yield from row.phrase_counts((proposal.border_pairs(row) & pairs.holds(row.pair_hash)) | opened, 2)
+    yield from row.phrase_counts(proposal.border_triples(row) & triples.holds(row.triple_hash), 3)
+
+
+def propose(sampled: DataFrame, sample_count: int) -> tuple[Proposal, dict[int, DataFrame], list[str]]:
+    """The proposal, its words and pairs as tables, and the scratch tables behind them."""
+    found, path = scratch(
+        summed(run_pass(sampled, COUNTS_DDL, words_and_pairs)).where((F.col("n") >= sample_count) & (F.col("k") > 0)),
+        "phrase-sample",
+    )
+    known = {k: found.where(F.col("k") == k).select("lang", "phrase") for k in (1, 2)}
+    words, pairs = (build_filter(hashed(known[k])) for k in (1, 2))
+    triples = summed(run_pass(sampled, COUNTS_DDL, triples_of, pairs))
+    triples, triples_path = scratch(triples.where(F.col("n") >= sample_count), "phrase-sample")
+    return Proposal(words, pairs, build_filter(hashed(triples))), known, [path, triples_path]
+
+
+def failed_border(rows: DataFrame, proposal: Proposal, k: int, min_count: int) -> DataFrame:
+    """(h): hashes under which the border's phrases of k words occur ``min_count`` times or more, so that every frequent one is
+    among them. One long is the key of each sum: the border is most of what a pass sees, and its text is never shuffled."""
+    parts = run_pass(rows, "h long, n long", border_pairs if k == 2 else border_triples, proposal)
+    return parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
+
+
 def frequent_phrases(
     docs: DataFrame,
     min_count: int = MIN_COUNT,
@@ -273,8 +345,9 @@ def frequent_phrases(
     """(lang, k, phrase, n) of every phrase of 1 to 3 words that occurs ``min_count`` times or more, and the words of each
     language as k = 0; with the frequent phrases that each pass found, the full pass first.
 
-    A pass that finds frequent words outside the sample's proposal is followed by one that counts their pairs; one that finds
-    frequent pairs outside of it, by one that counts their triples. Three words are the longest phrase, so that closes it.
+    The full pass counts the proposal exactly and its border by hash. Where the border fails, a second pass counts exactly the
+    border phrases behind failed hashes and the pairs that newly frequent words open; a third one the triples that newly
+    frequent pairs open. Three words are the longest phrase, so that closes it. No phrase is counted in two passes.
     """
     if not 0 < slice_bytes <= SLICE_BYTES:
         raise ValueError(f"slice_bytes must be in 1..{SLICE_BYTES}")
@@ -285,18 +358,13 @@ def frequent_phrases(
         (F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(sample_of)) == 0).alias("sampled"),
         text_bytes(F.col(f"`{text}`")).alias("raw"),
     )
-    rows, rows_path = scratch(raw.mapInArrow(lambda batches: encode(batches, slice_bytes), ENCODED_DDL), "phrase-rows")
-    sampled, sample_path = scratch(
-        count_phrases(rows.where("sampled"), Rule(True, Rule.ALL, None)).where((F.col("n") >= sample_count) & (F.col("k") > 0)),
-        "phrase-sample",
-    )
-    proposed = {k: sampled.where(F.col("k") == k).select("lang", "phrase") for k in (1, 2)}
-    rules = [Rule(True, build_filter(proposed[1], 1), build_filter(proposed[2], 2))]
+    rows, rows_path = written_rows(raw.mapInArrow(lambda batches: encode(batches, slice_bytes), ENCODED_DDL))
+    proposal, proposed, paths = propose(rows.where("sampled"), sample_count)
     passes: list[DataFrame] = []
     found: list[int] = []
 
-    def run_pass(rule: Rule) -> None:
-        kept = count_phrases(rows, rule).where((F.col("n") >= min_count) | (F.col("k") == 0))
+    def keep(parts: DataFrame) -> None:
+        kept = summed(parts).where((F.col("n") >= min_count) | (F.col("k") == 0))
         passes.append(scratch(kept, "phrase-counts")[0])
         found.append(passes[-1].where(F.col("k") > 0).count())
 
@@ -306,17 +374,21 @@ def frequent_phrases(
             out = out.unionByName(more)
         return out.where(F.col("k") == k).select("lang", "phrase")
 
-    def failures(k: int) -> bool:
+    def outside(k: int) -> bool:
         return not known(k).join(proposed[k], ["lang", "phrase"], "left_anti").isEmpty()
 
-    run_pass(rules[0])
-    if failures(1):
-        rules.append(Rule(False, build_filter(known(1), 1), None, rules))
-        run_pass(rules[-1])
-    if failures(2):
-        rules.append(Rule(False, None, build_filter(known(2), 2), rules))
-        run_pass(rules[-1])
-    for path in (rows_path, sample_path):
+    keep(run_pass(rows, COUNTS_DDL, Proposal.counts, proposal))
+    failed = {}
+    for k in (2, 3):
+        failed[k], path = scratch(failed_border(rows, proposal, k, min_count), "phrase-border")
+        paths.append(path)
+    words = outside(1)
+    if words or not failed[2].isEmpty() or not failed[3].isEmpty():
+        filters = [build_filter(failed[2]), build_filter(failed[3]), build_filter(hashed(known(1))) if words else proposal.words]
+        keep(run_pass(rows, COUNTS_DDL, failed_and_opened, proposal, *filters))
+    if outside(2):
+        keep(run_pass(rows, COUNTS_DDL, triples_of, build_filter(hashed(known(2))), proposal.pairs))
+    for path in (rows_path, *paths):
         drop_path(spark, path)
     out = passes[0]
     for more in passes[1:]:
@@ -324,6 +396,13 @@ def frequent_phrases(
     return out, found
 
 
+def written_rows(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The encoded rows as a written table; few rows make a row group, so that a reader holds few of them at once."""
+    path = fresh_path(rows.sparkSession, "phrase-rows")
+    rows.write.option("parquet.block.row.count.limit", ROWS_A_GROUP).option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
 def with_parts(needs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """``needs`` with the count ``f`` of its ``part``.
 

@@ -86,22 +86,35 @@ def test_border_failures_open_further_passes(spark):
 def test_full_filter_only_costs_work(spark, monkeypatch):
     monkeypatch.setattr(op, "MOST_BITS", 1 << 16)
     members = spark.range(200_000).selectExpr("'en' AS lang", "cast(id AS string) AS phrase")
-    field = op.build_filter(members, 1)
+    field = op.build_filter(op.hashed(members))
     assert len(field.field) * 64 == 1 << 16
     assert field.holds(op.word_hashes("en", [str(n) for n in range(0, 200_000, 997)])).all()
+    monkeypatch.undo()
+    loose = op.build_filter(op.hashed(members))
+    assert loose.holds(op.word_hashes("en", [str(n) for n in range(200_000)])).all()
+    assert loose.holds(op.word_hashes("de", [str(n) for n in range(200_000)])).mean() < 0.05
+
+
+def test_phrase_hashes_are_those_of_the_passes(spark):
+    words = ["a", "b", "é", "a"]
+    row = op.Row("en", 0, words[:3], b"".join(int(i).to_bytes(4, "little", signed=True) for i in (-1, 1, 2, 0)))
+    phrases = spark.createDataFrame([("en", "a b"), ("en", "b é"), ("en", "é a"), ("en", "a b é"), ("en", "b é a")], "lang string, phrase string")
+    want = [*row.pair_hash.view("int64").tolist(), *row.triple_hash.view("int64").tolist()]
+    assert sorted(r.h for r in op.hashed(phrases).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("slice_bytes", [1, 5, 11, 64, 10_000])
 def test_slices_hold_every_phrase_once(slice_bytes):
     text = "one two  three.four five\tsix seven, " * 9 + " " * 30 + "eight nine " + "x" * 50 + " ten" + " " * 40
-    rule = op.Rule(True, op.Rule.ALL, None)
     found = Counter()
     for lead, words, ids in op.encoded(text.encode(), slice_bytes):
-        for batch in rule.counts("en", lead, words, ids):
-            for k, phrase, n in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                found[k, phrase] += n
+        row = op.Row("en", lead, words, ids)
+        for batches in (row.single_counts(), row.phrase_counts(row.joined, 2), row.phrase_counts(row.joined[:-1] & row.joined[1:], 3)):
+            for batch in batches:
+                for k, phrase, n in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                    found[k, phrase] += n
     f = all_counts([(1, text, "en")])["en"]
-    want = Counter({(len(p), " ".join(p)): c for p, c in f.items() if len(p) < 3})
+    want = Counter({(len(p), " ".join(p)): c for p, c in f.items()})
     want[0, ""] = sum(c for p, c in f.items() if len(p) == 1)
     assert found == want
 
