@@ -506,25 +506,48 @@ def bootstrap_ic(spark, sf):
 _SHUFFLES = 1000
 
 
+def _shuffle_rounds(place: str) -> str:
+    """The rounds of a permutation as columns that build on each other."""
+    out = [f"{place} // nb AS l0", f"{place} % nb AS r0"]
+    for k in range(8):
+        side, other, length = ("l", "r", "na") if k % 2 == 0 else ("r", "l", "nb")
+        last, seen = k // 2, (k + 1) // 2
+        out.append(f"(k{2 * k} * {other}{seen} + k{2 * k + 1}) % 2147483647 AS v{k}")
+        out.append(f"({side}{last} + v{k} * v{k} % 2147483647 % {length}) % {length} AS {side}{last + 1}")
+    return ", ".join([*out, "l4 * nb + r4 AS q"])
+
+
+_WORDS = ", ".join(
+    f"('0x' || substr(h{part}, {1 + 8 * w}, 8))::BIGINT % 2147483647 AS k{4 * part + w}" for part in range(4) for w in range(4)
+)
+_KEYS = ", ".join(f"k{w}" for w in range(16))
+_DIGESTS = ", ".join(f"md5('42|' || it || '|' || CAST(date AS VARCHAR) || '|{part}') AS h{part}" for part in range(4))
+
+
 @query(
     "shuffle_null",
     with_blocks(
         ("ranked", "ic"),
         f"""SELECT model_id, {r('o')} AS observed_ic, {r('avg(m)')} AS null_mean, {r('stddev_pop(m)')} AS null_std,
   {r('avg(CASE WHEN m >= o THEN 1.0 ELSE 0.0 END)')} AS p_value, count(*) AS n_iterations, {r('(o - avg(m)) / stddev_pop(m)', 4)} AS z_score
-FROM (SELECT model_id, it, avg(CASE WHEN s = 0 THEN 0.0 ELSE (list_dot_product(list_select(c, q), a) / n - f) / s END) AS m
+FROM (SELECT model_id, it, avg(CASE WHEN s = 0 THEN 0.0 ELSE (list_dot_product(places, a) / n - f) / s END) AS m
   FROM base JOIN drawn USING (date, n) GROUP BY 1, 2)
 JOIN (SELECT model_id, avg(ic) AS o FROM ic GROUP BY 1) USING (model_id) GROUP BY model_id, o""",
         {
-            "base": """SELECT model_id, date, count(*) AS n, CAST(list(rp ORDER BY ticker) AS DOUBLE[]) AS a, CAST(list(rr ORDER BY ticker) AS DOUBLE[]) AS c,
-    avg(rp) * avg(rr) AS f, stddev_pop(rp) * stddev_pop(rr) AS s FROM ranked GROUP BY 1, 2 HAVING count(*) >= 5""",
-            "parts": f"""SELECT date, it, ('0x' || substr(h, 1, 8))::BIGINT % 2147483647 AS c3, ('0x' || substr(h, 9, 8))::BIGINT % 2147483647 AS c2,
-    ('0x' || substr(h, 17, 8))::BIGINT % 2147483647 AS c1, ('0x' || substr(h, 25, 8))::BIGINT % 2147483647 AS c0
-  FROM (SELECT date, it, md5('42|' || it || '|' || CAST(date AS VARCHAR)) AS h
+            "base": """SELECT model_id, date, count(*) AS n, CAST(list(rp ORDER BY realized, ticker) AS DOUBLE[]) AS a,
+    avg(rp) * (count(*) - 1) / 2 AS f, CASE WHEN min(realized) < max(realized) THEN stddev_pop(rp) * sqrt((count(*) * count(*) - 1) / 12.0) ELSE 0 END AS s
+  FROM ranked GROUP BY 1, 2 HAVING count(*) >= 5""",
+            "parts": f"""SELECT date, it, {_WORDS} FROM (SELECT date, it, {_DIGESTS}
     FROM (SELECT DISTINCT date FROM base), (SELECT unnest(range(0, {_SHUFFLES})) AS it))""",
-            "drawn": """SELECT date, n, it, list(x ORDER BY (((c3 * x + c2) % 2147483647 * x + c1) % 2147483647 * x + c0) % 2147483647, x) AS q
-  FROM (SELECT DISTINCT date, n, unnest(range(1, n + 1)) AS x FROM base) JOIN parts USING (date) GROUP BY 1, 2, 3""",
+            "grids": """SELECT date, n, na, CAST(ceil(n / na) AS BIGINT) AS nb FROM (
+    SELECT DISTINCT date, n, CAST(ceil(sqrt(n)) AS BIGINT) AS na FROM base)""",
+            "walk": f"""SELECT date, n, it, x, q, na, nb, {_KEYS} FROM (SELECT *, {_shuffle_rounds('x')} FROM (
+      SELECT *, unnest(range(0, n)) AS x FROM grids JOIN parts USING (date)))
+    UNION ALL SELECT date, n, it, x, q, na, nb, {_KEYS} FROM (SELECT * EXCLUDE (q), {_shuffle_rounds('z')} FROM (
+      SELECT *, q AS z FROM walk WHERE q >= n))""",
+            "drawn": "SELECT date, n, it, CAST(list(q ORDER BY x) AS DOUBLE[]) AS places FROM walk WHERE q < n GROUP BY 1, 2, 3",
         },
+        recursive=True,
     ),
 )
 def shuffle_null(spark, sf):

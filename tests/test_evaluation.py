@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -125,6 +126,73 @@ def test_shuffle_null_routes_agree_and_spread_as_uniform_permutations(spark, sco
     assert (many["null_mean"].abs() < 4 * expected.loc[many.index] / np.sqrt(1000)).all()
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 7, 10, 25, 26, 97, 500, 10_007])
+def test_shuffles_are_permutations(n):
+    moved = rb.Shuffles(1, "2020-01-02", range(60), n).of(np.arange(n))
+    assert (np.sort(moved, axis=1) == np.arange(n)).all()
+    some = np.arange(0, n, 3)[::-1]
+    assert (rb.Shuffles(1, "2020-01-02", range(60), n).of(some) == moved[:, some]).all()
+    if n > 5:
+        assert (rb.Shuffles(2, "2020-01-02", range(60), n).of(np.arange(n)) != moved).any()
+
+
+@pytest.mark.parametrize("n", [6, 10, 25, 61, 400])
+def test_shuffles_spread_as_uniform_permutations(n):
+    """Every place is hit alike, and the rank correlation with a fixed order has mean 0 and variance 1 / (n - 1)."""
+    draws = 20_000
+    moved = rb.Shuffles(3, "d", range(draws), n).of(np.arange(n))
+    hits = np.bincount(moved[:, 0], minlength=n)
+    assert (abs(hits - draws / n) < 6 * np.sqrt(draws / n)).all()
+    pairs = np.bincount(moved[:, 0] * n + moved[:, n // 2], minlength=n * n).reshape(n, n)
+    off, expected = pairs[~np.eye(n, dtype=bool)], draws / (n * (n - 1))
+    if expected > 5:
+        assert ((off - expected) ** 2).sum() / expected < off.size + 8 * np.sqrt(2 * off.size) + 0.005 * draws
+    for fixed in (np.arange(n), np.arange(n)[::-1] % 3, (np.arange(n) * 7919) % n):
+        a, z = fixed - fixed.mean(), moved - (n - 1) / 2
+        ic = (z @ a) / np.sqrt((a @ a) * (n * (n * n - 1) / 12))
+        assert abs(ic.mean()) * np.sqrt(n - 1) < 0.05
+        assert ic.var() * (n - 1) == pytest.approx(1, abs=0.05)
+        assert (ic**4).mean() / ic.var() ** 2 < 3.2
+
+
+@pytest.mark.parametrize("block", [8192, 4])
+def test_shuffle_null_against_plain_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(rb, "BLOCK_PLACES", block)
+    frame = make_scores(spark, dates=9, tickers=13, strength=0.4).withColumn(
+        "realized", F.when(F.col("date") == "2022-01-04", 1.0).when(F.col("date") == "2022-01-05", F.round("realized", 0)).otherwise(F.col("realized"))
+    )
+    frame = frame.where("not (date = '2022-01-06' and ticker > 'T02')").withColumn("prediction", F.round("prediction", 1))
+    frame = frame.withColumn("date", F.when(F.col("date") != "2022-01-07", F.col("date")))
+    out = rb.shuffle_null(frame, 50, 7, rows=13).first()
+    means = np.zeros(50)
+    dates = 0
+    for day, part in frame.toPandas().groupby("date", dropna=False):
+        if len(part) < 5:
+            continue
+        dates += 1
+        part = part.sort_values(["realized", "ticker"])
+        left = part["prediction"].rank().to_numpy()
+        if left.std() == 0 or part["realized"].nunique() == 1:
+            continue
+        moved = rb.Shuffles(7, "" if day != day or day is None else str(day), range(50), len(part)).of(np.arange(len(part)))
+        means += [np.corrcoef(left, m)[0, 1] for m in moved]
+    means /= dates
+    assert (out["null_mean"], out["null_std"]) == pytest.approx((means.mean(), means.std()))
+    assert out["p_value"] == pytest.approx((means >= out["observed_ic"]).mean())
+
+
+def test_bootstrap_against_plain_loop(scores):
+    out = rb.bootstrap_ic(scores, 60, 5, rows=ROWS).toPandas().set_index("model_id")
+    daily = mt.daily_ic(scores, rows=ROWS).toPandas().sort_values("date")
+    for model, part in daily.groupby("model_id"):
+        ic = part["ic"].to_numpy()
+        picks = [[int(hashlib.md5(f"5|{b}|{i}".encode()).hexdigest()[:8], 16) % len(ic) for i in range(len(ic))] for b in range(60)]
+        means = ic[np.array(picks)].mean(axis=1)
+        got = out.loc[model]
+        assert [got["p05"], got["p50"], got["p95"]] == pytest.approx(np.percentile(means, [5, 50, 95]).tolist())
+        assert got["n_bootstrap"] == 60 and got["n_dates"] == len(ic)
+
+
 def test_bootstrap(scores):
     out = rb.bootstrap_ic(scores, 200, rows=ROWS).toPandas().set_index("model_id")
     assert out.loc["good", "excludes_zero"] and not out.loc["bad", "excludes_zero"]
