@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crosslane.llm.common import drop_path, fresh_path, scratch, small_batches, table, text_bytes, to_batch
+from crosslane.llm.common import drop_path, fresh_path, scratch, small_batches, table, text_bytes
+from crosslane.session import broadcast_if
 
 MIN_COUNT = 10
-# One of so many documents is in the sample; what it holds twice is proposed (ten occurrences leave 1.25 there on average).
+# One of so many documents is in the sample (ten occurrences leave 1.25 there on average), and how often a word and a phrase
+# must be there to be proposed. A word costs little if the proposal is too wide, a phrase if it is too narrow.
 SAMPLE_OF = 8
-SAMPLE_COUNT = 2
+SAMPLE_COUNTS = (2, 3)
 # Bytes of text behind one encoded row: two million words at most, so that three of their numbers fit 63 bits.
 SLICE_BYTES = 4_000_000
 WORD_BITS = 21
@@ -41,7 +43,7 @@ MOST_BITS = 1 << 27
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-KIND = np.array([2 if c in PIECE_ENDS else 1 if c in BLANKS else 0 for c in range(256)], dtype=np.uint8)
+KIND = bytes(2 if c in PIECE_ENDS else 1 if c in BLANKS else 0 for c in range(256))
 
 ENCODED = pa.schema(
     [
@@ -49,19 +51,22 @@ ENCODED = pa.schema(
         ("sampled", pa.bool_()),
         ("lead", pa.int32()),
         ("words", pa.list_(pa.string())),
+        ("hashes", pa.binary()),
         ("ids", pa.binary()),
     ]
 )
-ENCODED_DDL = "lang string, sampled boolean, lead int, words array<string>, ids binary"
+ENCODED_PLAIN = (pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+ENCODED_DDL = "lang string, sampled boolean, lead int, words array<string>, hashes binary, ids binary"
 COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 COUNTS_DDL = "lang string, k int, phrase string, n long"
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, opens a piece) of the words of lowered bytes."""
-    kind = KIND[np.frombuffer(raw, dtype=np.uint8)]
-    inside = np.concatenate(([False], kind == 0, [False]))
+def word_spans(kinds: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, opens a piece) of the words of a text out of the kinds of its bytes."""
+    kind = np.frombuffer(kinds, dtype=np.uint8)
+    inside = np.zeros(len(kind) + 2, dtype=bool)
+    np.equal(kind, 0, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     pieces = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else np.zeros(0, dtype=np.int32)
@@ -70,28 +75,28 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, opens
 
 
-def encoded(raw: bytes, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, list[str], bytes]]:
+def encoded(raw: bytes, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array, bytes]]:
     """(lead, words, ids) of lowered text in slices: ids are 32-bit numbers, turned to -1 - id where a piece opens.
 
     A slice starts two words before the end of the last one; those ``lead`` words only give phrases their beginning.
     """
+    kinds = raw.translate(KIND)
     at, end, lead = 0, 0, 0
     while end < len(raw):
         end = min(len(raw), end + slice_bytes)
-        while end < len(raw) and KIND[raw[end - 1]] == 0:
+        while end < len(raw) and kinds[end - 1] == 0:
             end += 1
-        part = raw[at:end]
-        starts, ends, opens = word_spans(part)
+        part, part_kinds = raw[at:end], kinds[at:end]
+        starts, ends, opens = word_spans(part_kinds)
         if len(starts) > lead:
-            lengths = ends - starts
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-            letters = np.frombuffer(part, dtype=np.uint8)
-            joined = letters[KIND[letters] == 0].tobytes()
+            offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+            np.cumsum(ends - starts, out=offsets[1:])
+            joined = np.frombuffer(part, dtype=np.uint8)[np.frombuffer(part_kinds, dtype=np.uint8) == 0]
             words = pa.Array.from_buffers(
-                pa.large_string(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined)]
+                pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]
             ).dictionary_encode()
-            ids = words.indices.to_numpy().astype(np.int32)
-            yield lead, words.dictionary.to_pylist(), np.where(opens, -1 - ids, ids).astype("<i4").tobytes()
+            ids = words.indices.to_numpy().astype("<i4")
+            yield lead, words.dictionary.cast(pa.string()), np.where(opens, -1 - ids, ids).tobytes()
         lead = min(2, len(starts))
         at = at + int(starts[-lead]) if lead else end
 
@@ -104,7 +109,10 @@ def encode(batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BYTES) ->
     def flush(group: tuple[str, bool]) -> Iterator[pa.RecordBatch]:
         sizes.pop(group)
         for lead, words, ids in encoded(b"\n".join(held.pop(group)).translate(LOWERED), slice_bytes):
-            yield to_batch([(*group, lead, words, ids)], ENCODED)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            hashes = word_hashes(group[0], words.to_pylist()).tobytes()
+            plain = [pa.array([v], t) for v, t in zip((*group, lead, hashes, ids), ENCODED_PLAIN, strict=True)]
+            yield pa.RecordBatch.from_arrays([*plain[:3], listed, *plain[3:]], schema=ENCODED)
 
     for batch in batches:
         for lang, sampled, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -192,14 +200,14 @@ def hashed(phrases: DataFrame) -> DataFrame:
 class Row:
     """One encoded row with what the passes ask of it; pair n is the words n and n + 1, triple n goes on to n + 2."""
 
-    def __init__(self, lang: str, lead: int, words: list[str], raw: bytes):
-        marked = np.frombuffer(raw, dtype="<i4")
+    def __init__(self, lang: str, lead: int, words: pa.Array, hashes: bytes, ids: bytes):
+        marked = np.frombuffer(ids, dtype="<i4")
         opens = marked < 0
         self.lang, self.lead = lang, lead
         self.ids = np.where(opens, -1 - marked, marked).astype(np.int64)
-        self.names = pa.array(words, pa.string())
+        self.names = words
         self.joined = ~opens[1:]
-        self.hashes = word_hashes(lang, words)
+        self.hashes = np.frombuffer(hashes, dtype=np.uint64)
         at = self.hashes[self.ids]
         self.pair_hash = pair_hashes(at[:-1], at[1:])
         self.triple_hash = pair_hashes(self.pair_hash[:-1], at[2:])
@@ -237,8 +245,9 @@ class Row:
         words = [self.names.take(pa.array((keys >> np.int64(WORD_BITS * (k - 1 - j))) & mask)) for j in range(k)]
         yield self.batch(k, pc.binary_join_element_wise(*words, " "), n)
 
-    def hash_counts(self, chosen: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-        hashes, n = np.unique((self.pair_hash if k == 2 else self.triple_hash)[self.new(chosen, k)], return_counts=True)
+    def hash_counts(self, pairs: np.ndarray, triples: np.ndarray) -> Iterator[pa.RecordBatch]:
+        chosen = [self.pair_hash[self.new(pairs, 2)], self.triple_hash[self.new(triples, 3)]]
+        hashes, n = np.unique(np.concatenate(chosen), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], schema=HASHES)
 
     def batch(self, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -273,10 +282,11 @@ def run_pass(rows: DataFrame, ddl: str, work: Callable[..., Iterator[pa.RecordBa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, lead, words, raw in zip(*(batch.column(k) for k in range(4)), strict=True):
-                yield from work(Row(lang.as_py(), lead.as_py(), words.as_py(), raw.as_py()), *shared.value)
+            for lang, lead, words, hashes, ids in zip(*(batch.column(k) for k in range(5)), strict=True):
+                row = Row(lang.as_py(), lead.as_py(), words.values, hashes.as_py(), ids.as_py())
+                yield from work(row, *shared.value)
 
-    return rows.select("lang", "lead", "words", "ids").mapInArrow(run, ddl)
+    return rows.select("lang", "lead", "words", "hashes", "ids").mapInArrow(run, ddl)
 
 
 def summed(parts: DataFrame) -> DataFrame:
@@ -295,40 +305,38 @@ def triples_of(row: Row, pairs: HashFilter, counted: HashFilter | None = None) -
     return row.phrase_counts(chosen if counted is None else chosen & ~row.pairs_in(counted), 3)
 
 
-def border_pairs(row: Row, proposal: Proposal) -> Iterator[pa.RecordBatch]:
-    return row.hash_counts(proposal.border_pairs(row), 2)
-
-
-def border_triples(row: Row, proposal: Proposal) -> Iterator[pa.RecordBatch]:
-    return row.hash_counts(proposal.border_triples(row), 3)
+def border(row: Row, proposal: Proposal) -> Iterator[pa.RecordBatch]:
+    return row.hash_counts(proposal.border_pairs(row), proposal.border_triples(row))
 
 
 def failed_and_opened(
-    row: Row, proposal: Proposal, pairs: HashFilter, triples: HashFilter, words: HashFilter
+    row: Row, proposal: Proposal, failed: HashFilter, words: HashFilter
 ) -> Iterator[pa.RecordBatch]:
     """Border phrases whose hash has failed, and the pairs that ``words`` opens beyond the proposal."""
     opened = row.words_in(words) & ~row.words_in(proposal.words)
-    yield from row.phrase_counts((proposal.border_pairs(row) & pairs.holds(row.pair_hash)) | opened, 2)
-    yield from row.phrase_counts(proposal.border_triples(row) & triples.holds(row.triple_hash), 3)
+    yield from row.phrase_counts((proposal.border_pairs(row) & failed.holds(row.pair_hash)) | opened, 2)
+    yield from row.phrase_counts(proposal.border_triples(row) & failed.holds(row.triple_hash), 3)
 
 
-def propose(sampled: DataFrame, sample_count: int) -> tuple[Proposal, dict[int, DataFrame], list[str]]:
+def propose(sampled: DataFrame, word_count: int, phrase_count: int) -> tuple[Proposal, dict[int, DataFrame], list[str]]:
     """The proposal, its words and pairs as tables, and the scratch tables behind them."""
     found, path = scratch(
-        summed(run_pass(sampled, COUNTS_DDL, words_and_pairs)).where((F.col("n") >= sample_count) & (F.col("k") > 0)),
+        summed(run_pass(sampled, COUNTS_DDL, words_and_pairs)).where(
+            (F.col("k") > 0) & (F.col("n") >= F.when(F.col("k") == 1, word_count).otherwise(phrase_count))
+        ),
         "phrase-sample",
     )
     known = {k: found.where(F.col("k") == k).select("lang", "phrase") for k in (1, 2)}
     words, pairs = (build_filter(hashed(known[k])) for k in (1, 2))
     triples = summed(run_pass(sampled, COUNTS_DDL, triples_of, pairs))
-    triples, triples_path = scratch(triples.where(F.col("n") >= sample_count), "phrase-sample")
+    triples, triples_path = scratch(triples.where(F.col("n") >= phrase_count), "phrase-sample")
     return Proposal(words, pairs, build_filter(hashed(triples))), known, [path, triples_path]
 
 
-def failed_border(rows: DataFrame, proposal: Proposal, k: int, min_count: int) -> DataFrame:
-    """(h): hashes under which the border's phrases of k words occur ``min_count`` times or more, so that every frequent one is
+def failed_border(rows: DataFrame, proposal: Proposal, min_count: int) -> DataFrame:
+    """(h): hashes under which the border's pairs and triples occur ``min_count`` times or more, so that every frequent one is
     among them. One long is the key of each sum: the border is most of what a pass sees, and its text is never shuffled."""
-    parts = run_pass(rows, "h long, n long", border_pairs if k == 2 else border_triples, proposal)
+    parts = run_pass(rows, "h long, n long", border, proposal)
     return parts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
 
 
@@ -339,7 +347,7 @@ def frequent_phrases(
     text: str = "text",
     lang: str = "lang",
     sample_of: int = SAMPLE_OF,
-    sample_count: int = SAMPLE_COUNT,
+    sample_counts: tuple[int, int] = SAMPLE_COUNTS,
     slice_bytes: int = SLICE_BYTES,
 ) -> tuple[DataFrame, list[int]]:
     """(lang, k, phrase, n) of every phrase of 1 to 3 words that occurs ``min_count`` times or more, and the words of each
@@ -359,7 +367,7 @@ def frequent_phrases(
         text_bytes(F.col(f"`{text}`")).alias("raw"),
     )
     rows, rows_path = written_rows(raw.mapInArrow(lambda batches: encode(batches, slice_bytes), ENCODED_DDL))
-    proposal, proposed, paths = propose(rows.where("sampled"), sample_count)
+    proposal, proposed, paths = propose(rows.where("sampled"), *sample_counts)
     passes: list[DataFrame] = []
     found: list[int] = []
 
@@ -378,13 +386,11 @@ def frequent_phrases(
         return not known(k).join(proposed[k], ["lang", "phrase"], "left_anti").isEmpty()
 
     keep(run_pass(rows, COUNTS_DDL, Proposal.counts, proposal))
-    failed = {}
-    for k in (2, 3):
-        failed[k], path = scratch(failed_border(rows, proposal, k, min_count), "phrase-border")
-        paths.append(path)
+    failed, path = scratch(failed_border(rows, proposal, min_count), "phrase-border")
+    paths.append(path)
     words = outside(1)
-    if words or not failed[2].isEmpty() or not failed[3].isEmpty():
-        filters = [build_filter(failed[2]), build_filter(failed[3]), build_filter(hashed(known(1))) if words else proposal.words]
+    if words or not failed.isEmpty():
+        filters = [build_filter(failed), build_filter(hashed(known(1))) if words else proposal.words]
         keep(run_pass(rows, COUNTS_DDL, failed_and_opened, proposal, *filters))
     if outside(2):
         keep(run_pass(rows, COUNTS_DDL, triples_of, build_filter(hashed(known(2))), proposal.pairs))
@@ -479,9 +485,14 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = MIN_COUNT, s
     counts, _ = frequent_phrases(docs, min_count, **options)
     words = counts.where(F.col("k") == 0).select("lang", F.col("n"))
     scored, _ = scratch(score_phrases(counts), "phrase-scores")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = without_covered(scored, share).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # The first of each of 16 groups of a language before the first of the language: its task reads 16 times ``top`` rows.
+    parts = Window.partitionBy("lang", "group").orderBy(*best)
+    dealt = without_covered(scored, share).withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(16)))
+    first = dealt.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= top).drop("rank")
+    order = Window.partitionBy("lang").orderBy(*best)
+    ranked = first.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    return ranked.join(broadcast_if(words, words.count()), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

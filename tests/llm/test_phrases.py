@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from crosslane.llm import phrases as op
@@ -97,7 +98,8 @@ def test_full_filter_only_costs_work(spark, monkeypatch):
 
 def test_phrase_hashes_are_those_of_the_passes(spark):
     words = ["a", "b", "é", "a"]
-    row = op.Row("en", 0, words[:3], b"".join(int(i).to_bytes(4, "little", signed=True) for i in (-1, 1, 2, 0)))
+    ids = b"".join(int(i).to_bytes(4, "little", signed=True) for i in (-1, 1, 2, 0))
+    row = op.Row("en", 0, pa.array(words[:3]), op.word_hashes("en", words[:3]).tobytes(), ids)
     phrases = spark.createDataFrame([("en", "a b"), ("en", "b é"), ("en", "é a"), ("en", "a b é"), ("en", "b é a")], "lang string, phrase string")
     want = [*row.pair_hash.view("int64").tolist(), *row.triple_hash.view("int64").tolist()]
     assert sorted(r.h for r in op.hashed(phrases).collect()) == sorted(want)
@@ -108,7 +110,7 @@ def test_slices_hold_every_phrase_once(slice_bytes):
     text = "one two  three.four five\tsix seven, " * 9 + " " * 30 + "eight nine " + "x" * 50 + " ten" + " " * 40
     found = Counter()
     for lead, words, ids in op.encoded(text.encode(), slice_bytes):
-        row = op.Row("en", lead, words, ids)
+        row = op.Row("en", lead, words, op.word_hashes("en", words.to_pylist()).tobytes(), ids)
         for batches in (row.single_counts(), row.phrase_counts(row.joined, 2), row.phrase_counts(row.joined[:-1] & row.joined[1:], 3)):
             for batch in batches:
                 for k, phrase, n in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
