@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from datetime import date
+from functools import partial
 from typing import Any
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from crosslane.operators.metrics import daily_ic, join_realized
 from crosslane.operators.models import (
     DateGrams,
     LassoCrossSectional,
+    Model,
     ModelConfig,
     RidgeCrossSectional,
     Rule,
@@ -27,19 +30,41 @@ from crosslane.operators.models import (
     score_rules,
     select_by_error,
 )
+from crosslane.operators.trees import _Boosted, prepared, submit_all
 from crosslane.session import broadcast_dates
 
-# The search space of the boosted trees; (low, high, scale).
-TREE_SPACE = {
-    "max_depth": (3, 8, "int"),
-    "learning_rate": (0.01, 0.1, "log"),
-    "min_rows_leaf": (50, 500, "int"),
-    "row_share": (0.5, 1.0, "linear"),
-    "feature_share": (0.4, 1.0, "linear"),
+# The search space of each family of boosted trees; (low, high, scale).
+TREE_SPACES = {
+    "LeafwiseBoosting": {
+        "learning_rate": (0.005, 0.1, "log"),
+        "num_leaves": (15, 200, "int"),
+        "min_data_in_leaf": (50, 500, "int"),
+        "feature_fraction": (0.5, 0.95, "linear"),
+        "bagging_fraction": (0.5, 0.95, "linear"),
+        "n_estimators": (200, 1500, "int"),
+    },
+    "DepthwiseBoosting": {
+        "learning_rate": (0.005, 0.1, "log"),
+        "max_depth": (3, 10, "int"),
+        "min_child_weight": (5, 100, "int"),
+        "subsample": (0.5, 0.95, "linear"),
+        "colsample_bytree": (0.5, 0.95, "linear"),
+        "n_estimators": (200, 1500, "int"),
+    },
+    "SymmetricBoosting": {
+        "learning_rate": (0.005, 0.1, "log"),
+        "depth": (3, 10, "int"),
+        "rsm": (0.5, 0.95, "linear"),
+        "subsample": (0.5, 0.95, "linear"),
+        "n_estimators": (200, 1500, "int"),
+    },
 }
+TREE_SPACE = TREE_SPACES["LeafwiseBoosting"]
+# Trials of a sweep.
+TRIALS = 40
 
 
-def draw_params(space: dict[str, tuple], n_trials: int, seed: int = 42) -> list[dict[str, Any]]:
+def draw_params(space: dict[str, tuple], n_trials: int = TRIALS, seed: int = 42) -> list[dict[str, Any]]:
     """``n_trials`` random parameter sets."""
     rng = random.Random(seed)
     trials = []
@@ -72,33 +97,54 @@ def sweep(
     embargo: int = 21,
     target: str = "y",
     rows: int | None = None,
+    parallel: int = 4,
 ) -> DataFrame:
-    """(trial, params, score) by the mean fold IC; a trial that cannot be fitted scores -1.
+    """(trial, params, score, error) by the mean fold IC; a trial whose data cannot be fitted scores -1 and says why.
 
-    Every fit is distributed over the rows, so trials run one after another.
+    Parameters that the model does not know raise before any fit. For trees the features are put into vectors once, and folds
+    are ranges of the date number over that one persisted table. Every fit is distributed over the rows; ``parallel`` of them
+    run at a time.
     """
     spark = matrix.sparkSession
+    models = [
+        (number, params, fold_model(model_class, number, features, target, params)) for number, params in enumerate(trials)
+    ]
     data = matrix.dropna(subset=[target, *features])
     index = date_index(data)
     folds = block_folds(index.count(), n_blocks, embargo)
     numbered = data.join(broadcast_dates(index), "date")
-    rows_out = []
-    for number, params in enumerate(trials):
-        scores = []
+    trees = all(isinstance(m, _Boosted) for _, _, m in models)
+    if trees:
+        numbered = prepared(numbered, list(features), target, "date", "ticker", "idx")
+    numbered = numbered.persist()
+
+    def score(number: int, params: dict[str, Any], fold: Fold) -> tuple[float | None, str | None]:
+        train = numbered.where((F.col("idx") >= fold.train_from) & (F.col("idx") < fold.train_to))
+        held = numbered.where((F.col("idx") >= fold.val_from) & (F.col("idx") < fold.val_to))
         try:
-            for fold in folds:
-                train = numbered.where((F.col("idx") >= fold.train_from) & (F.col("idx") < fold.train_to))
-                held = numbered.where((F.col("idx") >= fold.val_from) & (F.col("idx") < fold.val_to))
-                model = build_model(model_class, ModelConfig(f"trial{number}", tuple(features), target, dict(params)))
-                model.fit(train)
-                frame = join_realized(model.predict(held), held, target).withColumn("model_id", F.lit(number))
-                scores.append(daily_ic(frame, rows=rows).agg(F.avg("ic")).first()[0])
-            known = [s for s in scores if s is not None]
-            score = float(np.mean(known)) if known else -1.0
-        except ValueError:
-            score = -1.0
-        rows_out.append((number, str(sorted(params.items())), score))
-    return spark.createDataFrame(rows_out, "trial int, params string, score double")
+            model = fold_model(model_class, number, features, target, params).fit(train)
+        except (ValueError, IllegalArgumentException) as failure:
+            return None, str(failure).split("\n")[0]
+        frame = join_realized(model.predict(held), held, target).withColumn("model_id", F.lit(number))
+        return daily_ic(frame, rows=rows).agg(F.avg("ic")).first()[0], None
+
+    try:
+        tasks = [partial(score, number, params, fold) for number, params, _ in models for fold in folds]
+        scores = submit_all(spark, tasks, parallel)
+    finally:
+        numbered.unpersist()
+    rows_out = []
+    for place, (number, params, _) in enumerate(models):
+        mine = scores[place * len(folds) : (place + 1) * len(folds)]
+        failures = [e for _, e in mine if e is not None]
+        known = [s for s, _ in mine if s is not None]
+        value = float(np.mean(known)) if known and not failures else -1.0
+        rows_out.append((number, str(sorted(params.items())), value, failures[0] if failures else None))
+    return spark.createDataFrame(rows_out, "trial int, params string, score double, error string")
+
+
+def fold_model(model_class: str, number: int, features: Sequence[str], target: str, params: dict[str, Any]) -> Model:
+    return build_model(model_class, ModelConfig(f"trial{number}", tuple(features), target, dict(params)))
 
 
 def fold_ranges(matrix: DataFrame, n_splits: int = 3, embargo: int = 21) -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 from typing import Any
 
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from crosslane.functions.numeric import correlation
-from crosslane.operators.folds import date_index, expanding_time_folds
+from crosslane.operators.folds import Fold, expanding_time_folds
 from crosslane.operators.ranking import add_average_rank, quantiles, value_at
-from crosslane.operators.trees import as_vectors
+from crosslane.operators.staged import METRICS, best_round, importances, round_scores, shortened_model
+from crosslane.operators.trees import as_vectors, submit_all
 from crosslane.session import broadcast_if, cut
 
 # ---- scores ---------------------------------------------------------------------
@@ -270,45 +272,61 @@ def train_by_horizon(
     weight: str = "weight",
     time: str = "ts_index",
     params: dict[str, Any] | None = None,
+    metric: str = "weighted_score",
+    patience: int = 0,
+    parallel: int = 4,
 ) -> dict[str, DataFrame]:
     """Per horizon and fold: weighted boosted trees, seeds averaged, predictions kept out of fold.
 
-    Returns ``oof`` (keys, horizon, fold, target, weight, prediction), ``scores`` per horizon and
-    ``importances`` per fold. Every fit is distributed over the rows.
+    Returns ``oof`` (keys, horizon, fold, target, weight, prediction), ``scores`` per horizon, ``importances`` per fold and
+    ``curves`` (horizon, fold, seed, round, score, kept). With ``patience`` every ensemble is cut after its best round by the
+    named metric on the fold's held-out rows. Features are put into vectors once for all fits; horizons and folds are ranges of
+    that one persisted table. Every fit is distributed over the rows; ``parallel`` of them run at a time.
     """
-    options = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "maxBins": 32, **(params or {})}
+    options = {"maxIter": 500, "maxDepth": 5, "stepSize": 0.05, "maxBins": 32, **(params or {})}
     spark = df.sparkSession
-    parts, gains = [], []
-    for horizon in sorted(r[0] for r in df.select("horizon").distinct().collect()):
-        part = df.where(F.col("horizon") == F.lit(horizon))
-        index = date_index(part, time)
-        steps = index.count()
-        numbered = as_vectors(part.join(broadcast_if(index, steps), time), list(features)).persist()
-        try:
-            for fold in expanding_time_folds(steps, n_folds):
-                train = numbered.where(F.col("idx") < fold.train_to)
-                held = numbered.where((F.col("idx") >= fold.val_from) & (F.col("idx") < fold.val_to))
-                names = []
-                for seed in seeds:
-                    model = GBTRegressor(
-                        featuresCol="_features", labelCol=target, weightCol=weight, seed=int(seed), **options
-                    ).fit(train)
-                    names.append(f"_p{seed}")
-                    held = model.setPredictionCol(names[-1]).transform(held)
-                    gains += [
-                        (int(horizon), fold.fold, f, float(g))
-                        for f, g in zip(features, model.featureImportances.toArray(), strict=True)
-                    ]
-                mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / float(len(names))
-                out = held.select(*keys, "horizon", F.lit(fold.fold).alias("fold"), target, weight, mean.alias("prediction"))
-                parts.append(cut(out, "oof"))
-        finally:
-            numbered.unpersist()
-    oof = parts[0]
-    for part in parts[1:]:
+    steps = df.groupBy("horizon", time).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = steps.withColumn("idx", F.row_number().over(Window.partitionBy("horizon").orderBy(time)) - 1).drop("_n")
+    sizes = {r["horizon"]: r["n"] for r in numbered.groupBy("horizon").agg(F.max("idx").alias("n")).collect()}
+    table = as_vectors(df.join(broadcast_if(numbered, sum(n + 1 for n in sizes.values())), ["horizon", time]), list(features))
+    table = table.persist()
+
+    def fit(horizon: int, fold: Fold) -> tuple[DataFrame, list, list]:
+        part = table.where(F.col("horizon") == F.lit(horizon))
+        train = part.where(F.col("idx") < fold.train_to)
+        held = part.where((F.col("idx") >= fold.val_from) & (F.col("idx") < fold.val_to))
+        names, gains, curves, out = [], [], [], held
+        for seed in seeds:
+            model = GBTRegressor(featuresCol="_features", labelCol=target, weightCol=weight, seed=int(seed), **options).fit(train)
+            scores = round_scores(model, held, target, METRICS[metric], weight)
+            kept = best_round(scores, patience) if patience > 0 else len(scores)
+            if kept < len(scores):
+                model = shortened_model(model, kept)
+            curves += [(int(horizon), fold.fold, int(seed), n, float(s), n <= kept) for n, s in enumerate(scores, start=1)]
+            names.append(f"_p{seed}")
+            out = model.setPredictionCol(names[-1]).transform(out)
+            shares = importances(model, len(features))
+            gains += [(int(horizon), fold.fold, f, g) for f, g in zip(features, shares, strict=True)]
+        mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / float(len(names))
+        out = out.select(*keys, "horizon", F.lit(fold.fold).alias("fold"), target, weight, mean.alias("prediction"))
+        return cut(out, "oof"), gains, curves
+
+    try:
+        tasks = [partial(fit, h, fold) for h in sorted(sizes) for fold in expanding_time_folds(sizes[h] + 1, n_folds)]
+        results = submit_all(spark, tasks, parallel)
+    finally:
+        table.unpersist()
+    oof = results[0][0]
+    for part, _, _ in results[1:]:
         oof = oof.unionByName(part)
     return {
         "oof": oof,
         "scores": weighted_score(oof, ["horizon"], target, "prediction", weight),
-        "importances": spark.createDataFrame(gains, "horizon int, fold int, feature string, importance double"),
+        "importances": spark.createDataFrame(
+            [g for _, gains, _ in results for g in gains], "horizon int, fold int, feature string, importance double"
+        ),
+        "curves": spark.createDataFrame(
+            [c for _, _, curves in results for c in curves],
+            "horizon int, fold int, seed int, round int, score double, kept boolean",
+        ),
     }

@@ -112,6 +112,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, with the folders above it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(jvm_path, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of this library; nothing happens where there is none."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where the folder is not there."""
     if not path_exists(spark, path):

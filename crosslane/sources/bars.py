@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslane.session import cut, path_exists
+from crosslane.session import cut, list_names, path_exists, remove, touch
 
 BAR_SCHEMA = T.StructType(
     [
@@ -111,7 +112,8 @@ class BarStore:
     """The panel as a Parquet table partitioned by the year of its dates.
 
     An extension overwrites only the years that it touches (dynamic partition overwrite). Files follow the size of
-    the data: Spark rebalances each year's rows before they are written. One writer at a time.
+    the data: Spark rebalances each year's rows before they are written. The last date of each ticker is a small side table
+    that every extension brings up to date, so an extension reads that table and the years it touches. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -130,8 +132,32 @@ class BarStore:
         return table.parquet(self.path).where(wanted).select(*names)
 
     def last_dates(self) -> DataFrame:
+        """(ticker, last_date) from the side table; from the whole table only where that is missing or not up to date."""
+        kept = [n for n in list_names(self.spark, self._side) if n.startswith("v")]
+        if len(kept) == 1 and not path_exists(self.spark, self._open):
+            return self.spark.read.schema("ticker string, last_date date").parquet(f"{self._side}/{kept[0]}")
         return last_dates(self.read())
 
+    @property
+    def _side(self) -> str:
+        # Spark does not read folders with a leading underscore as data.
+        return f"{self.path}/_last"
+
+    @property
+    def _open(self) -> str:
+        return f"{self._side}/changing"
+
+    def _replace(self, rows: DataFrame, years: str, last: Callable[[], DataFrame]) -> None:
+        """Write rows, then the last dates that belong to them. A mark stands while the two can differ, so that a writer that
+        died in between leaves a table whose last dates are taken from the data again."""
+        touch(self.spark, self._open)
+        self._put(rows, years)
+        older = [n for n in list_names(self.spark, self._side) if n.startswith("v")]
+        last().select("ticker", "last_date").write.parquet(f"{self._side}/v{uuid.uuid4().hex}")
+        for name in older:
+            remove(self.spark, f"{self._side}/{name}")
+        remove(self.spark, self._open)
+
     def _put(self, rows: DataFrame, years: str) -> None:
         dated = rows.withColumn("year", F.year("date")).hint("rebalance", F.col("year"))
         dated.write.option("partitionOverwriteMode", years).mode("overwrite").partitionBy("year").parquet(self.path)
@@ -141,16 +167,20 @@ class BarStore:
         rows = keyed(panel.select(*[f.name for f in BAR_SCHEMA]))
         if not rows.groupBy("date", "ticker").count().where("count > 1").isEmpty():
             raise ValueError("a (date, ticker) occurs more than once")
-        self._put(rows, "static")
+        self._replace(rows, "static", lambda: last_dates(self.read()))
 
     def extend(self, landed: DataFrame) -> None:
         """Merge landed bars; only the years they fall into are written again."""
         rows = keyed(landed.select(*[f.name for f in BAR_SCHEMA]))
-        fresh = cut(fresh_rows(rows, self.last_dates()), "fresh")
+        last = self.last_dates()
+        fresh = cut(fresh_rows(rows, last), "fresh")
         years = [r[0] for r in fresh.select(F.year("date")).distinct().collect()]
         if years:
-            # The years are read and then overwritten, so their new rows are written aside first.
-            self._put(cut(replace_rows(self._years(F.col("year").isin(years)), fresh), "years"), "dynamic")
+            newest = last.unionByName(last_dates(fresh)).groupBy("ticker").agg(F.max("last_date").alias("last_date"))
+            # The years are read and then overwritten, so their new rows are written aside first; so are the last dates.
+            merged = cut(replace_rows(self._years(F.col("year").isin(years)), fresh), "years")
+            newest = cut(newest, "last")
+            self._replace(merged, "dynamic", lambda: newest)
 
 
 def keyed(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from crosslane.operators import folds as fo
 from crosslane.operators import gram as gr
 from crosslane.operators import search as se
 from crosslane.operators import series_models as sm
+from crosslane.operators import staged as st
 from crosslane.operators.features import build_feature_matrix, drop_warmup_rows
 from crosslane.operators.models import (
     DateGrams,
@@ -24,7 +25,7 @@ from crosslane.operators.models import (
     ridge_alpha_grid,
     score_rules,
 )
-from crosslane.operators.trees import LeafwiseBoosting
+from crosslane.operators.trees import LeafwiseBoosting, prepared
 from crosslane.plans import experiment as ex
 from crosslane.session import fresh_path
 from crosslane.sources.store import PredictionStore
@@ -230,6 +231,79 @@ def test_trees(spark, train):
     np.testing.assert_allclose(a, z)
 
 
+def _plain_rounds(model, held, score):
+    """Scores of every prefix of an ensemble, one prediction pass per prefix."""
+    out = []
+    for n in range(1, model.getNumTrees + 1):
+        p = st.shortened_model(model, n).transform(held).select("y", "w", "prediction").toPandas()
+        out.append(score(p["y"].to_numpy(), p["prediction"].to_numpy(), p["w"].to_numpy()))
+    return out
+
+
+def test_round_scores_equal_prefix_predictions(spark, train):
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = prepared(train.withColumn("w", F.abs("x2") + 0.1), list(X), "y", "date", "w").persist()
+    fit, held = fo.split_by_fraction(rows, 0.25)
+    model = GBTRegressor(featuresCol="_features", labelCol="y", maxIter=9, maxDepth=3, stepSize=0.4, seed=5).fit(fit)
+    rmse = st.round_scores(model, held, "y", st.METRICS["rmse"])
+    np.testing.assert_allclose(rmse, _plain_rounds(model, held, lambda y, p, w: -np.sqrt(((y - p) ** 2).mean())), rtol=1e-9)
+    weighted = st.round_scores(model, held, "y", st.METRICS["weighted_score"], "w")
+    want = _plain_rounds(model, held, lambda y, p, w: np.sqrt(1 - np.clip((w * (y - p) ** 2).sum() / (w * y * y).sum(), 0, 1)))
+    np.testing.assert_allclose(weighted, want, rtol=1e-9)
+    with pytest.raises(ValueError, match="held-out"):
+        st.round_scores(model, held.where("false"), "y", st.METRICS["rmse"])
+    rows.unpersist()
+
+
+@pytest.mark.parametrize(
+    ("scores", "patience", "kept"),
+    [([1.0], 3, 1), ([1, 2, 3, 4], 2, 4), ([1, 3, 2, 2, 9], 2, 2), ([1, 3, 2, 2, 9], 3, 5), ([5, 5, 5, 5], 2, 1), ([1, 2, 1, 3, 1, 1], 2, 4)],
+)
+def test_best_round(scores, patience, kept):
+    assert st.best_round(np.array(scores, dtype=float), patience) == kept
+
+
+def test_stopping_cuts_the_ensemble_by_a_callers_metric(spark, train, monkeypatch):
+    """A metric that is best after three rounds: the sum of absolute predictions against a fixed level."""
+    level = {}
+    monkeypatch.setitem(
+        st.METRICS, "near_level", st.StageMetric(lambda p, y, w: (np.abs(p), np.ones_like(p)), lambda s, n: -np.abs(s / n - level["at"]))
+    )
+    base = {"n_estimators": 12, "max_depth": 3, "min_rows_leaf": 10, "val_fraction": 0.2, "learning_rate": 0.3}
+    level["at"] = 100.0
+    full = LeafwiseBoosting(ModelConfig("f", X, params={**base, "early_stopping_rounds": 12, "metric": "near_level"})).fit(train)
+    sizes = [s + 100.0 for s in full.curves[0][1]]
+    level["at"] = sizes[2]
+    again = LeafwiseBoosting(ModelConfig("f", X, params={**base, "early_stopping_rounds": 4, "metric": "near_level"})).fit(train)
+    assert len(sizes) == 12 and again.state["rounds"] == [3] and again.boosters[0].getNumTrees == 3
+    curve = again.curve(spark).toPandas()
+    assert len(curve) == 12 and curve["kept"].sum() == 3 and curve["score"].idxmax() == 2
+    path = fresh_path(spark, "cut")
+    again.save(spark, path)
+    assert LeafwiseBoosting.load(spark, path).boosters[0].getNumTrees == 3
+    with pytest.raises(ValueError, match="unknown metric"):
+        LeafwiseBoosting(ModelConfig("f", X, params={"metric": "nope"}))
+    with pytest.raises(ValueError, match="rounds"):
+        build_model("ForestCrossSectional", ModelConfig("f", X, params={"early_stopping_rounds": 3}))
+    assert LeafwiseBoosting(ModelConfig("f", X, params={"num_leaves": 31})).params["max_depth"] == 5
+    assert LeafwiseBoosting(ModelConfig("f", X)).params["n_estimators"] == 500
+    with pytest.raises(ValueError, match="taken|already"):
+        st.register_metric("rmse", st.METRICS["rmse"])
+
+
+def test_sweep_runs_every_drawn_parameter(train):
+    for family, space in se.TREE_SPACES.items():
+        for trial in se.draw_params({**space, "n_estimators": (2, 3, "int")}, 3):
+            assert build_model(family, ModelConfig("t", X, params=trial)).params["n_estimators"] == trial["n_estimators"]
+    trials = [{"n_estimators": 2, "max_depth": 2, "min_rows_leaf": 10}, {"n_estimators": 4, "max_depth": 3, "min_rows_leaf": 10}]
+    both = se.sweep(train, "DepthwiseBoosting", X, trials, 3, 3, rows=25, parallel=3).orderBy("trial").toPandas()
+    one = [se.sweep(train, "DepthwiseBoosting", X, [t], 3, 3, rows=25, parallel=1).first()["score"] for t in trials]
+    assert both["score"].tolist() == pytest.approx(one) and both["error"].isna().all()
+    with pytest.raises(ValueError, match="cannot honour"):
+        se.sweep(train, "DepthwiseBoosting", X, [{"max_dept": 2}], 3, 3, rows=25)
+
+
 def test_sweep_scores_failed_trials_minus_one(train):
     trials = [{"n_estimators": 3, "max_depth": 2, "min_rows_leaf": 10}, {"n_estimators": 3, "seeds": []}]
     out = se.sweep(train, "LeafwiseBoosting", X, trials[:1], 3, 3, rows=25).first()

@@ -1,12 +1,13 @@
 import random
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from crosslane.functions.dates import parse_date
 from crosslane.plans.experiment import load_panel
-from crosslane.session import fresh_path, work_dir
+from crosslane.session import fresh_path, list_names, work_dir
 from crosslane.sources import bars as br
 from crosslane.sources import membership as ms
 from crosslane.sources import store as st
@@ -80,6 +81,42 @@ def test_extension_leaves_other_years(spark):
     assert store.read("2024-06-01").count() == 2
 
 
+def _spoil(store, year):
+    """Make a year's files unreadable."""
+    folder = f"{store.path}/year={year}"
+    for name in list_names(store.spark, folder):
+        if name.endswith(".parquet"):
+            Path(folder, name).write_bytes(b"not a table")
+
+
+def test_extension_reads_touched_years_and_the_side_table_only(spark):
+    store = br.BarStore(spark, fresh_path(spark, "bars"))
+    store.write(_bars(spark, [("A", 0, 1.0), ("A", 400, 2.0), ("B", 0, 3.0), ("C", 410, 1.0)]))
+    _spoil(store, 2024)
+    # A day of A before its last date is refused, which only the side table can know without reading the first year.
+    store.extend(_bars(spark, [("A", 399, 9.0), ("A", 401, 4.0), ("D", 380, 6.0)]))
+    got = {(r["ticker"], r["close"]) for r in store.read("2025-01-01").collect()}
+    assert got == {("A", 2.0), ("A", 4.0), ("C", 1.0), ("D", 6.0)}
+    marks = {r["ticker"]: str(r["last_date"]) for r in store.last_dates().collect()}
+    assert marks == {"A": "2025-02-05", "B": "2024-01-01", "C": "2025-02-14", "D": "2025-01-15"}
+
+
+def test_last_dates_survive_a_writer_that_dies(spark, monkeypatch):
+    store = br.BarStore(spark, fresh_path(spark, "bars"))
+    store.write(_bars(spark, [("A", 0, 1.0)]))
+    # The rows are there, the side table is still the old one, the mark stands.
+    monkeypatch.setattr(br, "remove", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        store.extend(_bars(spark, [("A", 5, 2.0)]))
+    monkeypatch.undo()
+    assert [str(r["last_date"]) for r in store.last_dates().collect()] == ["2024-01-06"]
+    store.extend(_bars(spark, [("A", 4, 7.0), ("A", 6, 3.0)]))
+    assert sorted(r["close"] for r in store.read().collect()) == [1.0, 2.0, 3.0]
+    assert len([n for n in list_names(spark, f"{store.path}/_last") if n.startswith("v")]) == 1
+    store.write(_bars(spark, [("B", 1, 1.0)]))
+    assert [(r["ticker"], str(r["last_date"])) for r in store.last_dates().collect()] == [("B", "2024-01-02")]
+
+
 def test_stream_and_rerun(spark):
     folder = fresh_path(spark, "landing")
     store = br.BarStore(spark, fresh_path(spark, "bars"))

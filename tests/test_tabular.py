@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from crosslane.operators import tabular_features as tf
 from crosslane.operators import tabular_quality as tq
+from crosslane.operators.staged import best_round
 from tests.conftest import noise
 
 K, O = ("code",), ("ts_index",)
@@ -134,3 +135,18 @@ def test_out_of_fold_training(table):
     assert out["scores"].count() == 2
     top = tq.importance_summary(out["importances"], 1).first()
     assert top["feature"] == "feature_b" and top["count"] == 8
+    curves = out["curves"].toPandas()
+    assert len(curves) == 2 * 2 * 2 * 2 and curves["kept"].all()
+
+
+def test_horizons_stop_by_the_weighted_score(table):
+    options = {"maxIter": 6, "maxDepth": 2, "stepSize": 0.9}
+    whole = tq.train_by_horizon(table, ["feature_b"], 2, params=options, parallel=1)
+    cut = tq.train_by_horizon(table, ["feature_b"], 2, params=options, patience=1, parallel=4)
+    curves, short = (o["curves"].toPandas().sort_values(["horizon", "fold", "round"], ignore_index=True) for o in (whole, cut))
+    np.testing.assert_allclose(curves["score"], short["score"])
+    for _, part in short.groupby(["horizon", "fold"]):
+        assert part["kept"].sum() == best_round(part["score"].to_numpy(), 1)
+    last = curves[curves["round"] == 6].set_index(["horizon", "fold"])["score"]
+    by_fold = tq.weighted_score(whole["oof"], ["horizon", "fold"]).toPandas().set_index(["horizon", "fold"])["score"]
+    np.testing.assert_allclose(by_fold.loc[last.index], last, rtol=1e-9)
