@@ -563,11 +563,13 @@ def category_ranges_minmax(spark, sf):
 
 
 def _trained(spark, sf):
+    # 500 rounds are the operator's default; see the README for what they take.
     return tq.train_by_horizon(
         b.tabular(spark, sf).fillna(0.0, ["feature_b"]),
         ["feature_a", "feature_b", "feature_c"],
         n_folds=2,
-        params={"maxIter": 3, "maxDepth": 3},
+        params={"maxIter": 12},
+        patience=4,
     )
 
 
@@ -577,6 +579,12 @@ def train_by_horizon(spark, sf):
     return rounded(_trained(spark, sf)["oof"])
 
 
+@query("horizon_curves")
+def horizon_curves(spark, sf):
+    """Weighted score after every round of every horizon and fold, and the rounds that are kept."""
+    return rounded(_trained(spark, sf)["curves"])
+
+
 @query("importance_summary")
 def importance_summary(spark, sf):
     return rounded(tq.importance_summary(_trained(spark, sf)["importances"], 3))
