@@ -379,12 +379,14 @@ def smooth(spark, sf):
 @query(
     "residualize_one",
     with_blocks(
-        ("evaluation", "matrix"),
-        f"""SELECT model_id, date, ticker, {r('CASE WHEN n > 2 AND vx > 0 AND prediction IS NOT NULL AND x IS NOT NULL THEN prediction - my - (cxy / vx) * (x - mx) ELSE prediction END')} AS prediction
-FROM (SELECT *, count(*) OVER w AS n, avg(x) OVER w AS mx, avg(prediction) OVER w AS my, covar_pop(x, prediction) OVER w AS cxy, var_pop(x) OVER w AS vx
-  FROM f WHERE x IS NOT NULL WINDOW w AS (PARTITION BY model_id, date))
-UNION ALL SELECT model_id, date, ticker, {r('prediction')} FROM f WHERE x IS NULL""",
-        {"f": "SELECT e.model_id, e.date, e.ticker, e.prediction, m.vol_20 AS x FROM evaluation e JOIN matrix m USING (date, ticker)"},
+        ("predictions", "matrix"),
+        f"""SELECT f.model_id, f.date, ticker, {r('CASE WHEN n > 2 AND vx > 0 AND x IS NOT NULL THEN prediction - my - (cxy / vx) * (x - mx) ELSE prediction END')} AS prediction
+FROM f LEFT JOIN g ON g.model_id = f.model_id AND g.date = f.date""",
+        {
+            "f": "SELECT p.model_id, p.date, p.ticker, p.prediction, m.vol_20 AS x FROM predictions p JOIN matrix m ON m.date = p.date AND m.ticker = p.ticker",
+            "g": """SELECT model_id, date, count(*) AS n, avg(x) AS mx, avg(prediction) AS my, covar_pop(x, prediction) AS cxy, var_pop(x) AS vx
+  FROM f WHERE x IS NOT NULL AND prediction IS NOT NULL GROUP BY 1, 2""",
+        },
     ),
 )
 def residualize_one(spark, sf):
