@@ -26,12 +26,28 @@ NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 # Answers that a task remembers: at most twice as many, about 200 bytes each.
 MEMO_PIECES = 120_000
 MEMO_CHUNKS = 80_000
-# Runs of white space, blanks at either end and white space other than blanks and line feeds.
-NOT_CHUNKED = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|<\||[\x1c-\x1f]")
+# White space other than blanks and line feeds: by itself in ASCII texts, as a class in others. Runs of white space, and the start
+# of a special token.
+ODD_BLANKS, ODD_BLANK = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f", re.compile(r"[^\S \n]")
+RUNS = ("  ", "\n\n", " \n", "\n ", "<|")
 LONG_CHARS = 1 << 20
 BLOCK_CHARS = 1 << 16
 BLOCK_BYTES = 1 << 8
 NO_MERGE = 1 << 29
+# Pieces of at most so many bytes are merged side by side, so many at once.
+SHORT_BYTES = 48
+MERGED_AT_ONCE = 8192
+# Fewer than so many are merged one by one.
+FEW = 64
+
+
+def is_chunked(text: str) -> bool:
+    """Whether a text is words with one white space between two of them, and no special token."""
+    if not text or len(text) > LONG_CHARS or text[0].isspace() or text[-1].isspace():
+        return False
+    if any(x in text for x in RUNS) or any(x in text for x in ODD_BLANKS):
+        return False
+    return text.isascii() or not ODD_BLANK.search(text)
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,6 +83,45 @@ class MergeList:
             self.made.append(c)
             rules.append((a, b, c))
         self.lookahead = sufficient_lookahead(rules, {i: len(raw) for i, raw in self.bytes_of.items()})
+        self.pairs = PairTable(self.merges)
+        self.made_ids = np.array(self.made, dtype=np.int32)
+        self.byte_ids = np.array(self.byte_id, dtype=np.int32)
+
+    def merge_many(self, raws: list[bytes]) -> list[bytes]:
+        """What ``merge`` gives for each of many short pieces, packed as 32-bit integers: one merge of every piece a step."""
+        if len(raws) < FEW:
+            return [np.array(self.merge(raw), dtype="<u4").tobytes() for raw in raws]
+        out: list[bytes] = [b""] * len(raws)
+        sizes = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        for start in range(0, len(order), MERGED_AT_ONCE):
+            rows = order[start : start + MERGED_AT_ONCE]
+            width = int(sizes[rows[-1]])
+            flat = np.frombuffer(b"".join(raws[r] for r in rows.tolist()), dtype=np.uint8)
+            ids = np.full((len(rows), width + 1), -1, dtype=np.int32)
+            ids[np.arange(width + 1) < sizes[rows][:, None]] = self.byte_ids[flat]
+            ranks = self.pairs.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(rows), width)
+            while len(rows):
+                best = ranks.argmin(axis=1)
+                rank = ranks[np.arange(len(rows)), best]
+                open_rows = rank < NO_MERGE
+                for r, row in zip(rows[~open_rows].tolist(), ids[~open_rows], strict=True):
+                    out[r] = row[row >= 0].astype("<u4").tobytes()
+                rows, ids, ranks, best, rank = (x[open_rows] for x in (rows, ids, ranks, best, rank))
+                if not len(rows):
+                    break
+                at, line = best[:, None], np.arange(len(rows))
+                places = np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, places + (places > at), axis=1)
+                ids[line, best] = self.made_ids[rank]
+                ranks = np.take_along_axis(ranks, places[:-1] + (places[:-1] >= at), axis=1)
+                # The joined token has a new pair on either side; the last place of a row is never a token.
+                right = best < ranks.shape[1]
+                ranks[line[right], best[right]] = self.pairs.ranks(ids[line[right], best[right]], ids[line[right], best[right] + 1])
+                left = best > 0
+                ranks[line[left], best[left] - 1] = self.pairs.ranks(ids[line[left], best[left] - 1], ids[line[left], best[left]])
+        return out
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of bytes that are all there: the lowest rank first, the leftmost of equal ranks first."""
@@ -109,6 +164,43 @@ class MergeList:
         yield from self.merge(held)
 
 
+class PairTable:
+    """Ranks of pairs of ids for whole arrays: open addressing in two flat arrays."""
+
+    def __init__(self, merges: dict[tuple[int, int], int]):
+        keys = np.array([(a << 32) | b for a, b in merges], dtype=np.int64)
+        ranks = np.fromiter(merges.values(), dtype=np.int32, count=len(merges))
+        self.bits = max(8, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, NO_MERGE, dtype=np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            # Of the keys that want one free slot the first takes it; the others go to the next slot.
+            free = self.keys[slots] == -1
+            first = np.zeros(len(keys), dtype=bool)
+            first[np.unique(np.where(free, slots, -1), return_index=True)[1]] = True
+            taken = free & first
+            self.keys[slots[taken]], self.values[slots[taken]] = keys[taken], ranks[taken]
+            keys, ranks, slots = keys[~taken], ranks[~taken], (slots[~taken] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; NO_MERGE where there is none or an id is negative."""
+        keys = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
+        out = np.full(len(keys), NO_MERGE, dtype=np.int32)
+        open_at = np.flatnonzero((left >= 0) & (right >= 0))
+        slots = self._slots(keys[open_at])
+        while len(open_at):
+            found = self.keys[slots]
+            hit = found == keys[open_at]
+            out[open_at[hit]] = self.values[slots[hit]]
+            on = ~hit & (found != -1)
+            open_at, slots = open_at[on], (slots[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
 def sufficient_lookahead(rules: list[tuple[int, int, int]], size: dict[int, int]) -> int:
     """Bytes before the end of a prefix beyond which no continuation changes the tokens.
 
@@ -169,27 +261,42 @@ class StreamEncoder:
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
 
     def _pieces(self, text: str) -> list[str]:
-        if NOT_PLAIN.search(text):
+        odd = any(x in text for x in "\x1c\x1d\x1e\x1f") if text.isascii() else NOT_PLAIN.search(text)
+        if odd:
             return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         return PLAIN_PIECES.findall(text)
 
     def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces as packed 32-bit integers, out of the transducer; a special token has its own id."""
-        out = []
-        for piece in pieces:
-            special = self.rules.special.get(piece)
-            raw = piece.encode()
-            parts = (raw[k : k + BLOCK_BYTES] for k in range(0, len(raw), BLOCK_BYTES))
-            ids = self.rules.transduce(parts) if special is None else [special]
-            out.append(np.fromiter(ids, dtype="<u4").tobytes())
+        """Ids of pieces as packed 32-bit integers: short ones side by side, others out of the transducer; a special token has
+        its own id."""
+        raws = [b"" if p in self.rules.special else p.encode() for p in pieces]
+        out = self.rules.merge_many([raw if len(raw) <= SHORT_BYTES else b"" for raw in raws])
+        for n, raw in enumerate(raws):
+            if len(raw) > SHORT_BYTES:
+                parts = (raw[k : k + BLOCK_BYTES] for k in range(0, len(raw), BLOCK_BYTES))
+                out[n] = np.fromiter(self.rules.transduce(parts), dtype="<u4").tobytes()
+            elif not raw and pieces[n]:
+                out[n] = np.array([self.rules.special[pieces[n]]], dtype="<u4").tobytes()
         return out
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks of plain texts: one that starts with a line feed as it is, any other after its blank."""
-        parted = [self._pieces(c if c[0] == "\n" else " " + c) for c in chunks]
-        pieces = list({p for c in parted for p in c})
-        known = dict(zip(pieces, self.pieces.all_of(pieces, self._piece_ids), strict=True))
-        return [b"".join([known[p] for p in c]) for c in parted]
+        """Ids of chunks of plain texts: one that starts with a line feed as it is, any other after its blank.
+
+        A chunk holds white space at its start only, so the pieces of all chunks come out of one pass over them in a row, and a
+        piece that starts with white space starts a chunk.
+        """
+        row = "".join([c if c[0] == "\n" else " " + c for c in chunks])
+        pieces = self._pieces(row)
+        distinct = pa.array(pieces, type=pa.string()).dictionary_encode()
+        answers = self.pieces.all_of(distinct.dictionary.to_pylist(), self._piece_ids)
+        ids = pa.array(answers, type=pa.large_binary()).take(distinct.indices)
+        _, offsets, data = ids.buffers()
+        opens = [n for n, p in enumerate(pieces) if p[0] in " \n"]
+        if len(opens) != len(chunks):
+            raise AssertionError("pieces do not follow the chunks")
+        places = np.frombuffer(offsets, dtype=np.int64)[ids.offset + np.array([*opens, len(pieces)])].tolist()
+        view = data.to_pybytes() if data is not None else b""
+        return [view[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
 
     def piece_blocks(self, text: str) -> Iterator[list[str]]:
         """Lists of pieces in order, each from at most about BLOCK_CHARS characters; a special token is a list of its own."""
@@ -222,7 +329,7 @@ class StreamEncoder:
     def ids_many(self, texts: list[str]) -> Iterator[Iterable[np.ndarray]]:
         """Per text its blocks of ids. Texts without runs of white space are chunks that share look-ups; long ones go by blocks."""
         for group in groups(texts):
-            plain = [len(t) <= LONG_CHARS and bool(t) and not NOT_CHUNKED.search(t) for t in group]
+            plain = [is_chunked(t) for t in group]
             if any(plain):
                 rows = [t.replace("\n", " \n") for t, p in zip(group, plain, strict=True) if p]
                 # The first chunk has no blank before it: it goes by itself.
