@@ -807,21 +807,24 @@ def _wide(spark, sf):
     return en.prediction_matrix(frame, b.MODELS, ["realized", "dispersion"], b.names_bound(spark, sf))
 
 
+_WIDE_BLOCKS = {
+    "e": """SELECT e.*, dispersion FROM evaluation e JOIN dispersion USING (date)""",
+    "cd": "SELECT date FROM e GROUP BY 1 HAVING count(DISTINCT model_id) = 4",
+    "z": """SELECT *, (prediction - avg(prediction) OVER (PARTITION BY model_id, date)) / CASE WHEN stddev_samp(prediction) OVER (PARTITION BY model_id, date) = 0
+  THEN 1.0 ELSE stddev_samp(prediction) OVER (PARTITION BY model_id, date) END AS s FROM e WHERE date IN (SELECT date FROM cd)""",
+    "w": "SELECT date, ticker, max(realized) AS realized, max(dispersion) AS dispersion, "
+    + ", ".join(f"max(s) FILTER (WHERE model_id = '{m}') AS {m}" for m in b.MODELS)
+    + " FROM z GROUP BY 1, 2",
+}
+
+
 @query(
     "prediction_matrix",
     with_blocks(
         ("evaluation", "dispersion"),
         "SELECT date, ticker, " + ", ".join(f"{r(m)} AS {m}" for m in b.MODELS) + f", {r('realized')} AS realized, {r('dispersion')} AS dispersion FROM w"
         + " WHERE realized IS NOT NULL AND " + " AND ".join(f"{m} IS NOT NULL" for m in b.MODELS),
-        {
-            "e": """SELECT e.*, dispersion FROM evaluation e JOIN dispersion USING (date)""",
-            "cd": "SELECT date FROM e GROUP BY 1 HAVING count(DISTINCT model_id) = 4",
-            "z": """SELECT *, (prediction - avg(prediction) OVER (PARTITION BY model_id, date)) / CASE WHEN stddev_samp(prediction) OVER (PARTITION BY model_id, date) = 0
-  THEN 1.0 ELSE stddev_samp(prediction) OVER (PARTITION BY model_id, date) END AS s FROM e WHERE date IN (SELECT date FROM cd)""",
-            "w": "SELECT date, ticker, max(realized) AS realized, max(dispersion) AS dispersion, "
-            + ", ".join(f"max(s) FILTER (WHERE model_id = '{m}') AS {m}" for m in b.MODELS)
-            + " FROM z GROUP BY 1, 2",
-        },
+        _WIDE_BLOCKS,
     ),
 )
 def prediction_matrix(spark, sf):
@@ -836,13 +839,98 @@ def _stack(kind: str, buckets: int):
     return run
 
 
-query("ridge_stack")(_stack("ridge", 1))
-query("ridge_stack_by_regime")(_stack("ridge", 3))
-query("nnls_stack")(_stack("nnls", 1))
-query("nnls_stack_by_regime")(_stack("nnls", 3))
+def _stack_blocks(kind: str, buckets: int, name: str) -> dict[str, str]:
+    """Blocks that end in ``name``: (bucket, c0.., a, alpha), the stack of each bucket from the first half of the dates.
+
+    Least squares by coordinate descent on the centred products, for every penalty and every left-out fold at once.
+    """
+    models = list(b.MODELS)
+    k, steps = len(models), 400
+    place = "CASE WHEN dispersion < t1 THEN 0 WHEN dispersion < t2 THEN 1 ELSE 2 END" if buckets > 1 else "0"
+    products = ", ".join(f"count(*) * covar_pop({models[i]}, {models[j]}) AS x{i}{j}" for i in range(k) for j in range(i, k))
+    plain = ", ".join(f"avg({m}) AS m{i}, count(*) * covar_pop({m}, realized) AS y{i}" for i, m in enumerate(models))
+    pulls = []
+    for i in range(k):
+        other = " - ".join([f"y{i}", *[f"x{min(i, j)}{max(i, j)} * {'n' if j < i else 'c'}{j}" for j in range(k) if j != i]])
+        pulls.append(f"greatest(0.0, ({other}) / x{i}{i}) AS n{i}" if kind == "nnls" else f"({other}) / (x{i}{i} + alpha) AS n{i}")
+    grid = (
+        "(SELECT unnest(range(0, 40)) AS g), (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f)" if kind == "ridge" else "(SELECT 0 AS g), (SELECT -1 AS f)"
+    )
+    alpha = "pow(10, -3 + g * 8.0 / 39)" if kind == "ridge" else "0.0::DOUBLE"
+    cs, ns = [f"c{i}" for i in range(k)], [f"n{i}" for i in range(k)]
+    rule = " + ".join(["a", *[f"c{i} * {m}" for i, m in enumerate(models)]])
+    p = f"{name}_"
+    return {
+        f"{p}tr": f"""SELECT w0.*, fold, {place} AS bucket FROM w0 JOIN w_folds USING (date), w_edges""",
+        f"{p}st": f"""SELECT bucket, f, count(*) AS n, avg(realized) AS my, {plain}, {products}
+  FROM {p}tr, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f) WHERE fold <> f GROUP BY 1, 2""",
+        f"{p}cd": f"""SELECT bucket, f, g, {alpha} AS alpha, 0 AS step, {', '.join(f'0.0::DOUBLE AS {c}' for c in cs)}
+  FROM (SELECT DISTINCT bucket FROM {p}tr), {grid}
+UNION ALL SELECT bucket, f, g, alpha, step + 1, {', '.join(ns)} FROM (
+  SELECT d.bucket, d.f, d.g, d.alpha, d.step, {', '.join(pulls)} FROM {p}cd d JOIN {p}st s ON s.bucket = d.bucket AND s.f = d.f WHERE step < {steps})""",
+        f"{p}fit": f"""SELECT d.*, my - ({' + '.join(f'c{i} * m{i}' for i in range(k))}) AS a FROM {p}cd d JOIN {p}st s ON s.bucket = d.bucket AND s.f = d.f
+  WHERE step = {steps}""",
+        f"{p}sc": f"""SELECT bucket, g, avg(r2) AS score FROM (SELECT t.bucket, d.g, d.f, 1 - sum(pow(realized - ({rule}), 2)) / (count(*) * var_pop(realized)) AS r2
+  FROM {p}fit d JOIN {p}tr t ON t.bucket = d.bucket AND t.fold = d.f GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        f"{p}pk": f"SELECT bucket, g FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, g) AS o FROM {p}sc) WHERE o = 1"
+        if kind == "ridge"
+        else f"SELECT DISTINCT bucket, 0 AS g FROM {p}tr",
+        name: f"SELECT d.* FROM {p}fit d JOIN {p}pk k ON k.bucket = d.bucket AND k.g = d.g WHERE d.f = -1",
+    }
+
+
+_WIDE_ROWS = " AND ".join(f"{m} IS NOT NULL" for m in ("realized", *b.MODELS))
+_STACK_FRAME = {
+    "wd": f"SELECT * FROM w WHERE {_WIDE_ROWS}",
+    "w_half": "SELECT date AS h FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS nd FROM (SELECT DISTINCT date FROM wd)) WHERE i = nd // 2",
+    "w0": "SELECT wd.* FROM wd, w_half WHERE date < h",
+    "w_folds": """SELECT date, CAST(floor(i * 5 / n) AS INT) AS fold FROM (
+  SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM w0))""",
+    "w_edges": "SELECT quantile_cont(dispersion, 1.0 / 3) AS t1, quantile_cont(dispersion, 2.0 / 3) AS t2 FROM w0",
+}
+
+
+def _stack_sql(kind: str, buckets: int) -> str:
+    place = "CASE WHEN dispersion < t1 THEN 0 WHEN dispersion < t2 THEN 1 ELSE 2 END" if buckets > 1 else "0"
+    rule = " + ".join(["a", *[f"c{i} * {m}" for i, m in enumerate(b.MODELS)]])
+    return with_blocks(
+        ("evaluation", "dispersion"),
+        f"""SELECT date, ticker, {r(rule)} AS ensemble_prediction FROM (
+  SELECT wd.*, {place} AS bucket FROM wd, w_half, w_edges WHERE date >= h) t JOIN stack s ON s.bucket = t.bucket""",
+        {**_WIDE_BLOCKS, **_STACK_FRAME, **_stack_blocks(kind, buckets, "stack")},
+        recursive=True,
+    )
 
 
-@query("stack_weights")
+query("ridge_stack", _stack_sql("ridge", 1))(_stack("ridge", 1))
+query("ridge_stack_by_regime", _stack_sql("ridge", 3))(_stack("ridge", 3))
+query("nnls_stack", _stack_sql("nnls", 1))(_stack("nnls", 1))
+query("nnls_stack_by_regime", _stack_sql("nnls", 3))(_stack("nnls", 3))
+
+
+def _weights_sql() -> str:
+    k = len(b.MODELS)
+    total = " + ".join(f"abs(c{i})" for i in range(k))
+    part = """SELECT CAST(bucket AS INT) AS bucket, model_id, {c} AS coef, {s} AS share, {a} AS intercept, CAST({z} AS INT) AS n_nonzero, {al} AS alpha, '{kind}' AS kind
+FROM (SELECT *, unnest([{names}]) AS model_id, unnest([{cs}]) AS coef FROM {kind}_stack)"""
+    texts = [
+        part.format(
+            c=r("coef"),
+            s=r(f"CASE WHEN {total} > 0 THEN coef / ({total}) END"),
+            a=r("a"),
+            z=" + ".join(f"(abs(c{i}) > 1e-12)::INT" for i in range(k)),
+            al=r("alpha") if kind == "ridge" else "NULL::DOUBLE",
+            kind=kind,
+            names=", ".join(f"'{m}'" for m in b.MODELS),
+            cs=", ".join(f"c{i}" for i in range(k)),
+        )
+        for kind in ("ridge", "nnls")
+    ]
+    blocks = {**_WIDE_BLOCKS, **_STACK_FRAME, **_stack_blocks("ridge", 3, "ridge_stack"), **_stack_blocks("nnls", 3, "nnls_stack")}
+    return with_blocks(("evaluation", "dispersion"), "\nUNION ALL ".join(texts), blocks, recursive=True)
+
+
+@query("stack_weights", _weights_sql())
 def stack_weights(spark, sf):
     wide = cut(_wide(spark, sf), "wide")
     parts = None
@@ -863,6 +951,18 @@ _IC_OF = """SELECT model_id, date, corr(a, c) AS ic FROM (SELECT model_id, date,
   GROUP BY 1, 2 HAVING count(*) >= 5"""
 
 
+_REGIME_BLOCKS = {
+    **_SOFTMAX,
+    "half": "SELECT date AS h FROM dx WHERE i = nd // 2",
+    "tr": "SELECT z.* FROM z, half WHERE date < h",
+    "dd": "SELECT dispersion, row_number() OVER (ORDER BY dispersion) - 1 AS p, count(*) OVER () AS n FROM (SELECT date, dispersion FROM dx, half WHERE date < h)",
+    "th": "SELECT max(CASE WHEN p = floor((n - 1) / 3.0 + 0.5) THEN dispersion END) AS t1, max(CASE WHEN p = floor((n - 1) * 2.0 / 3 + 0.5) THEN dispersion END) AS t2 FROM dd",
+    "ics": _IC_OF.format(average_rank("prediction", "model_id, date"), average_rank("realized", "model_id, date"), "tr"),
+    "mi": """SELECT CASE WHEN dispersion < t1 THEN 0 WHEN dispersion < t2 THEN 1 ELSE 2 END AS bucket, model_id, avg(ic) AS mic
+  FROM ics JOIN dx USING (date), th WHERE ic IS NOT NULL AND isfinite(ic) GROUP BY 1, 2""",
+}
+
+
 @query(
     "regime_softmax_weights",
     with_blocks(
@@ -870,16 +970,7 @@ _IC_OF = """SELECT model_id, date, corr(a, c) AS ic FROM (SELECT model_id, date,
         f"""SELECT CAST(bucket AS INT) AS bucket, model_id, {r('exp(200 * (ic - mx)) / sum(exp(200 * (ic - mx))) OVER (PARTITION BY bucket)', 4)} AS weight
 FROM (SELECT g.bucket, g.model_id, coalesce(m.mic, 0.0) AS ic, max(coalesce(m.mic, 0.0)) OVER (PARTITION BY g.bucket) AS mx
   FROM (SELECT unnest([0, 1, 2]) AS bucket, mm.model_id FROM (SELECT DISTINCT model_id FROM z) mm) g LEFT JOIN mi m ON m.bucket = g.bucket AND m.model_id = g.model_id)""",
-        {
-            **_SOFTMAX,
-            "half": "SELECT date AS h FROM dx WHERE i = nd // 2",
-            "tr": "SELECT z.* FROM z, half WHERE date < h",
-            "dd": "SELECT dispersion, row_number() OVER (ORDER BY dispersion) - 1 AS p, count(*) OVER () AS n FROM (SELECT date, dispersion FROM dx, half WHERE date < h)",
-            "th": "SELECT max(CASE WHEN p = floor((n - 1) / 3.0 + 0.5) THEN dispersion END) AS t1, max(CASE WHEN p = floor((n - 1) * 2.0 / 3 + 0.5) THEN dispersion END) AS t2 FROM dd",
-            "ics": _IC_OF.format(average_rank("prediction", "model_id, date"), average_rank("realized", "model_id, date"), "tr"),
-            "mi": """SELECT CASE WHEN dispersion < t1 THEN 0 WHEN dispersion < t2 THEN 1 ELSE 2 END AS bucket, model_id, avg(ic) AS mic
-  FROM ics JOIN dx USING (date), th WHERE ic IS NOT NULL AND isfinite(ic) GROUP BY 1, 2""",
-        },
+        _REGIME_BLOCKS,
     ),
 )
 def regime_softmax_weights(spark, sf):
@@ -888,7 +979,22 @@ def regime_softmax_weights(spark, sf):
     return rounded(weights, 4)
 
 
-@query("regime_softmax_ensemble")
+@query(
+    "regime_softmax_ensemble",
+    with_blocks(
+        ("evaluation", "dispersion"),
+        f"""SELECT date, ticker, {r('sum(prediction * weight)')} AS prediction, {r('max(realized)')} AS realized FROM (
+  SELECT z.*, CASE WHEN dispersion < t1 THEN 0 WHEN dispersion < t2 THEN 1 ELSE 2 END AS bucket FROM z, th, half WHERE date >= h) t
+JOIN wt ON wt.bucket = t.bucket AND wt.model_id = t.model_id GROUP BY 1, 2 HAVING count(prediction) = 4""",
+        {
+            **_REGIME_BLOCKS,
+            "wt": """SELECT bucket, model_id, exp(200 * (ic - mx)) / sum(exp(200 * (ic - mx))) OVER (PARTITION BY bucket) AS weight
+  FROM (SELECT g.bucket, g.model_id, coalesce(m.mic, 0.0) AS ic, max(coalesce(m.mic, 0.0)) OVER (PARTITION BY g.bucket) AS mx
+    FROM (SELECT unnest([0, 1, 2]) AS bucket, mm.model_id FROM (SELECT DISTINCT model_id FROM z) mm) g
+    LEFT JOIN mi m ON m.bucket = g.bucket AND m.model_id = g.model_id)""",
+        },
+    ),
+)
 def regime_softmax_ensemble(spark, sf):
     days = dg.dispersion_by_date(b.bars(spark, sf))
     out, _ = en.regime_softmax(b.evaluation(spark, sf), days, b.MODELS, 3, 200.0, b.names_bound(spark, sf))
