@@ -28,37 +28,49 @@ class SymbolRules:
         return gone | {old for old, new in self.renames.items() if new in gone}
 
 
-def read_rules(spark: SparkSession, renames_csv: str, dropped_txt: str) -> SymbolRules:
+@dataclass(frozen=True)
+class SymbolTables:
+    """The same rules as tables of any length: ``renames`` (old, new) and ``dropped`` (symbol)."""
+
+    renames: DataFrame
+    dropped: DataFrame
+    punctuation: Mapping[str, str] = field(default_factory=lambda: dict(PUNCTUATION))
+
+
+def read_rules(spark: SparkSession, renames_csv: str, dropped_txt: str) -> SymbolTables:
     """Rules from a two-column CSV (old, new) and a text file with one symbol per line."""
-    renames = {r["old"]: r["new"] for r in spark.read.csv(renames_csv, header=True).collect()}
-    dropped = {r["value"].strip() for r in spark.read.text(dropped_txt).collect() if r["value"].strip()}
-    return SymbolRules(renames, dropped)
+    renames = spark.read.csv(renames_csv, header=True).select(F.trim("old").alias("old"), F.trim("new").alias("new"))
+    dropped = spark.read.text(dropped_txt).select(F.trim("value").alias("symbol")).where("symbol != ''")
+    return SymbolTables(renames, dropped)
 
 
-def _literal_map(pairs: Mapping[str, str]):
-    return F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
+def rule_tables(spark: SparkSession, rules: SymbolRules | SymbolTables) -> SymbolTables:
+    if isinstance(rules, SymbolTables):
+        return rules
+    renames = spark.createDataFrame(sorted(rules.renames.items()), "old string, new string")
+    dropped = spark.createDataFrame([(s,) for s in sorted(rules.dropped)], "symbol string")
+    return SymbolTables(renames, dropped, rules.punctuation)
 
 
-def resolve(df: DataFrame, rules: SymbolRules, symbol: str = "symbol", out: str = "ticker") -> DataFrame:
-    """Add the canonical ticker and leave out dropped symbols.
+def resolve(df: DataFrame, rules: SymbolRules | SymbolTables, symbol: str = "symbol", out: str = "ticker") -> DataFrame:
+    """Add the canonical ticker and leave out dropped symbols and rows without a symbol.
 
-    A dropped symbol is never followed through a rename; a rename into a dropped symbol is
-    dropped as well. The rule tables are literals of the plan, so there is no join.
+    A dropped symbol is never followed through a rename; a rename into a dropped symbol is dropped as well. The rules are joined
+    as tables, which Catalyst broadcasts while they are small; of several new names for one symbol the last in order counts.
     """
-    gone = sorted(rules.dropped)
-    current = F.col(symbol)
-    if gone:
-        df = df.where(~current.isin(gone))
-    renamed = F.coalesce(F.try_element_at(_literal_map(rules.renames), current), current) if rules.renames else current
-    df = df.withColumn(out, renamed)
-    if gone:
-        df = df.where(~F.col(out).isin(gone))
-    if rules.punctuation:
-        df = df.withColumn(out, F.coalesce(F.try_element_at(_literal_map(rules.punctuation), F.col(out)), F.col(out)))
-    return df
-
-
-def load_universe(spark: SparkSession, folder: str, name: str, rules: SymbolRules | None = None) -> DataFrame:
+    tables = rule_tables(df.sparkSession, rules)
+    dropped = tables.dropped.select(F.col("symbol").alias("_gone")).distinct()
+    renames = tables.renames.groupBy(F.col("old").alias("_old")).agg(F.max("new").alias("_new"))
+    kept = df.where(F.col(symbol).isNotNull()).join(dropped, F.col(symbol) == F.col("_gone"), "left_anti")
+    kept = kept.join(renames, F.col(symbol) == F.col("_old"), "left").withColumn("_ticker", F.coalesce("_new", F.col(symbol)))
+    kept = kept.drop("_old", "_new").join(dropped, F.col("_ticker") == F.col("_gone"), "left_anti")
+    ticker = F.col("_ticker")
+    for written, used in sorted(tables.punctuation.items()):
+        ticker = F.when(F.col("_ticker") == written, F.lit(used)).otherwise(ticker)
+    return kept.select(*[c for c in df.columns if c != out], ticker.alias(out))
+
+
+def load_universe(spark: SparkSession, folder: str, name: str, rules: SymbolRules | SymbolTables | None = None) -> DataFrame:
     """Distinct sorted tickers of ``<folder>/<name>.txt``;"""
     if name not in list_universes(spark, folder):
         raise ValueError(f"unknown universe {name!r}; have {list_universes(spark, folder)}")

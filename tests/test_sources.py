@@ -190,6 +190,18 @@ def test_resolve(spark):
     assert RULES.all_dropped() == {"DEAD", "LOST", "GONE2"}
 
 
+def test_rules_from_files_are_joined(spark, tmp_path):
+    (tmp_path / "renames.csv").write_text("old,new\nOLD,NEW\nGONE2,DEAD\nB.OLD,BRK.B\nOLD,NEWER\n" + "".join(f"S{k},T{k}\n" for k in range(3000)))
+    (tmp_path / "dropped.txt").write_text("DEAD\n LOST \n\n" + "".join(f"D{k}\n" for k in range(3000)))
+    rules = sy.read_rules(spark, str(tmp_path / "renames.csv"), str(tmp_path / "dropped.txt"))
+    symbols = ["OLD", "GONE2", "B.OLD", "LOST", "DEAD", "X", "S7", "S2999", "D5", None, "X"]
+    df = spark.createDataFrame([(s, 1, "kept") for s in symbols], "symbol string, n int, ticker string")
+    out = sy.resolve(df, rules)
+    assert out.columns == ["symbol", "n", "ticker"]
+    got = sorted((r["symbol"], r["ticker"]) for r in out.collect())
+    assert got == [("B.OLD", "BRK-B"), ("OLD", "NEWER"), ("S2999", "T2999"), ("S7", "T7"), ("X", "X"), ("X", "X")]
+
+
 def test_universe_round_trip(spark):
     folder = fresh_path(spark, "universe")
     ms.write_universe(spark.createDataFrame([("B",), ("A",), ("OLD",), ("LOST",)], "ticker string"), f"{folder}/small.txt")
