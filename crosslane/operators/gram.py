@@ -22,10 +22,14 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def gram_columns(xs: Sequence[str | Column], y: str | Column) -> list[Column]:
+def gram_columns(xs: Sequence[str | Column], y: str | Column, where: Column | None = None) -> list[Column]:
+    """The state's aggregates, over the rows where ``where`` holds; without it x and y have to be complete."""
     cols = [F.col(x) if isinstance(x, str) else x for x in xs]
     target = F.col(y) if isinstance(y, str) else y
     n = F.count(F.lit(1))
+    if where is not None:
+        n, target = F.count(F.when(where, 1)), F.when(where, target)
+        cols = [F.when(where, c) for c in cols]
     products = [F.var_pop(cols[i]) if i == j else F.covar_pop(cols[i], cols[j]) for i, j in _pairs(len(cols))]
     return [
         n.alias("n"),

@@ -214,6 +214,30 @@ def test_time_split_partitions(scores):
     assert total["n"] == 1800 and total["d"] == 60
 
 
+def test_residuals_of_several_targets_are_those_of_each(spark):
+    """Missing values in one target do not change the other; null dates and models keep their rows."""
+    df = make_scores(spark, dates=6, tickers=15).withColumn("x", noise(1, "ticker", "date") + 1e6)
+    df = df.withColumns(
+        {
+            "realized": F.when(noise(3, "ticker", "date") > 0.2, F.col("realized")),
+            "x": F.when(noise(4, "ticker", "date") > 0.1, F.col("x")),
+            "date": F.when(F.col("date") != "2022-01-04", F.col("date")),
+        }
+    )
+    both = residualize(df, ["prediction", "realized"], ["x"]).toPandas().sort_values(["date", "ticker"], ignore_index=True)
+    one = residualize(residualize(df, "prediction", ["x"]), "realized", ["x"]).toPandas().sort_values(["date", "ticker"], ignore_index=True)
+    assert len(both) == 90 and both["date"].isna().sum() == 15
+    for c in ("prediction", "realized"):
+        np.testing.assert_allclose(both[c], one[c], atol=1e-9)
+    raw = df.toPandas()
+    for d, part in raw.groupby("date", dropna=False):
+        full = part.dropna(subset=["x", "realized"])
+        a = np.column_stack([np.ones(len(full)), full["x"] - 1e6])
+        want = full["realized"] - a @ np.linalg.lstsq(a, full["realized"], rcond=None)[0]
+        mine = both[both["date"].isna() if d != d or d is None else both["date"] == d].set_index("ticker")["realized"]
+        np.testing.assert_allclose(mine.loc[full["ticker"]], want, atol=1e-8)
+
+
 def test_residuals_against_lstsq(spark):
     df = make_scores(spark, dates=8, tickers=20).withColumn("x", noise(1, "ticker", "date")).withColumn("z", noise(2, "ticker", "date"))
     out = residualize(df, "prediction", ["x", "z"]).toPandas()
