@@ -852,7 +852,7 @@ def _stack_blocks(kind: str, buckets: int, name: str) -> dict[str, str]:
     pulls = []
     for i in range(k):
         other = " - ".join([f"y{i}", *[f"x{min(i, j)}{max(i, j)} * {'n' if j < i else 'c'}{j}" for j in range(k) if j != i]])
-        pulls.append(f"greatest(0.0, ({other}) / x{i}{i}) AS n{i}" if kind == "nnls" else f"({other}) / (x{i}{i} + alpha) AS n{i}")
+        pulls.append(f"CASE WHEN x{i}{i} > 0 THEN greatest(0.0, ({other}) / x{i}{i}) ELSE 0.0 END AS n{i}" if kind == "nnls" else f"({other}) / (x{i}{i} + alpha) AS n{i}")
     grid = (
         "(SELECT unnest(range(0, 40)) AS g), (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f)" if kind == "ridge" else "(SELECT 0 AS g), (SELECT -1 AS f)"
     )
@@ -861,7 +861,10 @@ def _stack_blocks(kind: str, buckets: int, name: str) -> dict[str, str]:
     rule = " + ".join(["a", *[f"c{i} * {m}" for i, m in enumerate(models)]])
     p = f"{name}_"
     return {
-        f"{p}tr": f"""SELECT w0.*, fold, {place} AS bucket FROM w0 JOIN w_folds USING (date), w_edges""",
+        f"{p}pl": f"SELECT w0.*, fold, {place} AS own FROM w0 JOIN w_folds USING (date), w_edges",
+        # A bucket of fewer than 100 rows is fitted on all rows.
+        f"{p}tr": f"""SELECT l.* EXCLUDE (own), g.bucket FROM {p}pl l JOIN (SELECT b.bucket, (SELECT count(*) FROM {p}pl WHERE own = b.bucket) AS c
+  FROM (SELECT unnest(range(0, {buckets})) AS bucket) b) g ON l.own = g.bucket OR g.c < 100""",
         f"{p}st": f"""SELECT bucket, f, count(*) AS n, avg(realized) AS my, {plain}, {products}
   FROM {p}tr, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f) WHERE fold <> f GROUP BY 1, 2""",
         f"{p}cd": f"""SELECT bucket, f, g, {alpha} AS alpha, 0 AS step, {', '.join(f'0.0::DOUBLE AS {c}' for c in cs)}

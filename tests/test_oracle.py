@@ -10,6 +10,8 @@ from tests.oracle_check import compare, duck
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "daily_bars",
+    "ewm_null_runs",
+    "ewm_spread_null_runs",
     "feature_idio_vol_20",
     "feature_vol_ewm_20",
     "feature_momentum_60_sector_rel",
@@ -19,12 +21,15 @@ SAMPLE = [
     "parse_dates",
     "regime_softmax_weights",
     "ridge_coefficients",
+    "ridge_stack_by_regime",
+    "shifted_coefficients",
     "store_newest",
     "summarize_models",
     "tabular_ewm",
     "tabular_time_stats",
     "target_encoding",
     "top_weight_share",
+    "walk_forward_volatility",
 ]
 NAMES = sorted(entry.queries()) if os.environ.get("ALL_QUERIES") else SAMPLE
 
