@@ -24,8 +24,8 @@ from crosslane.operators.metrics import MIN_IC_ROWS, daily_ic
 from crosslane.operators.ranking import add_average_rank, fits
 from crosslane.session import broadcast_dates
 
-# Predictions of one date that are ranked at once.
-RANKED_VALUES = 2_000_000
+# Predictions of one date that are ranked at once: few enough for a core's own cache.
+RANKED_VALUES = 65_536
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,8 @@ class Model:
     """State is a small dict of plain values, so that saving is one JSON row."""
 
     defaults: ClassVar[dict[str, Any]] = {}
+    # False: ``fit`` takes nothing from the rows and ``predict`` works row by row, so every refit is the same rule.
+    learns: ClassVar[bool] = True
 
     def __init__(self, config: ModelConfig):
         self.config = config
@@ -116,6 +118,8 @@ def _keys(panel: DataFrame) -> list[str]:
 
 @register_model
 class ZeroPredictor(Model):
+    learns = False
+
     def fit(self, panel):
         self.state = {}
         return self
@@ -129,6 +133,8 @@ class ZeroPredictor(Model):
 class LastReturnPredictor(Model):
     """The last five-day return carried forward."""
 
+    learns = False
+
     def fit(self, panel):
         if "return_5d" not in self.features:
             raise ValueError("LastReturnPredictor needs the feature return_5d")
@@ -144,6 +150,8 @@ class LastReturnPredictor(Model):
 class MomentumFactor(Model):
     """sign * one feature."""
 
+    learns = False
+
     def fit(self, panel):
         name, sign = self.params.get("feature_name"), self.params.get("sign", 1)
         if not name:
@@ -224,37 +232,34 @@ class Rule:
     high: int
 
 
-def average_ranks(values: np.ndarray) -> np.ndarray:
-    """Average ranks (1-based) down each column."""
-    n, places = len(values), np.arange(len(values))[:, None]
-    order = np.argsort(values, axis=0, kind="stable")
-    ordered = np.take_along_axis(values, order, axis=0)
-    starts = np.ones(values.shape, dtype=bool)
-    starts[1:] = ordered[1:] != ordered[:-1]
-    ends = np.ones(values.shape, dtype=bool)
-    ends[:-1] = starts[1:]
-    first = np.maximum.accumulate(np.where(starts, places, 0), axis=0)
-    last = np.minimum.accumulate(np.where(ends, places, n)[::-1], axis=0)[::-1]
-    out = np.empty(values.shape)
-    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=0)
-    return out
-
-
 def _date_ics(x: np.ndarray, realized: np.ndarray, coefs: np.ndarray) -> np.ndarray:
-    """IC of every rule (a row of ``coefs``) on one date; nan where one side is constant."""
+    """IC of every rule (a row of ``coefs``) on one date; nan where one side is constant.
+
+    Rows that a rule predicts alike share the middle of their places, so a sort and sums per run of equal predictions do
+    the whole work; places are counted from their mean.
+    """
     n, out = len(realized), np.full(len(coefs), np.nan)
     spread = realized.std()
     step = max(1, RANKED_VALUES // n)
+    columns = np.ascontiguousarray(x.T)
     for k in range(0, len(coefs) if spread > 0 else 0, step):
         part = coefs[k : k + step]
-        predicted = np.zeros((n, len(part)))
-        for j in range(x.shape[1]):
-            predicted += x[:, j, None] * part[:, j]
-        ranks = average_ranks(predicted)
-        spreads = ranks.std(axis=0)
+        predicted = np.zeros((len(part), n))
+        for j in range(len(columns)):
+            predicted += columns[j] * part[:, j, None]
+        # Only nan has an order of its own among equals.
+        order = np.argsort(predicted, axis=1, kind="stable" if np.isnan(predicted).any() else None)
+        ordered = np.take_along_axis(predicted, order, axis=1)
+        opens = np.ones(ordered.shape, dtype=bool)
+        opens[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        starts = np.flatnonzero(opens)
+        sizes = np.diff(starts, append=opens.size)
+        places = starts % n + (sizes - n) / 2
+        lines = np.searchsorted(starts, np.arange(len(part)) * n)
+        both = np.add.reduceat(np.add.reduceat(realized[order].ravel(), starts) * places, lines)
+        spreads = np.sqrt(np.add.reduceat(sizes * places * places, lines) / n)
         with np.errstate(divide="ignore", invalid="ignore"):
-            found = (realized @ ranks / n - realized.mean() * ranks.mean(axis=0)) / (spread * spreads)
-        out[k : k + step] = np.where(spreads > 0, found, np.nan)
+            out[k : k + step] = np.where(spreads > 0, both / n / (spread * spreads), np.nan)
     return out
 
 

@@ -155,6 +155,30 @@ def prefix_walk_forward(
     return WalkForward(predictions, None, list(splits))
 
 
+def fixed_walk_forward(
+    matrix: DataFrame, model: Model, splits: Sequence[Split], train_start: date | None
+) -> WalkForward:
+    """All refits of a model that learns nothing from rows, in one pass: each test row meets the split of its date.
+
+    As with separate fits, a split that has no training rows has no predictions.
+    """
+    train = matrix.dropna(subset=[model.config.target_col, *model.features])
+    if train_start is not None:
+        train = train.where(F.col("date") >= F.lit(train_start))
+    first = train.agg(F.min("date")).first()[0]
+    usable = [(i, s) for i, s in enumerate(splits) if first is not None and s.train_end >= first]
+    if not usable:
+        raise ValueError("no split has training rows")
+    model.fit(train)
+    numbers = F.create_map(*[F.lit(x) for n, (i, _) in enumerate(usable) for x in (n, i)])
+    test_days = splits_table(matrix.sparkSession, [s for _, s in usable]).select(
+        numbers[F.col("split")].alias("split"), F.explode(F.sequence("test_start", "test_end")).alias("date")
+    )
+    # One row per calendar day.
+    test = matrix.dropna(subset=model.features).drop("split").join(broadcast_dates(test_days), "date")
+    return WalkForward(model.predict(test).select("date", "ticker", "prediction", "split"), None, list(splits))
+
+
 def run_walk_forward(
     matrix: DataFrame,
     model: Model,
@@ -172,6 +196,8 @@ def run_walk_forward(
         run = linear_walk_forward(matrix, model, splits, train_start, rows)
     elif isinstance(model, _Expanding):
         run = prefix_walk_forward(matrix, model, splits, train_start)
+    elif not model.learns:
+        run = fixed_walk_forward(matrix, model, splits, train_start)
     else:
         parts = []
         for i, split in enumerate(splits):
@@ -258,5 +284,6 @@ def run_experiment(
         runs[entry["id"]] = run
         parts.append(run.predictions.select("date", "ticker", "prediction").withColumn("model_id", F.lit(entry["id"])))
     predictions = common_columns_union(parts)
-    frame = join_realized(predictions, matrix)
+    # Three branches of the comparison read the joined rows.
+    frame = cut(join_realized(predictions, matrix), "frame")
     return ExperimentResult(matrix, frame, compare_models(frame, horizon=spec.target_horizon, rows=rows), runs)

@@ -1,11 +1,13 @@
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from crosslane.operators import folds as fo
 from crosslane.operators import gram as gr
+from crosslane.operators import models
 from crosslane.operators import search as se
 from crosslane.operators import series_models as sm
 from crosslane.operators import staged as st
@@ -505,6 +507,54 @@ def test_running_sums_equal_separate_fits(spark, name, train_start):
             np.testing.assert_allclose(got[c], want[c], rtol=1e-7, atol=1e-13)
 
 
+@pytest.mark.parametrize(
+    ("name", "params"), [("ZeroPredictor", {}), ("LastReturnPredictor", {}), ("MomentumFactor", {"feature_name": "return_5d", "sign": -1})]
+)
+def test_fixed_rules_read_the_matrix_once_for_all_refits(spark, name, params):
+    """As many jobs for 28 refits as for 4, and the rows of separate fits, of which the first ones have no training rows."""
+    matrix = make_panel(spark, 4, 400, 9).withColumns({
+        "y": F.when((noise(5, "ticker", "date") > 0.02) & (F.col("date") > "2020-08-01"), 1.0),
+        "return_5d": F.when(noise(6, "ticker", "date") > 0.05, noise(7, "ticker", "date")),
+    })
+    config = ModelConfig("m", ("return_5d",), params=params)
+
+    def jobs(freq, train_start=None):
+        group, options = f"{name}-{freq}", {"refit_freq_days": freq, "embargo_days": 7, "min_train_days": 100, "train_start": train_start}
+        spark.sparkContext.setJobGroup(group, group)
+        run = ex.run_walk_forward(matrix, build_model(name, config), 5, options)
+        run.predictions.count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return run, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    (_, few), (run, many) = jobs(80), jobs(11, "2020-09-01")
+    assert len(run.splits) == 28 and few == many
+    want = []
+    for i, split in enumerate(run.splits):
+        train = fo.slice_train(matrix, split, date(2020, 9, 1)).dropna(subset=["y", "return_5d"])
+        if not train.isEmpty():
+            part = build_model(name, config).fit(train).predict(fo.slice_test(matrix, split).dropna(subset=["return_5d"]))
+            want += [(r.date, r.ticker, r.prediction, i) for r in part.collect()]
+    assert 0 < min(r[3] for r in want)
+    assert sorted(tuple(r) for r in run.predictions.collect()) == sorted(want)
+    with pytest.raises(ValueError, match="no split"):
+        ex.run_walk_forward(matrix.withColumn("y", F.lit(None).cast("double")), build_model(name, config), 5, {"embargo_days": 7, "min_train_days": 50})
+
+
+def test_date_ics_share_places_among_equals():
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.integers(0, 6, (20, 3)) / 4, 3, axis=0)
+    x[5, 2] = np.nan
+    realized = pd.Series(rng.normal(size=60)).rank().to_numpy()
+    coefs = np.vstack([rng.normal(size=(40, 3)), [[0, 0, 0], [1, 0, 0], [1, -1, 0]]]) * [1, 1, 0]
+    found = models._date_ics(x[:, :2], realized, coefs[:, :2])
+    predicted = [sum(x[:, j] * c[j] for j in range(2)) for c in coefs]
+    want = [np.corrcoef(pd.Series(p).rank(), realized)[0, 1] if p.std() > 0 else np.nan for p in predicted]
+    np.testing.assert_allclose(found, want, rtol=1e-12)
+    with_nan = models._date_ics(x, realized, np.array([[1.0, 0.5, 0.25]]))
+    ranks = pd.Series(x @ [1.0, 0.5, 0.25]).rank(na_option="bottom").to_numpy()
+    np.testing.assert_allclose(with_nan, [np.corrcoef(ranks, realized)[0, 1]], rtol=1e-12)
+
+
 def test_running_sums_against_pandas(spark):
     panel = make_panel(spark, 3, 200, 4)
     model = build_model("ArDriftPerTicker", ModelConfig("a", (), params={"min_history": 20})).fit(panel)
