@@ -47,11 +47,17 @@ class Chunked:
         lists = pc.split_pattern(texts, " ")
         self.bounds = lists.offsets.to_numpy()
         encoded = lists.flatten().dictionary_encode()
-        self.distinct, self.indices = encoded.dictionary.to_pylist(), encoded.indices
+        self.dictionary, self.indices = encoded.dictionary, encoded.indices
 
-    def joined(self, answers: list[bytes]) -> list[memoryview]:
+    @property
+    def distinct(self) -> list[str]:
+        return self.dictionary.to_pylist()
+
+    def joined(self, answers: list[bytes] | pa.LargeBinaryArray) -> list[memoryview]:
         """Per text, the answers to its chunks one after the other."""
-        taken = pa.array(answers, type=pa.large_binary()).take(self.indices)
+        if not isinstance(answers, pa.Array):
+            answers = pa.array(answers, type=pa.large_binary())
+        taken = answers.take(self.indices)
         _, offsets, data = taken.buffers()
         places = np.frombuffer(offsets, dtype=np.int64)[taken.offset + self.bounds]
         view = memoryview(data) if data is not None else memoryview(b"")

@@ -33,6 +33,45 @@ def test_random_texts():
         assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_at_letters_that_combine_or_change_case():
+    rng, library = random.Random(8), Tokenizer.from_file(PATH)
+    parts = ["H", "\u0331", "I", "\u0307", "\u0130", "\u0131", "É", "é", "E\u0301", "ß", "ẞ", "×", "÷", "ª", "µ", "²", "ŉ", "ǅ", "ȿ", "ɐ", "Ⱥ", "K"]
+    parts += ["Σ", "a", "Z", "9", "'S", "'", ".", ",!", "$", "#*", "<|", "<|endoftext|>", "|>", " ", " ", "\n", "\u00a0", "\u0378", "漢", "ﬁ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["", " ", ".", "\n", *parts]
+    for text, packed in zip(texts, op.encoder(PATH).encode_many(texts), strict=True):
+        assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    for text in texts[-60:]:
+        assert np.frombuffer(op.ChunkEncoder(PATH).encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+class Counting:
+    """The tokenizer, counting the texts it gets."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_words_share_calls_of_the_library():
+    rng, library = random.Random(2), Tokenizer.from_file(PATH)
+    words = ["".join(rng.choice("abcdeéßñ") for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    text = " ".join(rng.choice([str.title, str.lower, str.upper])(w) + rng.choice(["", "", ".", ",", "?!"]) for w in words)
+    small = op.ChunkEncoder(PATH)
+    small.tokenizer = Counting(small.tokenizer)
+    assert np.frombuffer(small.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert small.tokenizer.texts < 300
+
+
+def test_words_without_closing_ids_go_one_by_one():
+    text = "The cat's é hats, and 12 H\u0331 more words."
+    plain_ids, odd = op.encoder(PATH).encode(text), op.ChunkEncoder(PATH)
+    odd.closes[:] = False
+    assert odd.encode(text) == plain_ids
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(op, "MEMO_CHUNKS", 5)
     small = op.ChunkEncoder(PATH)
